@@ -36,7 +36,7 @@ def _norm_value(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        v = round(v, 6)
+        v = v + 0.0  # -0.0 -> 0.0; values are compared exactly
         return int(v) if v.is_integer() else v
     if isinstance(v, pd.Timestamp):
         v = v.to_pydatetime()
@@ -106,6 +106,11 @@ def main(argv: list[str]) -> int:
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     names = argv[1:] or sorted(load_all())
     spark = local_session(8)
+    if names == ["--write-doubles"]:
+        from fairplay.plans.catalog import write_double_columns
+
+        print(len(write_double_columns(spark, sf_dir)), "jobs recorded")
+        return 0
     con = duckdb_connection(sf_dir)
     bad = 0
     for n in names:
