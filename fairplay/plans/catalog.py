@@ -78,7 +78,10 @@ def load_all() -> dict[str, Entry]:
     """Import every module that registers jobs."""
     from fairplay.plans import (  # noqa: F401
         jobs_features,
+        jobs_ingest,
         jobs_queries,
+        jobs_rules,
+        jobs_text,
     )
     return CATALOG
 
