@@ -81,6 +81,7 @@ def load_all() -> dict[str, Entry]:
         jobs_ingest,
         jobs_queries,
         jobs_rules,
+        jobs_runs,
         jobs_text,
     )
     return CATALOG
