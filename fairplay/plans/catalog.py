@@ -79,6 +79,7 @@ def load_all() -> dict[str, Entry]:
     from fairplay.plans import (  # noqa: F401
         jobs_features,
         jobs_ingest,
+        jobs_models,
         jobs_queries,
         jobs_rules,
         jobs_runs,

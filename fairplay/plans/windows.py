@@ -64,3 +64,20 @@ def average_rank_table(df: DataFrame, group_cols: Sequence[str], value_col: str,
     before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return counts.select(*group_cols, value_col,
                          (before + (F.col("_n") + 1) / 2.0).alias(name))
+
+
+def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column], k: int,
+                    salt_cols: Sequence[str], salts: int = 64, name: str = "rank") -> DataFrame:
+    """Rows ranked 1..k inside each group by ``order`` (a total order).
+
+    Two stages so a group holding a third of the rows is still spread out:
+    first the top k inside (group, salt) with salt = hash(salt_cols) % salts,
+    then the top k among the <= salts x k survivors of each group.
+    """
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(salts))
+    x = df.withColumn("_salt", salt)
+    w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order)
+    stage1 = x.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k)
+    w2 = Window.partitionBy(*group_cols).orderBy(*order)
+    return (stage1.withColumn(name, F.row_number().over(w2)).where(F.col(name) <= k)
+            .drop("_salt", "_r1"))
