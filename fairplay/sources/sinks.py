@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fairplay.session import cut_lineage
+
 UPSERT_KEYS = ["league", "season", "player_name", "team"]
 UPDATE_COLUMNS = ["position", "appearances", "fouls", "fouls_drawn", "yellow_cards", "red_cards",
                   "minutes", "source", "scraped_at"]
@@ -62,7 +64,9 @@ def upsert_to_path(spark: SparkSession, path: str, updates: DataFrame,
     if touched.isEmpty():
         return 0
     try:
-        current = spark.read.parquet(path)
+        # The batch schema also types the partition columns (no type inference
+        # of "2020" as an integer).
+        current = spark.read.schema(batch.schema).parquet(path)
     except Exception:  # first load: nothing stored yet
         current = None
     if current is None:
@@ -72,7 +76,7 @@ def upsert_to_path(spark: SparkSession, path: str, updates: DataFrame,
         # Materialise the merged partitions before overwriting the files they
         # were read from (lineage must not point at the files being replaced).
         merged = merge_rows(scope, batch.select(*current.columns), keys, update_cols, keep_cols)
-        merged = merged.checkpoint(eager=True)
+        merged = cut_lineage(merged)
     n = merged.count()
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_cols).parquet(path))
