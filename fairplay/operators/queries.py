@@ -24,12 +24,14 @@ SEASON_KEY = ["player_name", "team", "season", "league"]
 def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a one-row aggregate to every row.
 
-    Equi-join on a constant key with the (provably one-row) side broadcast:
-    no cartesian product, no single-partition window.
+    The aggregate runs once as a scalar subquery and its value is inlined in
+    the projection: no join, no cartesian product, no single-partition window.
     """
-    key = "_one"
-    right = F.broadcast(one_row.withColumn(key, F.lit(1)))
-    return df.withColumn(key, F.lit(1)).join(right, key).drop(key)
+    cols = one_row.columns
+    packed = one_row.select(F.struct(*cols).alias("_s")).scalar()
+    tmp = "_scalar_struct"
+    return df.withColumn(tmp, packed).withColumns(
+        {c: F.col(f"{tmp}.{c}") for c in cols}).drop(tmp)
 
 
 # ---------------------------------------------------------------- Q1, Q2, Q4, Q6

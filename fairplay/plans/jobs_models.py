@@ -15,6 +15,7 @@ from fairplay.operators import anomaly as AN
 from fairplay.operators import cluster as CL
 from fairplay.operators import predict as PR
 from fairplay.operators.profiles import POSITION_CODES, PROFILE_FEATURES, player_profile, position_column
+from fairplay.functions.numeric import fixed
 from fairplay.plans.catalog import job
 from fairplay.plans.jobs_text import _q
 from fairplay.plans.oracle import fixed_sql, with_views
@@ -337,18 +338,21 @@ def a04_anomaly_counts(spark, sf_dir):
     return summary
 
 
-A5_SQL = {**A_SQL, "dev": """
+A5_SQL = {**A_SQL, "rraw": f"SELECT id, feature, {fixed_sql('value', 9)} AS value FROM raw", "dev": """
   SELECT r.id, r.feature, r.value, st.mean, (r.value - st.mean) / st.std AS z_score,
          r.below / r.n * 100.0 AS percentile
   FROM (SELECT id, feature, value, rank() OVER (PARTITION BY feature ORDER BY value) - 1 AS below,
-               count(*) OVER (PARTITION BY feature) AS n FROM raw) r
-  JOIN (SELECT feature, avg(value) AS mean, stddev_samp(value) AS std FROM raw GROUP BY feature) st
+               count(*) OVER (PARTITION BY feature) AS n FROM rraw) r
+  JOIN (SELECT feature, avg(value) AS mean, stddev_samp(value) AS std FROM rraw GROUP BY feature) st
     ON r.feature = st.feature
   WHERE st.std > 0 AND r.id IN (SELECT id FROM scores WHERE is_anomaly)"""}
 
 
 def _dev(spark, sf_dir):
+    """Deviations on the profile values rounded to 9 decimals (so ties between
+    players are ties in every engine, not float noise)."""
     _, raw, std, _ = _inputs(spark, sf_dir)
+    raw = raw.withColumn("value", fixed("value", 9))
     flagged = _standin_scores(std).where("is_anomaly").select("id")
     return AN.deviations(raw, flagged)
 
@@ -378,6 +382,7 @@ SELECT s.id, CASE WHEN p.parts IS NOT NULL THEN 'Player with ' || p.parts
 FROM (SELECT id FROM scores WHERE is_anomaly) s LEFT JOIN parts p ON s.id = p.id""")
 def a07_anomaly_wording(spark, sf_dir):
     _, raw, std, _ = _inputs(spark, sf_dir)
+    raw = raw.withColumn("value", fixed("value", 9))
     flagged = _standin_scores(std).where("is_anomaly").select("id")
     ext = AN.extreme_features(AN.deviations(raw, flagged), 5, FEATS)
     return AN.anomaly_wording(ext, flagged)

@@ -11,14 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
-
-
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of the optimized plan (None if unknown)."""
     try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(size if isinstance(size, int) else str(size))
     except Exception:  # pragma: no cover - e.g. Spark Connect
         return None
 
@@ -29,9 +26,7 @@ def broadcast_limit(df: DataFrame) -> int:
         configured = int(str(conf).lower().replace("b", ""))
     except ValueError:
         configured = 10485760
-    if configured <= 0:
-        return 0
-    return max(configured, DEFAULT_BROADCAST_BYTES)
+    return max(configured, 0)
 
 
 def bounded_broadcast(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
