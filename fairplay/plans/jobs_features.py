@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fairplay.operators import features as FE
 from fairplay.plans.catalog import job
 from fairplay.plans.oracle import fixed_sql, with_views
+from fairplay.session import cut_lineage
 from fairplay.sources import tables as TB
 
 
@@ -140,7 +141,9 @@ def features_upto(name: str, extra: dict[str, str] | None = None) -> str:
 
 
 def _ps(spark, sf_dir):
-    return TB.player_season(spark, sf_dir)
+    """The season table, materialised once: the feature chain reads it from
+    several branches (team, league and rank aggregates joined back)."""
+    return cut_lineage(TB.player_season(spark, sf_dir))
 
 
 @job("f01_f05_base_features", features_upto("feat_base") + "SELECT * FROM feat_base")

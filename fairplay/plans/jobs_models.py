@@ -19,6 +19,7 @@ from fairplay.functions.numeric import fixed
 from fairplay.plans.catalog import job
 from fairplay.plans.jobs_text import _q
 from fairplay.plans.oracle import fixed_sql, with_views
+from fairplay.session import cut_lineage
 from fairplay.sources import tables as TB
 
 FEATS = PROFILE_FEATURES
@@ -40,9 +41,13 @@ def _labels_from_profiles(prof):
 
 
 def _inputs(spark, sf_dir):
-    prof = _profiles(spark, sf_dir)
+    """Profiles (materialised once), their long form, the standardised long form
+    (materialised: the cluster statistics read it from many branches) and the
+    given labelling."""
+    prof = cut_lineage(_profiles(spark, sf_dir))
     raw = CL.to_long(prof, "player_id", FEATS)
-    return prof, raw, CL.standardize_long(raw), _labels_from_profiles(prof)
+    std = cut_lineage(CL.standardize_long(raw))
+    return prof, raw, std, _labels_from_profiles(prof)
 
 
 def _standin_scores(std):
