@@ -206,11 +206,12 @@ def regressor(kind: str, target: str, features: str = "features", label: str = "
     if kind == "xgboost":
         trees, depth, rate, sub = BOOSTED_MAIN[target]
         return GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=sub,
-                            featureSubsetStrategy="0.8", featuresCol=features, labelCol=label, seed=42)
+                            featureSubsetStrategy="0.8", featuresCol=features, labelCol=label, seed=42,
+                            cacheNodeIds=True)
     if kind == "gradient_boosting":
         trees, depth, rate, sub = BOOSTED_SECOND[target]
         return GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=sub,
-                            featuresCol=features, labelCol=label, seed=42)
+                            featuresCol=features, labelCol=label, seed=42, cacheNodeIds=True)
     if kind == "random_forest":
         trees, depth, leaf = FOREST[target]
         return RandomForestRegressor(numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf,

@@ -257,3 +257,17 @@ def test_html_tables_in_comments_and_rejects():
     assert {(r[2], r[5], r[6]) for r in ok} == {("a", "X", "1"), ("a", "Y", "2"), ("b", "Top_P", "3"),
                                                ("b", "Top_Q", "4")}
     assert [r[-1] for r in rows if r[-1] != "ok"] == ["no_header"]
+
+
+def test_training_job_small(spark):
+    """M1-M5, M8-M12 on the smallest tables: every (model, target) fitted, sane metrics."""
+    from fairplay.plans import training as TR
+
+    frame = TR.training_frame(spark, "/root/testdata/sf0.001").cache()
+    models = TR.train_models(frame, kinds=["random_forest", "linear"])
+    ev = {(r.model, r.target): r for r in TR.evaluate(frame, models).collect()}
+    assert set(ev) == {(m, t) for m in ["random_forest", "linear", "ensemble"] for t in PR.TARGETS}
+    for r in ev.values():
+        assert r.rmse >= 0 and r.samples > 0 and r.mean_predicted >= 0
+    imp = TR.importances(models, spark).collect()
+    assert imp and all(r.importance >= 0 for r in imp)
