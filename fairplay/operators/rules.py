@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairplay.functions.text import collapse_ws, title_case
@@ -133,9 +133,18 @@ def with_violations(df: DataFrame, rules: Sequence[Rule], name: str = "violation
 
 
 def rule_unique(df: DataFrame, keys: Sequence[str] = KEYS, name: str = "duplicate_key") -> DataFrame:
-    """V8: flag rows whose key occurs more than once in the batch."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return df.withColumn(name, n > 1)
+    """V8: flag rows whose key occurs more than once in the batch.
+
+    Counts per key are a hash aggregate (partial counts per task, so a key
+    repeated across a third of the batch is reduced before the shuffle) and
+    only the repeated keys are joined back; a null key never matches, as in
+    a unique index.
+    """
+    dup = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+           .select(*keys, F.lit(True).alias(name)))
+    cond = [df[k] == dup[k] for k in keys]
+    out = df.join(dup, cond, "left").select(df["*"], F.coalesce(dup[name], F.lit(False)).alias(name))
+    return out
 
 
 def validate(df: DataFrame, rules: Sequence[Rule] | None = None,
