@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairplay.llm import mixing, sharding
+from fairplay.llm import mixing, pieces, ppm, sharding, simhash, token_files
 from fairplay.llm.common import n_words, read, text_or_empty, utf8_size
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +36,30 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", n_words("text").alias("size"))
     return mixing.repetitions(docs, seed=7).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document (3-word shingles, 2 bits)."""
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"), words_per_shingle=3, max_bits=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op5_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code length of every document under the byte-context trie, and the word base."""
+    return ppm.score(read(spark, sf_dir, "documents"))
+
+
+@query
+def op6_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    return pieces.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as Parquet and read back."""
+    path = token_files.scratch(spark, "tokens")
+    token_files.write(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path, end_id=2)
+    return token_files.read_back(spark, path)
