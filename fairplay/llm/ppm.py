@@ -2,239 +2,349 @@
 
 Text of the model: the words of the document, A-Z lower-cased, one space between
 them, and an end byte. The trie holds, for every context of up to ``ORDER`` bytes
-in the training documents, the counts of the bytes that follow. A byte that a
-context has seen costs count / (total + distinct); otherwise the coder escapes
-(distinct / (total + distinct)) to the next shorter context, where the bytes of
-the longer one are excluded from the counts. Below order 0 the bytes never seen
-are equally likely. Probabilities of a context therefore sum to one.
-
-On Spark, nothing of the model is broadcast but the order-1 table (at most 65,536
-counts). Documents are dealt to batches of some megabytes. Each batch reduces its
-text to distinct byte strings (context and byte) and words with counts; these are
-summed over all batches; one group of the trie (all contexts that end in the same
-two bytes, so every suffix down to order 2 is at hand) works out the cost of each
-of its strings, seen in training or not; the costs return to the batches that
-asked for them by a join, and each batch adds up its documents. All steps are
-shuffles of distinct strings per batch, so hot words and copies fold first.
+in the training documents, the counts of the bytes that follow. A byte seen n times
+in a context of r counts costs (n - 1/2) / r; for a byte it has not seen, the coder
+escapes to the next shorter context at (d / 2) / r, where d bytes have been seen
+(escape estimate D), and there the bytes of the longer context are excluded from n, r and
+d. Below order 0 the bytes never seen are equally likely. The probabilities of a
+context sum to one.
+
+On Spark: one pass over the documents cuts them into blocks of some megabytes, and
+writes for each block its (compressed) words and its distinct strings (context and
+byte) and words with training counts, dealt to 512 buckets, as a table in the shared
+folder. Strings whose last two context bytes agree share a bucket, so all their
+suffixes down to order 2 are at hand there; the order-1 table has at most 65,536
+counts, the only thing every task gets. Counts are summed per bucket (first where
+they are read, then by merges of at most 256 rows), each bucket works out the cost of
+each of its strings, and the costs go back to the blocks that asked for them by a
+merge join that holds the model of one bucket at a time and streams the blocks past
+it; buckets are salted so that a frequent pair of bytes is not one task. Each block
+then adds up its documents. Text is never shuffled except as whole compressed blocks.
 
 Cases: null and empty texts are one end byte and one end token; a null id counts
 as the empty text in the training rule; repeated rows count and score each; an
-empty table gives an empty table; with no training documents all bytes cost
-1/256.
+empty table gives an empty table; with no training documents all bytes cost 1/256.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairplay.session import cut_lineage
+from fairplay.llm.common import write_table
 
-ORDER = 4
+ORDER = 5
 PAD = b"\n" * ORDER
 SHIFT = np.uint64(64 - 8 * (ORDER + 1))
-LOW = np.uint64((1 << int(SHIFT)) - 1)  # room for a position beside a string
+LOW = np.uint64((1 << int(SHIFT)) - 1)  # room for a document's place beside a string
 SEGMENT = 1 << 22
-END_WORD = "\n"
+BUCKETS, SALTS, FAN_IN = 512, 8, 256
+END = b" "  # the end token among words, which hold no spaces
+COUNTS = "bucket int, part long, strings binary, n binary, words binary, word_n binary"
 
 
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-class Strings:
-    """The distinct (context, byte) strings of some documents and where they stand."""
-
-    def __init__(self, docs: list[list[bytes]]):
-        bodies = [b" ".join(w) + b"\n" for w in docs]
-        lengths = np.array([len(b) for b in bodies], np.int64)
-        flat = b"".join(x for b in bodies for x in (PAD, b)) + b"\0" * 8
-        starts = np.cumsum(lengths + ORDER) - lengths - ORDER
-        self.n, self.total = len(bodies), int(lengths.sum())
-        self.ends = np.cumsum(lengths)
-        self.flat, self.starts, self.lengths = flat, starts, lengths
-
-    def segments(self):
-        """(sorted strings shifted left with their document in the low bits) piece by piece."""
-        windows = np.ndarray((len(self.flat) - 7,), ">u8", self.flat, strides=(1,))
-        first = 0
-        while first < self.n:
-            last = int(np.searchsorted(self.ends, (self.ends[first - 1] if first else 0) + SEGMENT, "right"))
-            last = max(last, first + 1)
-            for doc, at in self._positions(first, last):
-                s = (windows[at].astype(np.uint64) & ~LOW) | doc.astype(np.uint64)
+def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array, and where each begins (with the end)."""
+    new = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.array([], np.int64)
+    return sorted_keys[new], np.append(new, len(sorted_keys))
+
+
+def segments(bodies: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    """(first document, its sorted strings shifted left with the document's place after the
+    first in the low bits), some megabytes at a time."""
+    first = 0
+    while first < len(bodies):
+        last, size = first, 0
+        while last < len(bodies) and last - first < int(LOW) and (last == first or size + len(bodies[last]) <= SEGMENT):
+            size += len(bodies[last])
+            last += 1
+        flat = b"".join(x for b in bodies[first:last] for x in (PAD, b)) + b"\0" * 8
+        windows = np.ndarray((len(flat) - 7,), ">u8", flat, strides=(1,))
+        lengths = np.array([len(b) for b in bodies[first:last]], np.int64)
+        begin = np.cumsum(lengths + ORDER) - lengths - ORDER
+        if last - first > 1:
+            doc = np.repeat(np.arange(last - first), lengths)
+            at = np.arange(len(doc)) + (begin - (np.cumsum(lengths) - lengths))[doc]
+            s = (windows[at].astype(np.uint64) & ~LOW) | doc.astype(np.uint64)
+            s.sort()
+            yield first, s
+        else:
+            for cut in range(0, size, SEGMENT):  # one long document in pieces
+                s = windows[cut:min(size, cut + SEGMENT)].astype(np.uint64) & ~LOW
                 s.sort()
                 yield first, s
-            first = last
+        first = last
 
-    def _positions(self, first: int, last: int):
-        lengths = self.lengths[first:last]
-        if lengths.sum() <= SEGMENT:
-            doc = np.repeat(np.arange(last - first), lengths)
-            before = np.cumsum(lengths) - lengths
-            yield doc, np.arange(len(doc)) + (self.starts[first:last] - before)[doc]
-        else:  # one long document
-            for at in range(0, int(lengths[0]), SEGMENT):
-                n = min(SEGMENT, int(lengths[0]) - at)
-                yield np.zeros(n, np.int64), np.arange(n) + int(self.starts[first]) + at
 
+def bucket_of(strings: np.ndarray) -> np.ndarray:
+    return (((strings >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(40503) & np.uint64(0xFFFF)) >> np.uint64(7)
 
-def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of a sorted array, and where each begins (with the end)."""
-    new = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.array([], np.int64)
-    return sorted_keys[new], np.append(new, len(sorted_keys))
+
+def dealt(strings: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket order of the strings and words, and the bounds of the buckets in it."""
+    b = bucket_of(strings).astype(np.int64)
+    w = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % BUCKETS
+    edges = np.arange(BUCKETS + 1)
+    by, wy = np.argsort(b, kind="stable"), np.argsort(w, kind="stable")
+    return by, np.searchsorted(b[by], edges), wy, np.searchsorted(w[wy], edges)
+
+
+def distinct_strings(bodies: list[bytes]) -> np.ndarray:
+    found = [runs(s >> SHIFT)[0] for _, s in segments(bodies)]
+    return np.unique(np.concatenate(found)) if len(found) > 1 else found[0] if found else np.array([], np.uint64)
 
 
-def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A batch -> its distinct strings and words with their counts in training documents."""
-    docs = [tokens(t) for t in pdf["text"]]
-    train = pdf["train"].to_numpy(bool)
-    parts = []
-    strings = Strings(docs)
-    for first, s in strings.segments():
-        keys, at = runs(s >> SHIFT)
+def block_rows(block: int, keys: list, texts: list[list[bytes]], train: np.ndarray) -> pd.DataFrame:
+    """The rows of a block: its documents (bucket -1), and a row per bucket that it asks."""
+    bodies = [b" ".join(w) + b"\n" for w in texts]
+    strings = distinct_strings(bodies)
+    n = np.zeros(len(strings), np.int64)
+    for first, s in segments(bodies):
+        own, at = runs(s >> SHIFT)
         seen = np.concatenate([[0], np.cumsum(train[first + (s & LOW).astype(np.int64)])])
-        parts.append((keys, seen[at[1:]] - seen[at[:-1]]))
-    keys = np.concatenate([k for k, _ in parts]) if parts else np.array([], np.uint64)
-    n = np.concatenate([c for _, c in parts]) if parts else np.array([], np.int64)
-    if len(parts) > 1:
-        keys, back = np.unique(keys, return_inverse=True)
-        n = np.bincount(back, n).astype(np.int64)
-    words, others = Counter(), set()
-    for w, t in zip(docs, train, strict=True):
+        n[np.searchsorted(strings, own)] += seen[at[1:]] - seen[at[:-1]]
+    count: Counter[bytes] = Counter()
+    words: dict[bytes, None] = {END: None}
+    for w, t in zip(texts, train, strict=True):
+        words.update(dict.fromkeys(w))
         if t:
-            words.update(w)
-        else:
-            others.update(w)
-    words[b"\n"] = int(train.sum())
-    for w in others:
-        words.setdefault(w, 0)
-    return pd.DataFrame({
-        "batch": pdf["batch"].iloc[0],
-        "string": np.concatenate([keys.astype(np.int64), np.full(len(words), -1, np.int64)]),
-        "word": [""] * len(keys) + [w.decode() for w in words],
-        "n": np.concatenate([n, np.fromiter(words.values(), np.int64, len(words))])})
+            count.update(w)
+    count[END] = int(train.sum())
+    names = list(words)
+    wn = np.array([count[w] for w in names], np.int64)
+    by, cut, wy, wcut = dealt(strings, names)
+    rows = [(block, -1, keys, train.tolist(), zstandard.compress(b"".join(bodies), 3), None, None, None, None)]
+    for b in range(BUCKETS):
+        s, w = by[cut[b]:cut[b + 1]], wy[wcut[b]:wcut[b + 1]]
+        if len(s) or len(w):
+            rows.append((block, b, None, None, None, strings[s].tobytes(), n[s].astype(np.int32).tobytes(),
+                         b"\n".join([names[i] for i in w]), wn[w].astype(np.int32).tobytes()))
+    return pd.DataFrame(rows, columns=["block", "bucket", "keys", "train", "docs", "strings", "n", "words", "word_n"])
+
+
+def read_strings(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, np.uint64)
+
+
+def read_words(blob: bytes) -> list[bytes]:
+    return blob.split(b"\n") if blob else []
+
+
+def merged(bucket: int, part: int, rows: pd.DataFrame) -> tuple:
+    """One row of counts from several of a bucket."""
+    strings, back = np.unique(np.concatenate([read_strings(s) for s in rows["strings"]]), return_inverse=True)
+    n = np.bincount(back, np.concatenate([np.frombuffer(x, _wide(x, s)) for x, s in zip(rows["n"], rows["strings"], strict=True)]), len(strings))
+    count: Counter[bytes] = Counter()
+    for blob, wn in zip(rows["words"], rows["word_n"], strict=True):
+        names = read_words(blob)
+        count.update(dict(zip(names, np.frombuffer(wn, np.int32 if len(wn) == 4 * len(names) else np.int64).tolist(), strict=True)))
+    return (bucket, part, strings.tobytes(), n.astype(np.int64).tobytes(), b"\n".join(count),
+            np.fromiter(count.values(), np.int64, len(count)).tobytes())
+
+
+def _wide(n: bytes, strings: bytes) -> type:
+    return np.int32 if 2 * len(n) == len(strings) else np.int64
+
+
+def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Map-side sums: the rows that a task reads, merged by bucket every 64 MB."""
+    held: list[pd.DataFrame] = []
+    size = 0
+
+    def flush() -> pd.DataFrame:
+        rows = pd.concat(held)
+        out = [merged(b, int(g["block"].iloc[0]), g) for b, g in rows.groupby("bucket")]
+        held.clear()
+        return pd.DataFrame(out, columns=["bucket", "part", "strings", "n", "words", "word_n"])
+
+    for pdf in batches:
+        held.append(pdf)
+        size += sum(map(len, pdf["strings"])) + sum(map(len, pdf["words"]))
+        if size > 64 << 20:
+            yield flush()
+            size = 0
+    if held:
+        yield flush()
+
+
+def merge_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame([merged(int(pdf["bucket"].iloc[0]), int(pdf["part"].iloc[0]), pdf)],
+                        columns=["bucket", "part", "strings", "n", "words", "word_n"])
 
 
 def costs(strings: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """log10 probability of each distinct string (context bytes, then the byte).
+    """log10 probability of each distinct string (context bytes, then the byte), sorted.
 
-    ``n``: training counts (0: asked for only). ``pairs``: the 256 x 256 counts of a
-    byte after a byte. The strings must hold all that share their last two context
-    bytes. Deepest order first; ``at`` follows each string to its suffix.
+    ``n``: training counts (0: asked for only). ``pairs``: the 256 x 256 counts of a byte
+    after a byte. All strings that share their last two context bytes must be present.
+    Deepest order first; ``at`` follows each string to its suffix at the present order.
     """
-    order = np.argsort(strings)
-    level, n = strings[order].astype(np.uint64), n[order]
-    out, open_ = np.zeros(len(level)), np.ones(len(level), bool)
-    at = np.arange(len(level))
-    total_above = None
-    for k in range(ORDER, 1, -1):
-        contexts, begin = runs(level >> np.uint64(8))
-        ctx = np.repeat(np.arange(len(contexts)), np.diff(begin))
-        total = np.bincount(ctx, n, len(contexts))
-        distinct = np.bincount(ctx, n > 0, len(contexts))
-        if total_above is None:
-            taken, gone = np.zeros(len(at)), np.zeros(len(at))
-        else:  # what the longer context has seen, as counted here
-            taken = np.bincount(ctx_above, np.where(n_above > 0, n[down], 0), len(total_above))[ctx_above[at_above]]
-            gone = distinct_above[ctx_above[at_above]]
-        _code(out, open_, n[at], total[ctx[at]], distinct[ctx[at]], taken, gone)
-        shorter = level & np.uint64((1 << (8 * k)) - 1)
-        below, back = np.unique(shorter, return_inverse=True)
-        total_above, distinct_above, ctx_above, n_above, at_above, down = total, distinct, ctx, n, at, back
-        level, n, at = below, np.bincount(back, n, len(below)), back[at]
-    # order 1 and 0 from the table
-    b, s = (level >> np.uint64(8)).astype(np.int64) & 255, (level & np.uint64(255)).astype(np.int64)
-    one = pairs[b, s]
-    taken = np.bincount(ctx_above, np.where(n_above > 0, one[down], 0), len(total_above))[ctx_above[at_above]]
-    _code(out, open_, one[at], pairs.sum(1)[b[at]], (pairs > 0).sum(1)[b[at]], taken, distinct_above[ctx_above[at_above]])
-    zero = pairs.sum(0)
-    known = pairs > 0
-    _code(out, open_, zero[s[at]], np.full(len(at), zero.sum()), np.full(len(at), (zero > 0).sum()),
-          (known * zero).sum(1)[b[at]], known.sum(1)[b[at]])
-    out[open_] -= math.log10(max(1, 256 - int((zero > 0).sum())))
-    result = np.empty(len(out))
-    result[order] = out
-    return result
-
-
-def _code(out, open_, n, total, distinct, taken, gone) -> None:
+    out, waiting = np.zeros(len(strings)), np.ones(len(strings), bool)
+    level, at = strings, np.arange(len(strings))
+    taken, gone = np.zeros(len(strings)), np.zeros(len(strings))
+    for k in range(ORDER, -1, -1):
+        if k > 1:
+            contexts, begin = runs(level >> np.uint64(8))
+            ctx = np.repeat(np.arange(len(contexts)), np.diff(begin))
+            total, distinct = np.bincount(ctx, n, len(contexts))[ctx], np.bincount(ctx, n > 0, len(contexts))[ctx]
+        elif k == 1:
+            b, s = (level >> np.uint64(8)).astype(np.int64), (level & np.uint64(255)).astype(np.int64)
+            n, total, distinct = pairs[b, s], pairs.sum(1)[b], (pairs > 0).sum(1)[b]
+        else:
+            n = pairs.sum(0)
+            total, distinct = np.full(256, n.sum()), np.full(256, (n > 0).sum())
+        _code(out, waiting, n[at], total[at], distinct[at], taken, gone)
+        if k == 0:
+            break
+        # what this context has seen is excluded from the next shorter one
+        if k > 1:
+            shorter, back = np.unique(level & np.uint64((1 << (8 * k)) - 1), return_inverse=True)
+            short_n = np.bincount(back, n, len(shorter)) if k > 2 else pairs[
+                (shorter >> np.uint64(8)).astype(np.int64), (shorter & np.uint64(255)).astype(np.int64)]
+            taken = np.bincount(ctx, np.where(n > 0, short_n[back], 0), len(contexts))[ctx][at]
+            gone = distinct[at]
+            level, n, at = shorter, short_n, back[at]
+        else:
+            known = pairs > 0
+            taken, gone, at = (known * pairs.sum(0)).sum(1)[b][at], distinct[at], s[at]
+    out[waiting] -= math.log10(max(1, 256 - int((pairs.sum(0) > 0).sum())))
+    return out
+
+
+def _code(out, waiting, n, total, distinct, taken, gone) -> None:
     """Adds the cost at one order: of the byte, where this context knows it, else of the escape."""
     room, fresh = total - taken, distinct - gone
-    size = room + fresh
-    hit = open_ & (n > 0)
-    out[hit] += np.log10(n[hit] / size[hit])
-    miss = open_ & (n == 0) & (total > 0) & (fresh > 0)
-    out[miss] += np.log10(fresh[miss] / size[miss])
-    open_ &= n == 0
-
-
-def score_batch(docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """Documents of a batch and the values of its strings and words -> scores."""
-    texts = [tokens(t) for t in docs["text"]]
-    is_word = asked["string"].to_numpy() < 0
-    known = np.argsort(asked["string"].to_numpy()[~is_word])
-    keys = asked["string"].to_numpy()[~is_word][known].astype(np.uint64)
-    values = asked["value"].to_numpy()[~is_word][known]
-    score = np.zeros(len(texts))
-    for first, s in Strings(texts).segments():
-        own, at = runs(s >> SHIFT)
-        per = np.repeat(values[np.searchsorted(keys, own)], np.diff(at))
-        doc = (s & LOW).astype(np.int64)
-        add = np.bincount(doc, per)
-        score[first:first + len(add)] += add
-    cost = dict(zip((w.encode() for w in asked["word"][is_word]), asked["value"][is_word], strict=True))
-    unseen = min(cost.values(), default=0.0) if (asked["n"][is_word] == 0).any() else -math.inf
-    base, n_known = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-    end = cost[b"\n"]
-    for i, w in enumerate(texts):
-        v = list(map(cost.__getitem__, w))
-        v.append(end)
-        base[i] = math.fsum(v)
-        n_known[i] = len(v) - v.count(unseen)
-    return pd.DataFrame({"row": docs["row"], "held_out": ~docs["train"], "n_tokens": [len(w) + 1 for w in texts],
-                         "n_known": n_known, "base_score": base, "score": score})
+    hit = waiting & (n > 0)
+    out[hit] += np.log10((n[hit] - 0.5) / room[hit])
+    miss = waiting & (n == 0) & (fresh > 0)
+    out[miss] += np.log10(fresh[miss] / 2 / room[miss])
+    waiting &= n == 0
+
+
+def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Merge join: sorted rows, a bucket's model before the blocks that ask it."""
+    model = None
+    for pdf in batches:
+        rows = []
+        for r in pdf.itertuples():
+            if r.block < 0:
+                model = read_strings(r.strings), np.frombuffer(r.n), dict(zip(
+                    read_words(r.words), np.frombuffer(r.word_n, np.int64).tolist(), strict=True))
+                continue
+            at = np.searchsorted(model[0], read_strings(r.strings))
+            rows.append((r.block, r.bucket, model[1][at].tobytes(),
+                         np.array([model[2][w] for w in read_words(r.words)], np.int64).tobytes()))
+        if rows:
+            yield pd.DataFrame(rows, columns=["block", "bucket", "cost", "count"])
 
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", fold: int = 2, folds: int = 7,
-          batch_bytes: int = 12_000_000) -> DataFrame:
+          block_bytes: int = 8_000_000) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Documents whose crc32(key as text) mod ``folds`` is ``fold`` are held out. base: add-one
-    unigram words. ``batch_bytes`` sets only how the work is cut.
+    unigram words. ``block_bytes`` sets only how the work is cut.
     """
-    name = F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")
     kind = dict(df.dtypes)[key]
-    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    batches = max(1, -(-size // batch_bytes))
-    docs = df.select(F.col(key).alias("row"), F.col(text).alias("text"), (F.crc32(name) % folds != fold).alias("train"),
-                     F.pmod(F.xxhash64(key), F.lit(batches)).cast("int").alias("batch"))
-    asked = cut_lineage(docs.groupBy("batch").applyInPandas(gather, "batch int, string long, word string, n long"))
-    counts = cut_lineage(asked.groupBy("string", "word").agg(F.sum("n").alias("n")))
-    words = counts.filter("string < 0")
-    n_train, vocabulary = words.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
-    pairs = np.zeros((256, 256), np.int64)
-    two = F.col("string").bitwiseAND(F.lit(0xFFFF))
-    for p, n in counts.filter("string >= 0").groupBy(two.alias("p")).agg(F.sum("n")).collect():  # 65,536 rows at most
-        pairs[p >> 8, p & 255] = n
-
-    def trie(pdf: pd.DataFrame) -> pd.DataFrame:
-        strings = pdf["string"].to_numpy()
-        n = pdf["n"].to_numpy()
-        return pd.DataFrame({"string": strings, "word": "", "n": n, "value": costs(strings, n, pairs)})
-
-    group = F.pmod(F.xxhash64(F.shiftright("string", 8).bitwiseAND(F.lit(0xFFFF))), F.lit(512))
-    model = (counts.filter("string >= 0").groupBy(group.alias("g"))
-             .applyInPandas(trie, "string long, word string, n long, value double"))
-    all_tokens = (n_train or 0) + (vocabulary or 0) + 1
-    model = model.unionByName(words.withColumn("value", F.log10((F.col("n") + 1) / F.lit(float(all_tokens)))))
-    answers = asked.select("batch", "string", "word").join(model, ["string", "word"])
-    return (docs.groupBy("batch").cogroup(answers.groupBy("batch"))
-            .applyInPandas(score_batch, f"row {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = TaskContext.get().partitionId() << 32
+        keys, texts, train, size = [], [], [], 0
+        for pdf in batches:
+            for k, t, x in zip(pdf["k"], pdf["t"], pdf["train"], strict=True):
+                keys.append(None if pd.isna(k) else k)
+                texts.append(tokens(t))
+                train.append(x)
+                size += len(t or "")
+                if size > block_bytes or len(keys) >= 1 << 17:
+                    yield block_rows(block, keys, texts, np.array(train, bool))
+                    keys, texts, train, size, block = [], [], [], 0, block + 1
+        if keys:
+            yield block_rows(block, keys, texts, np.array(train, bool))
+
+    name = F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")
+    docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"), (F.crc32(name) % folds != fold).alias("train"))
+    blocks = write_table(docs.mapInPandas(
+        cut, f"block long, bucket int, keys array<{kind}>, train array<boolean>, docs binary, strings binary, n binary, "
+        "words binary, word_n binary"), "ppm-blocks")
+    asked = blocks.filter("bucket >= 0").select("block", "bucket", "strings", "n", "words", "word_n")
+    sums = asked.mapInPandas(combine, COUNTS)
+    parts = blocks.filter("bucket < 0").count()
+    while parts > FAN_IN:
+        parts = -(-parts // FAN_IN)
+        sums = sums.groupBy("bucket", F.pmod(F.xxhash64("part"), F.lit(parts)).alias("to")).applyInPandas(merge_group, COUNTS)
+    counts = write_table(sums.groupBy("bucket").applyInPandas(merge_group, COUNTS), "ppm-counts")
+
+    def statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                two = (read_strings(r.strings) & np.uint64(0xFFFF)).astype(np.int64)
+                n = np.bincount(two, np.frombuffer(r.n, np.int64), 1 << 16).astype(np.int64)
+                wn = np.frombuffer(r.word_n, np.int64)
+                own = np.flatnonzero(n)
+                yield pd.DataFrame({"p": [*own, -1, -2], "n": [*n[own], wn.sum(), (wn > 0).sum()]})
+
+    pairs, n_train, vocabulary = np.zeros((256, 256), np.int64), 0, 0
+    for p, n in counts.mapInPandas(statistics, "p int, n long").groupBy("p").agg(F.sum("n")).collect():  # 65,538 rows at most
+        if p >= 0:
+            pairs[p >> 8, p & 255] = n
+        elif p == -1:
+            n_train = n
+        else:
+            vocabulary = n
+
+    def price(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["n"] = [costs(read_strings(s), np.frombuffer(n, np.int64), pairs).tobytes() for s, n in zip(pdf["strings"], pdf["n"], strict=True)]
+            yield pdf
+
+    model = (counts.mapInPandas(price, COUNTS).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+             .select(F.lit(-1).cast("long").alias("block"), "bucket", "strings", "n", "words", "word_n", "salt"))
+    salted = asked.withColumn("n", F.lit(None).cast("binary")).withColumn("word_n", F.lit(None).cast("binary")).withColumn(
+        "salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int"))
+    answers = (model.unionByName(salted).repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "block")
+               .select("block", "bucket", "strings", "n", "words", "word_n")
+               .mapInPandas(answer, "block long, bucket int, cost binary, count binary"))
+    unit = math.log10(n_train + vocabulary + 1)
+
+    def add_up(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        bodies = [b + b"\n" for b in zstandard.decompress(block["docs"].iloc[0]).split(b"\n")[:-1]]
+        texts = [b.split() for b in bodies]
+        strings, words = distinct_strings(bodies), {END: None}
+        for w in texts:
+            words.update(dict.fromkeys(w))
+        names = list(words)
+        by, _, wy, _ = dealt(strings, names)
+        found = found.sort_values("bucket")
+        cost, count = np.empty(len(strings)), np.empty(len(names), np.int64)
+        cost[by] = np.concatenate([np.frombuffer(c) for c in found["cost"]])
+        count[wy] = np.concatenate([np.frombuffer(c, np.int64) for c in found["count"]])
+        total = np.zeros(len(bodies))
+        for first, s in segments(bodies):
+            own, at = runs(s >> SHIFT)
+            part = np.bincount((s & LOW).astype(np.int64), np.repeat(cost[np.searchsorted(strings, own)], np.diff(at)))
+            total[first:first + len(part)] += part
+        logs = dict(zip(names, (np.log10(count + 1) - unit).tolist(), strict=True))
+        unseen = {w for w, c in zip(names, count.tolist(), strict=True) if not c}
+        base = [math.fsum(map(logs.__getitem__, w)) + logs[END] for w in texts]
+        known = [len(w) + (END not in unseen) - (sum(map(unseen.__contains__, w)) if unseen else 0) for w in texts]
+        return pd.DataFrame({"row": pd.Series(list(block["keys"].iloc[0]), dtype="object"), "held_out": ~np.array(block["train"].iloc[0], bool),
+                             "n_tokens": [len(w) + 1 for w in texts], "n_known": known, "base_score": base, "score": total})
+
+    return (blocks.filter("bucket < 0").select("block", "keys", "train", "docs").groupBy("block").cogroup(answers.groupBy("block"))
+            .applyInPandas(add_up, f"row {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
             .select(F.col("row").alias(key), "held_out", "n_tokens", "n_known",
-                    F.lit(n_train or 0).cast("long").alias("train_tokens"), "base_score", "score"))
+                    F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score"))
