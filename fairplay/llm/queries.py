@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairplay.llm import mixing, pieces, ppm, sharding, simhash, token_files
+from fairplay.llm import mixing, pieces, ppm, quality, sharding, simhash, token_files
 from fairplay.llm.common import n_words, read, text_or_empty, utf8_size
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.scratch(spark, "tokens")
     token_files.write(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path, end_id=2)
     return token_files.read_back(spark, path)
+
+
+@query
+def op3_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures, base rule and verdict of every document."""
+    return quality.judged(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
