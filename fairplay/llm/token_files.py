@@ -69,7 +69,7 @@ class Words:
         units = self.units
         if len(units) > CACHE:
             units.clear()
-        missing = list({u for p in parts.values() for u in p} - units.keys())
+        missing = list({u for p in parts.values() for u in p}.difference(units))
         ids = {u: np.array(e.ids, "<u4").tobytes() for u, e in zip(
             missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True)}
         units.update((u, i) for u, i in ids.items() if len(u) <= LONGEST)
@@ -80,7 +80,7 @@ class Words:
         known = self.words
         if len(known) > CACHE:
             known.clear()
-        new = set(words) - known.keys()
+        new = set(words).difference(known)
         if new:
             found = self.learn(new)
             short = {w: i for w, i in found.items() if len(w) <= LONGEST}
