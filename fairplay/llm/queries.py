@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairplay.llm import mixing, pieces, ppm, quality, sharding, simhash, token_files
+from fairplay.llm import html_text, mixing, pieces, ppm, quality, sharding, simhash, token_files, topk
 from fairplay.llm.common import n_words, read, text_or_empty, utf8_size
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,15 @@ def op3_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures, base rule and verdict of every document."""
     return quality.judged(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
+@query
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest inner products of every query vector (ids divisible by 100)."""
+    return topk.search(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
+@query
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(read(spark, sf_dir, "pages"))
