@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairplay.llm import html_text, mixing, pieces, ppm, quality, sharding, simhash, token_files, topk
+from fairplay.llm import html_text, mixing, pieces, ppm, quality, sharding, simhash, suffix_dedup, token_files, topk
 from fairplay.llm.common import n_words, read, text_or_empty, utf8_size
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,9 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(read(spark, sf_dir, "pages"))
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeats of every document's bytes, 400 at a time, is removed."""
+    return suffix_dedup.removed(read(spark, sf_dir, "documents"))
