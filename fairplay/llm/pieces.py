@@ -26,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import accumulate, chain
 from pathlib import Path
 
 import numpy as np
@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 CACHE, LONGEST = 150_000, 64
 ROWS = 256  # rows of a result frame: bounds what a worker holds
 SPACE = "▁"
+PREFIX = len(SPACE.encode())
 CHUNK = re.compile(" +[^ ]*")
 _LOADED: dict[str, Codec] = {}
 
@@ -164,8 +165,14 @@ class Codec:
 
     def spans(self, text: str, ids: list[int]) -> tuple[tuple[int, ...], tuple[int, ...]]:
         """Original byte spans of the pieces; -1: begins in the dummy prefix."""
-        normal, source = self.normalizer(text)
         lengths = [self.lengths[i] for i in ids]
+        if self.chunked and " " not in text and SPACE not in text and all(lengths):
+            # the prefix, then the text as it is: a place is its place less the prefix
+            ends = [e - PREFIX for e in accumulate(lengths)]
+            if ends[-1] != len(text.encode()):
+                raise ValueError("pieces do not tile the normalised text")
+            return (-1, *ends[:-1]), tuple(ends)
+        normal, source = self.normalizer(text)
         if not all(lengths):  # an unknown piece has its surface's length
             lengths = [n or len(p.encode()) for n, p in zip(lengths, self.library.encode(text, out_type=str), strict=True)]
         ends, at = [], 0
