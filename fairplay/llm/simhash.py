@@ -56,15 +56,17 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = 3) -> DataFrame:
-    """(key, fp long) of every row."""
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = 3, *more: str) -> DataFrame:
+    """(key, fp long, more columns) of every row."""
+    types = dict(df.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"k": b["k"], "fp": [fingerprint(t, words_per_shingle) for t in b["t"]]})
+            b["fp"] = [fingerprint(t, words_per_shingle) for t in b["t"]]
+            yield b.drop(columns="t")
 
-    slim = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return slim.mapInPandas(run, f"k {dict(df.dtypes)[key]}, fp long").withColumnRenamed("k", key)
+    slim = df.select(F.col(key).alias("k"), *more, F.col(text).alias("t"))
+    return slim.mapInPandas(run, ", ".join([f"k {types[key]}", *(f"{c} {types[c]}" for c in more), "fp long"])).withColumnRenamed("k", key)
 
 
 def links(fps: DataFrame, max_bits: int = 2, segments: int = 8, pair_limit: int = 64) -> DataFrame:
@@ -102,23 +104,33 @@ def links(fps: DataFrame, max_bits: int = 2, segments: int = 8, pair_limit: int
     return pairs.unionByName(meet.join(first, ["i", "at"]).filter("fp <> v").select(F.col("fp").alias("u"), "v"))
 
 
+def _rooted(rows: DataFrame, key: str, max_bits: int, segments: int) -> DataFrame:
+    """(fp, root, low): the components of the distinct fingerprints and their smallest keys."""
+    distinct = rows.groupBy("fp").agg(F.min(key).alias("low"))
+    roots = components(links(distinct.select("fp"), max_bits, segments))
+    return cut_lineage(distinct.join(roots, distinct["fp"] == roots["node"], "left")
+                       .select("fp", "low", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = 3,
                     max_bits: int = 2, segments: int = 8) -> DataFrame:
     """(key, fp, component_id): the smallest key reachable by links, the row's own included."""
     rows = cut_lineage(fingerprints(df.select(key, text), key, text, words_per_shingle))
-    distinct = rows.groupBy("fp").agg(F.min(key).alias("low"))
-    roots = components(links(distinct.select("fp"), max_bits, segments))
-    rooted = cut_lineage(distinct.join(roots, distinct["fp"] == roots["node"], "left")
-                         .select("fp", "low", F.coalesce("root", "fp").alias("root")))
+    rooted = _rooted(rows, key, max_bits, segments)
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     return rows.join(rooted.join(lowest, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """``df``'s rows without near-duplicates: of each component the row with the smallest
-    key; a key in several rows is kept once. Rows with null keys stay only if their whole
-    component has null keys."""
-    found = near_duplicates(df, key, text, **how)
-    keep = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__k")).distinct()
-    kept = df.join(keep, df[key].eqNullSafe(keep["__k"])).drop("__k")
-    return kept.dropDuplicates([key])
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = 3,
+             max_bits: int = 2, segments: int = 8) -> DataFrame:
+    """One row of each component, in ``df``'s columns: that of the smallest key (null last),
+    then the smallest MD5 of the text; of rows equal in both, any one."""
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    slim = df.select(key, text, digest.alias("__h"))
+    rows = cut_lineage(fingerprints(slim, key, text, words_per_shingle, "__h"))
+    rooted = _rooted(rows, key, max_bits, segments).select("fp", "root")
+    first = rows.join(rooted, "fp").groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("z"), F.col(key).alias("k"), F.col("__h").alias("h"))).alias("m"))
+    keep = first.select(F.col("m.k").alias("__k"), F.col("m.h").alias("__kh"))
+    hashed = df.withColumn("__h", digest)
+    kept = hashed.join(keep, hashed[key].eqNullSafe(keep["__k"]) & (hashed["__h"] == keep["__kh"]))
+    return kept.dropDuplicates(["__k", "__kh"]).select(*df.columns)
