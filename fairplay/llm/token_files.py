@@ -25,6 +25,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -75,19 +76,17 @@ class Words:
         units.update((u, i) for u, i in ids.items() if len(u) <= LONGEST)
         return {w: b"".join([ids[u] if u in ids else units[u] for u in p]) for w, p in parts.items()}
 
-    def encode(self, text: str) -> bytes:
-        words = text.encode().split()
-        known = self.words
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split, known = [t.encode().split() for t in texts], self.words
         if len(known) > CACHE:
             known.clear()
-        new = set(words).difference(known)
+        new = set(chain.from_iterable(split)).difference(known)
         if new:
             found = self.learn(new)
-            short = {w: i for w, i in found.items() if len(w) <= LONGEST}
-            known.update(short)
-            if len(short) < len(found):
-                return b"".join([found[w] if w in found else known[w] for w in words])
-        return b"".join(map(known.__getitem__, words))
+            known.update((w, i) for w, i in found.items() if len(w) <= LONGEST)
+            if any(len(w) > LONGEST for w in new):
+                return [b"".join([known[w] if w in known else found[w] for w in words]) for words in split]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def loaded(vocabulary: bytes) -> Words:
@@ -111,7 +110,7 @@ def write(df: DataFrame, vocabulary_path: str, path: str, end_id: int, key: str
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [words.encode(t or "") + end for t in part.column(1).to_pylist()]
+                ids = [i + end for i in words.encode([t or "" for t in part.column(1).to_pylist()])]
                 n = np.fromiter((len(i) // 4 for i in ids), np.int64, len(ids))
                 ends = np.concatenate([[0], np.cumsum(n)])
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
