@@ -78,7 +78,9 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         "n_stop_words": F.size(F.array_intersect("__w", F.array(*map(F.lit, STOP_WORDS)))),
         "n_distinct": F.size(F.array_distinct("__w")),
     }
-    return a.withColumn("__m", F.struct(*[c.cast("long").alias(n) for n, c in counts.items()])).drop("__w", "__l", "__g", "__i", "__e")
+    # the number beside the measures keeps conditions on them above this step, where they are columns
+    a = a.withColumns({"__m": F.struct(*[c.cast("long").alias(n) for n, c in counts.items()]), "__n": F.monotonically_increasing_id()})
+    return a.filter("__n >= 0").drop("__w", "__l", "__g", "__i", "__e", "__n")
 
 
 def votes(m: DataFrame) -> DataFrame:
