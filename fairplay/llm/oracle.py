@@ -1,5 +1,117 @@
-"""DuckDB SQL of the registered queries that SQL can express."""
+"""DuckDB SQL of the registered queries that SQL can express: searches (1), quality
+(3), sharding (4) and mixing (7). The others work on bytes, hashes or tokenizers
+that SQL does not have; ``tests/llm`` holds them against brute force."""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+
+from fairplay.llm import quality, sharding
+
+WORD = r"[^\x20\x09-\x0D]+"
+SIZE = f"CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT)"
+
+TOP_K = """
+WITH v AS (SELECT CAST(vec_id AS BIGINT) AS id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+     s AS (SELECT q.id AS query_id, c.id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.id <> c.id WHERE q.id % 100 = 0),
+     r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
+def sharding_sql(seed: int, shards: int) -> str:
+    def permuted(value: str, name: str, source: str) -> str:
+        """Nested selects of the half rounds over ``source``, which has t, a and b."""
+        q = f"SELECT * EXCLUDE ({value}), {value} % a AS x, {value} // a AS y FROM {source}"
+        for i, k in enumerate(sharding.round_keys(seed)):
+            f = lambda v: f"((({v} * {k[0]} + {k[1]}) % {sharding.P1}) * {k[2]} % {sharding.P2})"  # noqa: B023, E731
+            new = f"x, (y + {f('x')}) % b AS y" if i % 2 else f"(x + {f('y')}) % a AS x, y"
+            q = f"SELECT * EXCLUDE (x, y), {new} FROM ({q})"
+        return f"SELECT * EXCLUDE (x, y), y * a + x AS {name} FROM ({q})"
+
+    step = "list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, {})"
+    return f"""
+WITH RECURSIVE crc_table AS (SELECT list_transform(range(256), lambda n: {step.format("CAST(n AS BIGINT)")}) AS t),
+docs AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
+           list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)),
+             lambda c, b: xor(c // 256, t[CAST(xor(c % 256, b) AS INTEGER) + 1]), 4294967295) AS crc
+         FROM documents, crc_table),
+summed AS (SELECT doc_id, size, xor(crc, 4294967295) AS text_crc32 FROM docs),
+numbered AS (SELECT *, CAST(row_number() OVER (ORDER BY left(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), {sharding.BUCKET_DIGITS}),
+           doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS v, count(*) OVER () AS t FROM summed),
+sized AS (SELECT *, CAST(ceil(sqrt(t)) AS BIGINT) AS a, (t + CAST(ceil(sqrt(t)) AS BIGINT) - 1) // CAST(ceil(sqrt(t)) AS BIGINT) AS b FROM numbered),
+walk AS (SELECT * FROM ({permuted("v", "v", "sized")})
+  UNION ALL SELECT * FROM ({permuted("v", "v", "(SELECT * FROM walk WHERE v >= t)")}))
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(v % {shards} AS INTEGER) AS shard, CAST(v // {shards} AS BIGINT) AS slot,
+       CAST(NULL AS INTEGER) AS grown_shard
+FROM walk WHERE v < t"""
+
+
+MIXING = f"""
+WITH d AS (SELECT doc_id, source, {SIZE} AS size, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS weight,
+        source_size * 2.0::DOUBLE AS cap FROM s),
+-- sources in the order in which a rising level reaches their caps; the last level that caps nothing more holds
+o AS (SELECT *, coalesce(sum(cap) OVER k, 0) AS capped, sum(weight) OVER r AS open
+      FROM w WINDOW k AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                    r AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+l AS (SELECT min_by(level, cap / weight) AS level FROM (
+        SELECT cap, weight, (1.5::DOUBLE * (SELECT sum(source_size) FROM s) - capped) / open AS level FROM o) WHERE level * weight <= cap),
+t AS (SELECT source, source_size, least(cap, level * weight) AS target FROM w, l),
+x AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+        CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS whole,
+        sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) AS upto
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (whole + CASE WHEN upto - size / 2 <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM x"""
+
+
+def quality_sql() -> str:
+    rules = list(quality.RULES.items())
+    stops = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+    ends = quality.ENDED.replace("\\x20\\x09-\\x0D", "\\x20\\x09-\\x0D")
+    q = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '{WORD}')) AS l FROM documents),
+grams AS (SELECT rid, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM docs WHERE len(w) >= 3)),
+hits AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM grams) WHERE n > 1),
+places AS (SELECT DISTINCT rid, i + k AS i FROM hits, (VALUES (0), (1), (2)) AS x(k)),
+repeats AS (SELECT rid, count(*) AS n FROM places GROUP BY rid),
+m AS (SELECT docs.rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words,
+    len(l) AS n_lines, len(list_filter(l, lambda x: regexp_matches(x, '{ends}'))) AS n_ended_lines,
+    length(t) - length(regexp_replace(t, '\\p{{L}}+', '', 'g')) AS n_letters, length(t) AS n_chars,
+    len(list_intersect(w, [{stops}])) AS n_stop_words, len(list_distinct(w)) AS n_distinct
+  FROM docs LEFT JOIN repeats ON docs.rid = repeats.rid),
+v AS (SELECT *, {", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS v_{r}" for r, (good, bad) in rules)} FROM m),
+patterns AS (SELECT {", ".join(f"v_{r}" for r, _ in rules)}, CAST(count(*) AS DOUBLE) AS n FROM v GROUP BY ALL),
+e0 AS (SELECT {quality.PRIOR}::DOUBLE AS prior, {", ".join(f"{quality.START[0]}::DOUBLE AS g_{r}, {quality.START[1]}::DOUBLE AS b_{r}" for r, _ in rules)})"""
+    logit = "ln(prior / (1 - prior))" + "".join(
+        f" + CASE v_{r} WHEN 1 THEN ln(g_{r} / (1 - b_{r})) WHEN -1 THEN ln((1 - g_{r}) / b_{r}) ELSE 0 END" for r, _ in rules)
+    limit = lambda x: f"least(greatest({x}, {1 - quality.SURE!r}::DOUBLE), {quality.SURE}::DOUBLE)"
+    for i in range(quality.ROUNDS):
+        share = lambda r, v, p, start: limit(
+            f"(sum(CASE WHEN v_{r} = {v} THEN n * {p} ELSE 0 END) + {quality.SMOOTH * start}::DOUBLE) / "
+            f"(sum(CASE WHEN v_{r} <> 0 THEN n * {p} ELSE 0 END) + {quality.SMOOTH}::DOUBLE)")
+        q += f""",
+e{i + 1} AS MATERIALIZED (SELECT {limit("sum(n * p) / sum(n)")} AS prior, {", ".join(
+            f"{share(r, 1, 'p', quality.START[0])} AS g_{r}, {share(r, -1, '(1 - p)', quality.START[1])} AS b_{r}" for r, _ in rules)}
+  FROM (SELECT *, 1 / (1 + exp(-({logit}))) AS p FROM patterns, e{i}))"""
+    return q + f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 1 / (1 + exp(-({logit}))) >= 0.5 AS kept
+FROM v, e{quality.ROUNDS}"""
+
+
+SQL: dict[str, str] = {
+    "op1_exact_top_k": TOP_K,
+    "op3_weak_supervision_quality": quality_sql(),
+    "op4_feistel_sharding": sharding_sql(4, 8),
+    "op7_source_mixing": MIXING,
+}

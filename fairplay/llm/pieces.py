@@ -248,7 +248,7 @@ def _apply(df: DataFrame, key: str, text: str, model_path: str, columns: str,
         for b in batches:
             for at in range(0, len(b), ROWS):
                 part = b.iloc[at:at + ROWS]
-                rows = [each(codec, t or "") for t in part["t"]]
+                rows = [each(codec, "" if t is None else t) for t in part["t"]]
                 yield pd.DataFrame({"k": part["k"].reset_index(drop=True)} | {n: [r[i] for r in rows] for i, n in enumerate(names)})
 
     slim = df.select(F.col(key).alias("k"), F.col(text).alias("t"))

@@ -69,7 +69,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures, base rule and verdict of every document."""
     return quality.judged(read(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 @query
