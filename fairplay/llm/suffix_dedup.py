@@ -319,8 +319,8 @@ def repeated_spans(df: DataFrame, text: str = "text", class_limit: int = 50_000,
     texts = df.select(F.col(text).alias("t"))
     places = write_table(texts.mapInPandas(found_anchors, "key long, t long, place long, head binary"), "anchors")
     mark = F.xxhash64("t", "place")
-    twice = (places.groupBy("key").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.count(F.lit(1)).alias("n"))
-             .filter("lo <> hi").select("key", "n"))
+    twice = write_table(places.groupBy("key").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.count(F.lit(1)).alias("n"))
+                        .filter("lo <> hi").select("key", "n"), "repeated-keys")  # on its own, so that the join can split a hot key
     kept = write_table(places.join(twice, "key"), "repeated-anchors")
     total = kept.count()
     if not total:
