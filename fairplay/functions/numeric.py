@@ -16,9 +16,13 @@ def fixed(c: str | Column, digits: int) -> Column:
     Spark's ``round`` rounds the *decimal text* of a double half-up (2.675 ->
     2.68) while Python and most engines see the binary value (2.67). This
     form gives the same double in every engine that follows IEEE arithmetic.
+    NaN, infinities and values so large that the scaled value has no fraction
+    pass through unchanged.
     """
     scale = float(10 ** digits)
-    return (F.floor(col_of(c).cast("double") * scale + 0.5) / scale).cast("double")
+    x = col_of(c).cast("double")
+    rounded = (F.floor(x * scale + 0.5) / scale).cast("double")
+    return F.when(F.abs(x * scale) < F.lit(2.0 ** 52), rounded).otherwise(x)
 
 
 def safe_div(num: str | Column, den: str | Column, default: float | None = 0.0) -> Column:

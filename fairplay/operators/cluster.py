@@ -270,10 +270,25 @@ def cluster_profiles(long: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def cluster_medians(long: DataFrame, labels: DataFrame, accuracy: int = 10000) -> DataFrame:
-    """K9 medians with a bounded-memory sketch (a hot cluster is never held whole)."""
+    """K9 medians, exact: a sketch brackets the middle, values below the bracket are
+    counted and only the distinct values inside it are ranked, so a hot cluster is
+    never held whole."""
     lab = labels.where(F.col("label") != NOISE)
-    return long.join(lab, "id").groupBy("label", "feature").agg(
-        F.percentile_approx("value", 0.5, accuracy).alias("median"))
+    pts = long.join(lab, "id").where(F.col("value").isNotNull())
+    keys = ["label", "feature"]
+    slack = 2.0 / accuracy
+    around = pts.groupBy(*keys).agg(
+        F.percentile_approx("value", [0.5 - slack, 0.5 + slack], accuracy).alias("q"), F.count(F.lit(1)).alias("n"))
+    near = pts.join(around, keys)
+    below = near.groupBy(*keys).agg(F.count_if(F.col("value") < F.col("q")[0]).alias("below"))
+    w = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    inside = (near.where(F.col("value").between(F.col("q")[0], F.col("q")[1]))
+              .groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+              .join(below, keys).withColumn("upto", F.col("below") + F.sum("c").over(w)))
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    holds = lambda rank: (F.col("upto") >= rank) & (F.col("upto") - F.col("c") < rank)
+    return inside.groupBy(*keys).agg(
+        ((F.max(F.when(holds(low), F.col("value"))) + F.max(F.when(holds(high), F.col("value")))) / 2).alias("median"))
 
 
 def top_features(long: DataFrame, labels: DataFrame, k: int = 5,

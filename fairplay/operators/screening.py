@@ -11,6 +11,7 @@ UDF); the field-type check is JVM-side via the VARIANT type.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -120,6 +121,18 @@ JSON_LIMITS_TYPE = T.StructType([
 ])
 
 
+def _nesting(d: str) -> int:
+    """Depth of the deepest bracket outside strings, the root at 0."""
+    depth = deepest = 0
+    for ch in re.sub(r'"(?:[^"\\]|\\.)*"', "", d):
+        if ch in "[{":
+            depth += 1
+            deepest = max(deepest, depth)
+        elif ch in "]}":
+            depth -= 1
+    return max(0, deepest - 1)
+
+
 @F.pandas_udf(JSON_LIMITS_TYPE)
 def json_limits(docs: pd.Series) -> pd.DataFrame:
     """C14: depth (root = 0), widest object, longest array, violated limits."""
@@ -132,7 +145,9 @@ def json_limits(docs: pd.Series) -> pd.DataFrame:
         else:
             try:
                 _walk(json.loads(d), 0, stats)
-            except (ValueError, RecursionError):
+            except RecursionError:  # deeper than any parser goes: measured without one
+                stats["max_depth"] = max(stats["max_depth"], _nesting(d))
+            except ValueError:
                 ok = False
         if stats["max_depth"] > MAX_JSON_DEPTH:
             stats["violations"].add("too_deep")
@@ -163,13 +178,14 @@ def _sanitize_value(v):
 
 @F.pandas_udf(T.StringType())
 def json_sanitize(docs: pd.Series) -> pd.Series:
-    """C8 applied to every key and string leaf; invalid JSON -> null."""
+    """C8 applied to every key and string leaf; JSON that is invalid or nested
+    beyond what the parser takes -> null."""
     def one(d):
         if d is None:
             return None
         try:
             return json.dumps(_sanitize_value(json.loads(d)), ensure_ascii=False)
-        except ValueError:
+        except (ValueError, RecursionError):
             return None
     return docs.map(one)
 

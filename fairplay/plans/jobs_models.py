@@ -25,6 +25,7 @@ from fairplay.sources import tables as TB
 FEATS = PROFILE_FEATURES
 CONTAMINATION = 0.1
 Z_CUT = 3.0
+DBSCAN_EPS = 2.0
 
 
 # ---------------------------------------------------------------- shared inputs
@@ -173,7 +174,8 @@ def k09_cluster_profiles(spark, sf_dir):
     return CL.cluster_profiles(raw, labels)
 
 
-@job("k09_cluster_medians")
+@job("k09_cluster_medians", CL_VIEWS + """
+SELECT l.label, r.feature, median(r.value) AS median FROM raw r JOIN labels l ON r.id = l.id WHERE l.label <> -1 GROUP BY l.label, r.feature""", doubles=["median"])
 def k09_cluster_medians(spark, sf_dir):
     _, raw, _, labels = _inputs(spark, sf_dir)
     return CL.cluster_medians(raw, labels)
@@ -253,11 +255,25 @@ def k02_gaussian_mixture(spark, sf_dir):
 
 @job("k03_dbscan")
 def k03_dbscan(spark, sf_dir):
-    """K3 on the embeddings table (eps 0.5 in the 2-D principal plane grid, exact distances)."""
-    pts = _embedding_points(spark, sf_dir)
+    """K3 on the standardised profiles (grid in the 2-D principal plane, exact distances)."""
     from fairplay.operators.neighbors import dbscan
 
-    return dbscan(pts, eps=0.5, min_samples=5)
+    return dbscan(_profile_points(spark, sf_dir), eps=DBSCAN_EPS, min_samples=5)
+
+
+VECTOR_SQL = {"vec": "SELECT id, list(value ORDER BY feature) AS x FROM std GROUP BY id",
+              "dist": "SELECT a.id, b.id AS nid, list_distance(a.x, b.x) AS d FROM vec a JOIN vec b ON a.id <> b.id"}
+
+
+@job("k03_dbscan_core", _views(VECTOR_SQL) + f"""
+SELECT v.id, count(d.nid) + 1 >= 5 AS is_core, coalesce(max(d.core_near), 0) = 0 AND count(d.nid) + 1 < 5 AS is_noise
+FROM vec v LEFT JOIN (SELECT d.*, CASE WHEN c.n >= 4 THEN 1 ELSE 0 END AS core_near FROM dist d
+                      JOIN (SELECT id, count(*) AS n FROM dist WHERE d <= {DBSCAN_EPS} GROUP BY id) c ON d.nid = c.id
+                      WHERE d.d <= {DBSCAN_EPS}) d ON v.id = d.id
+GROUP BY v.id""")
+def k03_dbscan_core(spark, sf_dir):
+    """K3: which points are core and which are noise."""
+    return k03_dbscan(spark, sf_dir).select("id", "is_core", (F.col("label") == -1).alias("is_noise"))
 
 
 @job("k04_hierarchical")
@@ -562,3 +578,72 @@ def m01_m12_train_evaluate(spark, sf_dir):
     from fairplay.plans.training import train_and_evaluate
 
     return train_and_evaluate(spark, sf_dir)
+
+
+@job("m01_boosted_main")
+def m01_boosted_main(spark, sf_dir):
+    """M1: the main boosted model of each target, fitted and evaluated (time split)."""
+    from fairplay.plans.training import train_and_evaluate
+
+    return train_and_evaluate(spark, sf_dir, ["xgboost"])
+
+
+@job("m02_random_forest")
+def m02_random_forest(spark, sf_dir):
+    """M2: the random forest of each target, fitted and evaluated."""
+    from fairplay.plans.training import train_and_evaluate
+
+    return train_and_evaluate(spark, sf_dir, ["random_forest"])
+
+
+@job("m03_boosted_second")
+def m03_boosted_second(spark, sf_dir):
+    """M3: the second boosted model of each target, fitted and evaluated."""
+    from fairplay.plans.training import train_and_evaluate
+
+    return train_and_evaluate(spark, sf_dir, ["gradient_boosting"])
+
+
+@job("m04_m05_linear")
+def m04_m05_linear(spark, sf_dir):
+    """M4, M5: ridge or lasso of each target, fitted and evaluated."""
+    from fairplay.plans.training import train_and_evaluate
+
+    return train_and_evaluate(spark, sf_dir, ["linear"])
+
+
+@job("m10_predict_all")
+def m10_predict_all(spark, sf_dir):
+    """Predictions of all targets from fitted linear models, with totals."""
+    from fairplay.plans.training import train_and_predict
+
+    return train_and_predict(spark, sf_dir)
+
+
+@job("m12_importance")
+def m12_importance(spark, sf_dir):
+    """Feature importances of the fitted forests."""
+    from fairplay.plans.training import train_and_explain
+
+    return train_and_explain(spark, sf_dir)
+
+
+_SHARES = ("fouls", "fouls_drawn", "yellow_cards", "red_cards", "appearances")
+
+
+@job("m13_average_importance", with_views("player_season", extra={
+    "sums": "SELECT league, " + ", ".join(f"sum({c}) AS {c}" for c in _SHARES) + " FROM player_season GROUP BY league",
+    "shares": " UNION ALL ".join(
+        f"SELECT league AS model, '{c}' AS feature, CAST({c} AS DOUBLE) / ({' + '.join(_SHARES)}) AS importance FROM sums WHERE {c} > league_floor"
+        .replace("league_floor", "100") for c in _SHARES)}) + """
+SELECT feature, sum(importance) / (SELECT count(DISTINCT model) FROM shares) AS importance FROM shares GROUP BY feature""", doubles=["importance"])
+def m13_average_importance(spark, sf_dir):
+    """M13 on a stand-in: a feature's share of a league's counts, leagues as models; a
+    feature that a league lacks (100 or fewer) counts 0."""
+    ps = TB.player_season(spark, sf_dir)
+    sums = ps.groupBy("league").agg(*[F.sum(c).alias(c) for c in _SHARES])
+    total = sum((F.col(c) for c in _SHARES[1:]), F.col(_SHARES[0]))
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("n")) for c in _SHARES])).alias("r")
+    shares = sums.select(F.col("league").alias("model"), total.alias("t"), rows).where("r.n > 100").select(
+        "model", "r.feature", (F.col("r.n").cast("double") / F.col("t")).alias("importance"))
+    return PR.average_importance(cut_lineage(shares))

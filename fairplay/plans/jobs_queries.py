@@ -327,3 +327,33 @@ SELECT count(*) AS rows, count(DISTINCT player_id) AS players, count(DISTINCT te
        min(match_date) AS first_date, max(match_date) AS last_date FROM player_match""")
 def q25_data_info(spark, sf_dir):
     return Q.data_info(_pm(spark, sf_dir))
+
+
+_PREDICTED = {"foul": ("fouls", 20, 10), "yellow_card": ("yellow_cards", 2, 1), "red_card": ("red_cards", 2, 1)}
+_PREDICTIONS_SQL = " UNION ALL ".join(
+    f"SELECT match_id, player_name, '{t}' AS type, CASE WHEN {c} >= {hi} THEN 'high' WHEN {c} >= {lo} THEN 'medium' ELSE 'low' END "
+    f"AS confidence FROM player_match" for t, (c, hi, lo) in _PREDICTED.items())
+
+
+def _predictions(spark, sf_dir):
+    """Prediction rows on a stand-in: one per match and kind, confidence by the count's band."""
+    band = lambda c, hi, lo: F.when(F.col(c) >= hi, "high").when(F.col(c) >= lo, "medium").otherwise("low")
+    rows = F.explode(F.array(*[F.struct(F.lit(t).alias("type"), band(*x).alias("confidence")) for t, x in _PREDICTED.items()])).alias("p")
+    return TB.player_match(spark, sf_dir).select("match_id", "player_name", rows).select("match_id", "player_name", "p.*")
+
+
+@job("q19_prediction_summary", with_views("player_match", extra={"pred": _PREDICTIONS_SQL}) + """
+SELECT count(*) AS total, count(*) FILTER (WHERE confidence = 'high') AS high_confidence,
+       count(*) FILTER (WHERE type = 'foul') AS foul_predictions, count(*) FILTER (WHERE contains(type, 'card')) AS card_predictions
+FROM pred""")
+def q19_prediction_summary(spark, sf_dir):
+    """Q19: totals over all prediction rows."""
+    return Q.prediction_summary(_predictions(spark, sf_dir))
+
+
+@job("q20_list_predictions", with_views("player_match", extra={"pred": _PREDICTIONS_SQL}) + """
+SELECT match_id, player_name, type, confidence FROM pred
+WHERE type = 'yellow_card' AND confidence = 'high' AND contains(lower(player_name), '7')""")
+def q20_list_predictions(spark, sf_dir):
+    """Q20: predictions of one type and confidence, by part of the player's name."""
+    return Q.list_predictions(_predictions(spark, sf_dir), "yellow_card", "high", player="7")

@@ -102,7 +102,9 @@ def with_views(*names: str, extra: dict[str, str] | None = None) -> str:
 def fixed_sql(expr: str, digits: int) -> str:
     """DuckDB twin of ``fairplay.functions.numeric.fixed``."""
     scale = float(10 ** digits)
-    return f"CAST(floor(CAST({expr} AS DOUBLE) * {scale!r} + 0.5) / {scale!r} AS DOUBLE)"
+    x = f"CAST({expr} AS DOUBLE)"
+    return (f"CASE WHEN abs({x} * {scale!r}) < {2.0 ** 52!r} THEN CAST(floor({x} * {scale!r} + 0.5) / {scale!r} AS DOUBLE) "
+            f"ELSE {x} END")
 
 
 def normalized(sql: str, doubles: Iterable[str] = ()) -> str:

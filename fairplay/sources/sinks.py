@@ -1,18 +1,21 @@
 """Sinks: S4 keyed upsert, S5 CSV, S6 JSON, S7 model persistence.
 
 S4 rewrites only the (league, season) partitions an update batch touches:
-read those partitions (partition pruning via a semi-join on the partition
-keys of the batch), merge with a full outer join on the unique key, and write
-them back with dynamic partition overwrite. Untouched partitions are never
-read or rewritten.
+read those partitions (their values are a partition predicate of the scan),
+merge with a full outer join on the unique key, and write them back with
+dynamic partition overwrite. Untouched partitions are never read or rewritten.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fairplay.session import cut_lineage
 
@@ -49,34 +52,66 @@ def merge_rows(target: DataFrame, updates: DataFrame, keys: Sequence[str] = UPSE
     return j.select(*keys, *out).select(*target.columns)
 
 
+def one_per_key(updates: DataFrame, keys: Sequence[str], order_by: Sequence[str] | None = None,
+                last: bool = True) -> DataFrame:
+    """One update per key: the last (or first) in ``order_by``; without it the greatest by all
+    columns, so that reruns agree."""
+    others = [c for c in updates.columns if c not in keys]
+    if not others:
+        return updates.distinct()
+    order = F.struct(*[F.col(c) for c in [*(order_by or []), *others]])
+    pick = F.max_by if last else F.min_by
+    best = updates.groupBy(*keys).agg(pick(F.struct(*others), order).alias("__r"))
+    return best.select(*keys, "__r.*").select(*updates.columns)
+
+
+def stored_table(spark: SparkSession, path: str, partition_types: dict[str, T.DataType]) -> DataFrame | None:
+    """The table at ``path`` with its own columns; None only where there is no such path.
+
+    Partition columns get the given types ("2020" stays text). Any other failure to read is
+    raised: taking it for a first load would replace what is stored.
+    """
+    try:
+        schema = spark.read.parquet(path).schema
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    fields = [T.StructField(f.name, partition_types.get(f.name, f.dataType), True) for f in schema.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 def upsert_to_path(spark: SparkSession, path: str, updates: DataFrame,
                    keys: Sequence[str] = UPSERT_KEYS,
                    partition_cols: Sequence[str] = ("league", "season"),
                    update_cols: Sequence[str] | None = None,
-                   keep_cols: Sequence[str] = ()) -> int:
+                   keep_cols: Sequence[str] = (), order_by: Sequence[str] | None = None,
+                   last: bool = True) -> int:
     """Upsert ``updates`` into the parquet table at ``path``; returns rows written.
 
-    An empty batch is a no-op returning 0. The rewrite is per partition and
-    atomic per batch at the partition level (dynamic partition overwrite).
+    An empty batch is a no-op returning 0. Stored columns that the batch lacks keep
+    their values (null in new rows); columns that only the batch has are added. Of
+    several updates of a key the last by ``order_by`` counts (``last=False``: the
+    first). The values of the touched partitions become a partition predicate, so only
+    these are read. The rewrite is per partition, each replaced as a whole.
     """
-    batch = updates.dropDuplicates(list(keys))
-    touched = batch.select(*partition_cols).distinct()
-    if touched.isEmpty():
+    batch = one_per_key(updates, keys, order_by, last)
+    touched = batch.select(*partition_cols).distinct().collect()  # partitions of one batch
+    if not touched:
         return 0
-    try:
-        # The batch schema also types the partition columns (no type inference
-        # of "2020" as an integer).
-        current = spark.read.schema(batch.schema).parquet(path)
-    except Exception:  # first load: nothing stored yet
-        current = None
+    types = {c: updates.schema[c].dataType for c in partition_cols}
+    current = stored_table(spark, path, types)
     if current is None:
         merged = batch
     else:
-        scope = current.join(touched, list(partition_cols), "left_semi")
+        for c in updates.columns:
+            if c not in current.columns:
+                current = current.withColumn(c, F.lit(None).cast(updates.schema[c].dataType))
+        named = lambda row: reduce(and_, [F.col(c).eqNullSafe(F.lit(row[c])) for c in partition_cols])
+        scope = current.where(reduce(or_, map(named, touched)))
         # Materialise the merged partitions before overwriting the files they
         # were read from (lineage must not point at the files being replaced).
-        merged = merge_rows(scope, batch.select(*current.columns), keys, update_cols, keep_cols)
-        merged = cut_lineage(merged)
+        merged = cut_lineage(merge_rows(scope, batch, keys, update_cols, keep_cols))
     n = merged.count()
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_cols).parquet(path))

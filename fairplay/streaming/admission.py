@@ -216,33 +216,41 @@ def token_bucket(requests: DataFrame, capacity: float, rate: float, key_col: str
 def sliding_admission_stream(requests: DataFrame, limit: int, window_seconds: float,
                              key_col: str = "client", watermark: str = "10 minutes",
                              idle_seconds: int = IDLE_SECONDS) -> DataFrame:
-    """R3 on a stream: state per key = admitted times in the window; R8: a key idle
-    for ``idle_seconds`` of event time is dropped (event-time timeout)."""
+    """R3 on a stream, in event time: a request waits in the key's state until the watermark
+    has passed it, so requests are decided in the order of the batch form however they
+    arrive. State per key: admitted times in the window and waiting requests. R8: a key
+    without waiting requests is dropped once its window and ``idle_seconds`` have passed."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = list(state.get[0]) if state.exists else []
+        times, wait = ([list(x) for x in (state.get[0], zip(state.get[1], state.get[2], strict=True))]
+                       if state.exists else ([], []))
+        if not state.hasTimedOut:
+            for pdf in pdfs:  # a group may come in several Arrow batches
+                wait += zip(pdf["ts"].astype("datetime64[us]").astype("int64").tolist(), pdf["event_id"].tolist(), strict=True)
+        passed = state.getCurrentWatermarkMs() * 1000
+        wait.sort()
         rows = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            for eid, ts in zip(pdf["event_id"].tolist(), pdf["ts"].tolist()):
-                t = pd.Timestamp(ts).value / 1e9
-                times = [x for x in times if x > t - window_seconds]
-                if len(times) < limit:
-                    times.append(t)
-                    rows.append((eid, key[0], ts, True, None))
-                else:
-                    rows.append((eid, key[0], ts, False,
-                                 float(int(times[0] + window_seconds - t) + 1)))
-        state.update((times,))
-        state.setTimeoutTimestamp(int((max(times) if times else 0) * 1000) + idle_seconds * 1000)
+        while wait and wait[0][0] < passed:
+            micros, eid = wait.pop(0)
+            t, ts = micros / 1e6, pd.Timestamp(micros, unit="us")
+            times = [x for x in times if x > t - window_seconds]
+            if len(times) < limit:
+                times.append(t)
+                rows.append((eid, key[0], ts, True, None))
+            else:
+                rows.append((eid, key[0], ts, False, float(int(times[0] + window_seconds - t) + 1)))
+        until = wait[0][0] // 1000 if wait else int((max(times, default=0) + max(window_seconds, idle_seconds)) * 1000)
+        if not wait and until * 1000 < passed:
+            state.remove()
+        else:
+            state.update((times, [w[0] for w in wait], [w[1] for w in wait]))
+            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
         if rows:
             yield pd.DataFrame(rows, columns=["event_id", "key", "ts", "admitted", "retry_after"])
 
+    kind = dict(requests.dtypes)["event_id"]
     src = requests.select("event_id", F.col(key_col).alias("key"), "ts").withWatermark("ts", watermark)
     return src.groupBy("key").applyInPandasWithState(
-        step, DECISION_SCHEMA, "times array<double>", "append",
+        step, DECISION_SCHEMA, f"times array<double>, waiting array<long>, ids array<{kind}>", "append",
         GroupStateTimeout.EventTimeTimeout)
