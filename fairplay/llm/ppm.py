@@ -107,60 +107,85 @@ def distinct_strings(bodies: list[bytes]) -> np.ndarray:
     return np.unique(np.concatenate(found)) if len(found) > 1 else found[0] if found else np.array([], np.uint64)
 
 
-def block_rows(block: int, keys: list, texts: list[list[bytes]], train: np.ndarray) -> pd.DataFrame:
-    """The rows of a block: its documents (bucket -1), and a row per bucket that it asks."""
-    bodies = [b" ".join(w) + b"\n" for w in texts]
-    strings = distinct_strings(bodies)
-    n = np.zeros(len(strings), np.int64)
-    for first, s in segments(bodies):
-        own, at = runs(s >> SHIFT)
-        seen = np.concatenate([[0], np.cumsum(train[first + (s & LOW).astype(np.int64)])])
-        n[np.searchsorted(strings, own)] += seen[at[1:]] - seen[at[:-1]]
-    count: Counter[bytes] = Counter()
-    words: dict[bytes, None] = {END: None}
-    for w, t in zip(texts, train, strict=True):
-        words.update(dict.fromkeys(w))
-        if t:
-            count.update(w)
-    count[END] = int(train.sum())
-    names = list(words)
-    wn = np.array([count[w] for w in names], np.int64)
-    by, cut, wy, wcut = dealt(strings, names)
-    rows = [(block, -1, keys, train.tolist(), zstandard.compress(b"".join(bodies), 3), None, None, None, None)]
-    for b in range(BUCKETS):
-        s, w = by[cut[b]:cut[b + 1]], wy[wcut[b]:wcut[b + 1]]
-        if len(s) or len(w):
-            rows.append((block, b, None, None, None, strings[s].tobytes(), n[s].astype(np.int32).tobytes(),
-                         b"\n".join([names[i] for i in w]), wn[w].astype(np.int32).tobytes()))
-    return pd.DataFrame(rows, columns=["block", "bucket", "keys", "train", "docs", "strings", "n", "words", "word_n"])
-
-
-def read_strings(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, np.uint64)
-
-
-def read_words(blob: bytes) -> list[bytes]:
-    return blob.split(b"\n") if blob else []
+class Block:
+    """Documents gathered for a block: their bodies, and words with training counts."""
+
+    def __init__(self):
+        self.keys, self.train, self.bodies, self.size = [], [], [], 0
+        self.words: dict[bytes, int] = {END: 0}
+
+    def add(self, key, text: str | None, train: bool) -> None:
+        w = tokens(text)
+        count, step = self.words, int(train)
+        for x in w:
+            count[x] = count.get(x, 0) + step
+        count[END] += step
+        self.keys.append(None if pd.isna(key) else key)
+        self.train.append(bool(train))
+        self.bodies.append(b" ".join(w) + b"\n")
+        self.size += len(self.bodies[-1])
+
+    def rows(self, block: int) -> pd.DataFrame:
+        """Its documents (bucket -1), and a row per bucket that it asks: strings in the first
+        ``BUCKETS``, words in as many more."""
+        strings, train = distinct_strings(self.bodies), np.array(self.train, bool)
+        n = np.zeros(len(strings), np.int64)
+        for first, s in segments(self.bodies):
+            own, at = runs(s >> SHIFT)
+            seen = np.concatenate([[0], np.cumsum(train[first + (s & LOW).astype(np.int64)])])
+            n[np.searchsorted(strings, own)] += seen[at[1:]] - seen[at[:-1]]
+        names, wn = list(self.words), np.fromiter(self.words.values(), np.int64, len(self.words))
+        by, cut, wy, wcut = dealt(strings, names)
+        rows = [(block, -1, self.keys, self.train, zstandard.compress(b"".join(self.bodies), 6), None, None, None, None)]
+        for b in range(BUCKETS):
+            s, w = by[cut[b]:cut[b + 1]], wy[wcut[b]:wcut[b + 1]]
+            if len(s):
+                rows.append((block, b, None, None, None, write_strings(strings[s]), packed(n[s]), None, None))
+            if len(w):
+                rows.append((block, BUCKETS + b, None, None, None, None, None, write_words([names[i] for i in w]), packed(wn[w])))
+        return pd.DataFrame(rows, columns=["block", "bucket", "keys", "train", "docs", "strings", "n", "words", "word_n"])
+
+
+def packed(values: np.ndarray) -> bytes:
+    return zstandard.compress(values.tobytes(), 1)
+
+
+def unpacked(blob: bytes | None, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(blob) if blob else b"", kind)
+
+
+def write_strings(strings: np.ndarray) -> bytes:
+    """Ascending strings as differences."""
+    return packed(np.diff(strings, prepend=np.uint64(0)))
+
+
+def read_strings(blob: bytes | None) -> np.ndarray:
+    return np.cumsum(unpacked(blob, np.uint64), dtype=np.uint64)
+
+
+def write_words(words) -> bytes:
+    return zstandard.compress(b"\n".join(words), 1)
+
+
+def read_words(blob: bytes | None) -> list[bytes]:
+    text = zstandard.decompress(blob) if blob else b""
+    return text.split(b"\n") if text else []
 
 
 def merged(bucket: int, part: int, rows: pd.DataFrame) -> tuple:
     """One row of counts from several of a bucket."""
+    if bucket >= BUCKETS:
+        count: Counter[bytes] = Counter()
+        for blob, n in zip(rows["words"], rows["word_n"], strict=True):
+            count.update(dict(zip(read_words(blob), unpacked(n, np.int64).tolist(), strict=True)))
+        return bucket, part, None, None, write_words(count), packed(np.fromiter(count.values(), np.int64, len(count)))
     strings, back = np.unique(np.concatenate([read_strings(s) for s in rows["strings"]]), return_inverse=True)
-    n = np.bincount(back, np.concatenate([np.frombuffer(x, _wide(x, s)) for x, s in zip(rows["n"], rows["strings"], strict=True)]), len(strings))
-    count: Counter[bytes] = Counter()
-    for blob, wn in zip(rows["words"], rows["word_n"], strict=True):
-        names = read_words(blob)
-        count.update(dict(zip(names, np.frombuffer(wn, np.int32 if len(wn) == 4 * len(names) else np.int64).tolist(), strict=True)))
-    return (bucket, part, strings.tobytes(), n.astype(np.int64).tobytes(), b"\n".join(count),
-            np.fromiter(count.values(), np.int64, len(count)).tobytes())
-
-
-def _wide(n: bytes, strings: bytes) -> type:
-    return np.int32 if 2 * len(n) == len(strings) else np.int64
+    n = np.bincount(back, np.concatenate([unpacked(x, np.int64) for x in rows["n"]]), len(strings)).astype(np.int64)
+    return bucket, part, write_strings(strings), packed(n), None, None
 
 
 def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Map-side sums: the rows that a task reads, merged by bucket every 64 MB."""
+    """Map-side sums: the rows that a task reads, merged by bucket every 24 MB."""
     held: list[pd.DataFrame] = []
     size = 0
 
@@ -172,8 +197,8 @@ def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for pdf in batches:
         held.append(pdf)
-        size += sum(map(len, pdf["strings"])) + sum(map(len, pdf["words"]))
-        if size > 64 << 20:
+        size += sum(len(x or b"") for c in ("strings", "words") for x in pdf[c])
+        if size > 24 << 20:  # packed
             yield flush()
             size = 0
     if held:
@@ -241,18 +266,18 @@ def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for r in pdf.itertuples():
             if r.block < 0:
-                model = read_strings(r.strings), np.frombuffer(r.n), dict(zip(
-                    read_words(r.words), np.frombuffer(r.word_n, np.int64).tolist(), strict=True))
-                continue
-            at = np.searchsorted(model[0], read_strings(r.strings))
-            rows.append((r.block, r.bucket, model[1][at].tobytes(),
-                         np.array([model[2][w] for w in read_words(r.words)], np.int64).tobytes()))
+                model = ((read_strings(r.strings), unpacked(r.n, np.float64)) if r.bucket < BUCKETS
+                         else dict(zip(read_words(r.words), unpacked(r.word_n, np.int64).tolist(), strict=True)))
+            elif r.bucket < BUCKETS:
+                rows.append((r.block, r.bucket, packed(model[1][np.searchsorted(model[0], read_strings(r.strings))])))
+            else:
+                rows.append((r.block, r.bucket, packed(np.array([model[w] for w in read_words(r.words)], np.int64))))
         if rows:
-            yield pd.DataFrame(rows, columns=["block", "bucket", "cost", "count"])
+            yield pd.DataFrame(rows, columns=["block", "bucket", "values"])
 
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", fold: int = 2, folds: int = 7,
-          block_bytes: int = 8_000_000) -> DataFrame:
+          block_bytes: int = 16_000_000) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Documents whose crc32(key as text) mod ``folds`` is ``fold`` are held out. base: add-one
@@ -261,19 +286,15 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", fold: int = 2,
     kind = dict(df.dtypes)[key]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = TaskContext.get().partitionId() << 32
-        keys, texts, train, size = [], [], [], 0
+        at, block = TaskContext.get().partitionId() << 32, Block()
         for pdf in batches:
             for k, t, x in zip(pdf["k"], pdf["t"], pdf["train"], strict=True):
-                keys.append(None if pd.isna(k) else k)
-                texts.append(tokens(t))
-                train.append(x)
-                size += len(t or "")
-                if size > block_bytes or len(keys) >= 1 << 17:
-                    yield block_rows(block, keys, texts, np.array(train, bool))
-                    keys, texts, train, size, block = [], [], [], 0, block + 1
-        if keys:
-            yield block_rows(block, keys, texts, np.array(train, bool))
+                block.add(k, t, x)
+                if block.size > block_bytes:
+                    yield block.rows(at)
+                    at, block = at + 1, Block()
+        if block.keys:
+            yield block.rows(at)
 
     name = F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")
     docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"), (F.crc32(name) % folds != fold).alias("train"))
@@ -292,8 +313,8 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", fold: int = 2,
         for pdf in batches:
             for r in pdf.itertuples():
                 two = (read_strings(r.strings) & np.uint64(0xFFFF)).astype(np.int64)
-                n = np.bincount(two, np.frombuffer(r.n, np.int64), 1 << 16).astype(np.int64)
-                wn = np.frombuffer(r.word_n, np.int64)
+                n = np.bincount(two, unpacked(r.n, np.int64), 1 << 16).astype(np.int64)
+                wn = unpacked(r.word_n, np.int64)
                 own = np.flatnonzero(n)
                 yield pd.DataFrame({"p": [*own, -1, -2], "n": [*n[own], wn.sum(), (wn > 0).sum()]})
 
@@ -308,30 +329,32 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", fold: int = 2,
 
     def price(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf["n"] = [costs(read_strings(s), np.frombuffer(n, np.int64), pairs).tobytes() for s, n in zip(pdf["strings"], pdf["n"], strict=True)]
+            pdf["n"] = [s and packed(costs(read_strings(s), unpacked(n, np.int64), pairs)) for s, n in zip(pdf["strings"], pdf["n"], strict=True)]
             yield pdf
 
-    model = (counts.mapInPandas(price, COUNTS).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # strings of a frequent pair of bytes are many, so their buckets are salted; words are dealt evenly
+    salts = F.when(F.col("bucket") < BUCKETS, SALTS).otherwise(1)
+    model = (counts.mapInPandas(price, COUNTS).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
              .select(F.lit(-1).cast("long").alias("block"), "bucket", "strings", "n", "words", "word_n", "salt"))
     salted = asked.withColumn("n", F.lit(None).cast("binary")).withColumn("word_n", F.lit(None).cast("binary")).withColumn(
-        "salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int"))
+        "salt", F.pmod(F.xxhash64("block"), salts).cast("int"))
     answers = (model.unionByName(salted).repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "block")
                .select("block", "bucket", "strings", "n", "words", "word_n")
-               .mapInPandas(answer, "block long, bucket int, cost binary, count binary"))
+               .mapInPandas(answer, "block long, bucket int, values binary"))
     unit = math.log10(n_train + vocabulary + 1)
 
     def add_up(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         bodies = [b + b"\n" for b in zstandard.decompress(block["docs"].iloc[0]).split(b"\n")[:-1]]
-        texts = [b.split() for b in bodies]
         strings, words = distinct_strings(bodies), {END: None}
-        for w in texts:
-            words.update(dict.fromkeys(w))
+        for b in bodies:
+            words.update(dict.fromkeys(b.split()))
         names = list(words)
         by, _, wy, _ = dealt(strings, names)
         found = found.sort_values("bucket")
+        of_words = found["bucket"] >= BUCKETS
         cost, count = np.empty(len(strings)), np.empty(len(names), np.int64)
-        cost[by] = np.concatenate([np.frombuffer(c) for c in found["cost"]])
-        count[wy] = np.concatenate([np.frombuffer(c, np.int64) for c in found["count"]])
+        cost[by] = np.concatenate([unpacked(c, np.float64) for c in found["values"][~of_words]])
+        count[wy] = np.concatenate([unpacked(c, np.int64) for c in found["values"][of_words]])
         total = np.zeros(len(bodies))
         for first, s in segments(bodies):
             own, at = runs(s >> SHIFT)
@@ -339,10 +362,14 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", fold: int = 2,
             total[first:first + len(part)] += part
         logs = dict(zip(names, (np.log10(count + 1) - unit).tolist(), strict=True))
         unseen = {w for w, c in zip(names, count.tolist(), strict=True) if not c}
-        base = [math.fsum(map(logs.__getitem__, w)) + logs[END] for w in texts]
-        known = [len(w) + (END not in unseen) - (sum(map(unseen.__contains__, w)) if unseen else 0) for w in texts]
+        n_tokens, base, known = [], [], []
+        for b in bodies:
+            w = b.split()
+            n_tokens.append(len(w) + 1)
+            base.append(math.fsum(map(logs.__getitem__, w)) + logs[END])
+            known.append(len(w) + (END not in unseen) - (sum(map(unseen.__contains__, w)) if unseen else 0))
         return pd.DataFrame({"row": pd.Series(list(block["keys"].iloc[0]), dtype="object"), "held_out": ~np.array(block["train"].iloc[0], bool),
-                             "n_tokens": [len(w) + 1 for w in texts], "n_known": known, "base_score": base, "score": total})
+                             "n_tokens": n_tokens, "n_known": known, "base_score": base, "score": total})
 
     return (blocks.filter("bucket < 0").select("block", "keys", "train", "docs").groupBy("block").cogroup(answers.groupBy("block"))
             .applyInPandas(add_up, f"row {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
