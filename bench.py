@@ -22,7 +22,8 @@ HEADLINE = [
     "k07_cluster_metrics", "k10_top_features", "a05_deviations", "m08_m11_regression_metrics",
     "m20_player_risk", "s1_c7_ingest_roundtrip", "s4_upsert_merge", "c08_sanitize_string",
     "c13_screen_text", "v01_v09_validate", "t02_best_version", "r02_sliding_log",
-    "r03_sliding_admission",
+    "r03_sliding_admission", "k01_kmeans", "k03_dbscan", "k13_pca_projection", "a01_isolation_forest",
+    "a02_kernel_novelty", "m04_m05_linear", "m02_random_forest",
 ]
 
 

@@ -20,6 +20,7 @@ import numpy as np
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -372,10 +373,13 @@ def assign_nearest(vectors: DataFrame, centres: Sequence[tuple[int, Sequence[flo
 def pca_projection(vectors: DataFrame, k: int = 2, features: str = "features"):
     """Standardise (mean 0), PCA with k components, sign fixed so the largest
     absolute loading of each component is positive. Returns (projected, variance ratio)."""
-    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.feature import ElementwiseProduct, StandardScaler
 
-    sc = StandardScaler(inputCol=features, outputCol="_std", withMean=True, withStd=True).fit(vectors)
-    std = sc.transform(vectors)
+    sc = StandardScaler(inputCol=features, outputCol="_sample", withMean=True, withStd=True).fit(vectors)
+    n = max(vectors.count(), 2)
+    to_population = [(n / (n - 1)) ** 0.5] * sc.mean.size  # the scaler divides by the sample deviation
+    std = ElementwiseProduct(scalingVec=Vectors.dense(to_population), inputCol="_sample", outputCol="_std").transform(
+        sc.transform(vectors)).drop("_sample")
     model = PCA(k=k, inputCol="_std", outputCol="_pc").fit(std)
     pcs = model.pc.toArray()
     signs = np.array([1.0 if pcs[np.argmax(np.abs(pcs[:, j])), j] >= 0 else -1.0 for j in range(k)])

@@ -63,15 +63,17 @@ def season_short(col: str = "season") -> Column:
             .otherwise(c))
 
 
-def rule_season(col: str = "season", current_year: int = 2026) -> list[Rule]:
-    """V3: YYYY-YY, end (read as 20YY) = start + 1, 1990 <= start <= current_year + 1."""
+def rule_season(col: str = "season", current_year: int | None = None) -> list[Rule]:
+    """V3: YYYY-YY, end (read as 20YY) = start + 1, 1990 <= start <= current_year + 1
+    (without a year: that of the query's date)."""
     c = F.col(col)
+    year = F.year(F.current_date()) if current_year is None else F.lit(current_year)
     fmt = F.coalesce(c.rlike(SEASON_PATTERN), F.lit(False))
     start = F.substring(c, 1, 4).try_cast("int")
     end = F.lit(2000) + F.substring(c, 6, 2).try_cast("int")
     return [("season_format", fmt),
             ("season_consecutive", F.when(fmt, end == start + 1).otherwise(F.lit(False))),
-            ("season_range", F.when(fmt, start.between(1990, current_year + 1)).otherwise(F.lit(False)))]
+            ("season_range", F.when(fmt, start.between(F.lit(1990), year + 1)).otherwise(F.lit(False)))]
 
 
 def rule_range(ranges: dict[str, tuple[int, int]] = RANGES) -> list[Rule]:
@@ -120,7 +122,7 @@ def rule_source(col: str = "source") -> list[Rule]:
     return [("source_id", F.coalesce(F.col(col).rlike(SOURCE_PATTERN), F.lit(False)))]
 
 
-def default_rules(current_year: int = 2026) -> list[Rule]:
+def default_rules(current_year: int | None = None) -> list[Rule]:
     return (rule_player_name() + rule_text("team") + rule_text("league", 2, 100)
             + rule_season(current_year=current_year) + rule_range() + rule_ratio()
             + rule_consistency() + rule_in_set("position", POSITIONS) + rule_source())

@@ -41,6 +41,18 @@ def log_run(spark: SparkSession, root: str, run: Mapping[str, object],
             .write.mode("append").parquet(f"{root}/{name}")
 
 
+def log_runs(runs: DataFrame, root: str, metrics: DataFrame, params: DataFrame | None = None,
+             tags: DataFrame | None = None) -> None:
+    """T1 for many runs: one append per table (not one file set per run). ``metrics`` holds
+    (run_id, key, value); values that are no numbers are left out."""
+    runs.write.mode("append").parquet(f"{root}/runs")
+    numeric = metrics.select("run_id", "key", F.col("value").try_cast("double").alias("value")).where(F.col("value").isNotNull())
+    numeric.write.mode("append").parquet(f"{root}/run_metrics")
+    for name, kv in (("run_params", params), ("run_tags", tags)):
+        if kv is not None:
+            kv.select("run_id", "key", F.col("value").cast("string").alias("value")).write.mode("append").parquet(f"{root}/{name}")
+
+
 # ---------------------------------------------------------------- T2-T4
 def _with_metric(versions: DataFrame, metrics: DataFrame, metric: str) -> DataFrame:
     m = metrics.where(F.col("key") == metric).select("run_id", F.col("value").alias("metric_value"))
@@ -123,15 +135,20 @@ def experiment_summary(runs: DataFrame, versions: DataFrame) -> DataFrame:
     return attach_scalar(r, v)
 
 
-def recent_runs(runs: DataFrame, metrics: DataFrame, k: int = 10) -> DataFrame:
-    """Newest k runs with their metrics as a map (k <= 100)."""
+def recent_runs(runs: DataFrame, metrics: DataFrame, k: int = 10, params: DataFrame | None = None,
+                tags: DataFrame | None = None) -> DataFrame:
+    """Newest k runs with their metrics (and params and tags, where given) as maps (k <= 100)."""
     if not 1 <= k <= 100:
         raise ValueError("k must be in 1..100")
     top = runs.orderBy(F.col("start_time").desc(), F.col("run_id").desc()).limit(k)
-    m = metrics.join(F.broadcast(top.select("run_id")), "run_id", "left_semi")
-    per_run = m.groupBy("run_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("metrics"))
-    return top.join(per_run, "run_id", "left")
+    out = top
+    for name, kv in (("metrics", metrics), ("params", params), ("tags", tags)):
+        if kv is None:
+            continue
+        m = kv.join(F.broadcast(top.select("run_id")), "run_id", "left_semi")  # k rows
+        out = out.join(m.groupBy("run_id").agg(
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias(name)), "run_id", "left")
+    return out
 
 
 def run_details(runs: DataFrame, run_id: str | None = None) -> DataFrame:

@@ -309,7 +309,7 @@ def f25_target_stats(spark, sf_dir):
 @job("f26_create_all_features")
 def f26_create_all_features(spark, sf_dir):
     """F26 (property-checked): full chain, encoders/scaler fitted on the train split."""
-    selected, _, _, _ = FE.create_all_features(_ps(spark, sf_dir), TARGET, k=20)
+    selected, _, _, _ = FE.create_all_features(_ps(spark, sf_dir), TARGET, k=50)
     return selected
 
 

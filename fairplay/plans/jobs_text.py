@@ -132,10 +132,28 @@ def c12_check_files(spark, sf_dir):
     return out.withColumn("violations", F.array_join("violations", ","))
 
 
-@job("c12_file_listing_audit")
+_UPLOADS_SQL = ("SELECT coalesce(source, '') || CASE WHEN doc_id % 7 = 0 THEN '/' ELSE '_' END || CAST(doc_id AS VARCHAR) || "
+                "CASE WHEN doc_id % 3 = 0 THEN '.' || lang WHEN doc_id % 3 = 1 THEN '.CSV' ELSE '.json' END AS name, "
+                "n_chars * 1000 AS size FROM documents")
+
+
+@job("c12_file_listing_audit", f"""
+SELECT name, size, {_ext_sql('name')} AS extension, {_clean_filename_sql('name')} AS clean_name,
+       array_to_string(list_filter([
+         CASE WHEN size > {TX.FILE_MAX_BYTES} THEN 'too_large' END,
+         CASE WHEN NOT ({_ext_sql('name')} IN ({', '.join(_q(e) for e in TX.FILE_EXTENSIONS)})) THEN 'extension' END,
+         CASE WHEN len({blocked_rules_sql('name')}) > 0 THEN 'blocked_pattern' END,
+         CASE WHEN contains(name, '..') OR contains(name, '/') OR contains(name, '\\') THEN 'path_chars' END],
+         lambda v: v IS NOT NULL), ',') AS violations
+FROM ({_UPLOADS_SQL}) l""")
 def c12_file_listing_audit(spark, sf_dir):
-    """C12 on the real file listing of the table folder (binaryFile, bodies not read)."""
-    out = SC.check_files(SC.file_listing(spark, sf_dir))
+    """C12 on an upload listing derived from the documents: names with every kind of ending
+    and with folders, sizes on both sides of the limit."""
+    docs = TB.read_table(spark, sf_dir, "documents")
+    end = (F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("."), "lang")).when(F.col("doc_id") % 3 == 1, ".CSV").otherwise(".json"))
+    name = F.concat(F.coalesce("source", F.lit("")), F.when(F.col("doc_id") % 7 == 0, "/").otherwise("_"),
+                    F.col("doc_id").cast("string"), end)
+    out = SC.check_files(docs.select(name.alias("name"), (F.col("n_chars") * 1000).alias("size")))
     return out.withColumn("violations", F.array_join("violations", ","))
 
 

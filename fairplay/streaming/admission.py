@@ -82,14 +82,31 @@ def fixed_window_counts(requests: DataFrame, window_seconds: int,
 
 def fixed_window_decisions(requests: DataFrame, limit: int, window_seconds: int,
                            keys: Sequence[str] = ("client", "endpoint"),
-                           order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
-    """R1 per request: refused when it is beyond ``limit`` in its fixed window."""
+                           order: Sequence[str] = ("ts", "event_id"), parts: int = 32) -> DataFrame:
+    """R1 per request: refused when it is beyond ``limit`` in its fixed window.
+
+    A window is cut into ``parts`` equal stretches of time that are counted (map-side) and
+    numbered on their own, so a client's busy window is not one task.
+    """
     from pyspark.sql import Window
 
     start = F.floor(F.unix_timestamp("ts") / window_seconds) * window_seconds
-    x = requests.withColumn("window_start", F.timestamp_seconds(start))
-    w = Window.partitionBy(*keys, "window_start").orderBy(*order)
-    return x.withColumn("position", F.row_number().over(w)).withColumn(
+    inside = (F.unix_micros(F.col("ts")) - start * 1_000_000) * parts
+    x = requests.withColumn("window_start", F.timestamp_seconds(start)).withColumn(
+        "_part", F.floor(inside / (window_seconds * 1_000_000)).cast("int"))
+    names = [*keys, "window_start"]
+    before = Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = (x.groupBy(*names, "_part").agg(F.count(F.lit(1)).alias("_n"))
+               .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
+    own = Window.partitionBy(*names, "_part").orderBy(*order)
+    numbered = x.withColumn("_rn", F.row_number().over(own))
+    right = earlier.select(*[F.col(c).alias(f"_k_{c}") for c in (*names, "_part")], "_before")
+    cond = None
+    for c in (*names, "_part"):
+        same = F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        cond = same if cond is None else cond & same
+    joined = numbered.join(right, cond)
+    return joined.select(*requests.columns, "window_start", (F.col("_before") + F.col("_rn")).cast("int").alias("position")).withColumn(
         "refused", F.col("position") > limit)
 
 
