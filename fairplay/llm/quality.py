@@ -106,6 +106,7 @@ def fit(voted: DataFrame) -> tuple[float, dict[str, tuple[float, float]]]:
     over the vote patterns."""
     names = [f"v_{r}" for r in RULES]
     patterns = cut_lineage(voted.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("n")))
+    patterns = cut_lineage(patterns.coalesce(1))  # at most 3 ** 8 rows by now: a round is one task
     prior, accuracy = PRIOR, dict.fromkeys(RULES, START)
     limit = lambda x: min(max(x, 1 - SURE), SURE)
     for _ in range(ROUNDS):
