@@ -15,6 +15,7 @@ k sweep, the micro-cluster centroids for the Ward merge.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairplay.plans.joins import bounded_broadcast
+from fairplay.session import cut_lineage
 
 NOISE = -1
 # Fixed values (must equal the reference's for equal results).
@@ -143,28 +145,33 @@ def elbow_k(ks: Sequence[int], inertias: Sequence[float]) -> int:
     return ks[1 + int(np.argmax(d2))]
 
 
-def find_optimal_k(vectors: DataFrame, max_k: int = 10, seed: int = 42,
-                   features: str = "features", id_col: str = "id") -> tuple[DataFrame, dict]:
-    """K5: fit each k in 2..max_k once; inertia, silhouette (squared Euclidean),
-    Calinski-Harabasz and Davies-Bouldin per k; best k per method and the mode
-    (ties -> smallest k)."""
-    vectors = vectors.cache()
-    rows = []
+def find_optimal_k(vectors: DataFrame, max_k: int = 15, seed: int = 42,
+                   features: str = "features", id_col: str = "id", starts: int = 10,
+                   threads: int = 8) -> tuple[DataFrame, dict]:
+    """K5: for each k in 2..max_k the best of ``starts`` fits by inertia; inertia, silhouette
+    (squared Euclidean), Calinski-Harabasz and Davies-Bouldin per k; best k per method and the
+    mode of elbow, silhouette and Calinski-Harabasz (ties -> smallest k), also as columns.
+
+    The values of k are independent and run from a few driver threads.
+    """
+    vectors = cut_lineage(vectors)
     ev = ClusteringEvaluator(featuresCol=features, predictionCol="prediction",
                              distanceMeasure="squaredEuclidean")
-    for k in range(2, max_k + 1):
-        model = KMeans(k=k, seed=seed, featuresCol=features, maxIter=300).fit(vectors)
+
+    def one(k: int) -> tuple:
+        fits = [KMeans(k=k, seed=seed + s, featuresCol=features, maxIter=300).fit(vectors) for s in range(starts)]
+        model = min(fits, key=lambda m: m.summary.trainingCost)
         pred = model.transform(vectors)
-        sil = ev.evaluate(pred)
-        long = to_long(pred.select(F.col(id_col).alias("_id"),
-                                   vector_to_array(features).alias("_v")).select(
-            "_id", *[F.col("_v")[i].alias(f"f{i}") for i in range(len(model.clusterCenters()[0]))]),
-            "_id", [f"f{i}" for i in range(len(model.clusterCenters()[0]))])
-        labels = pred.select(F.col(id_col).alias("id"), F.col("prediction").alias("label"))
-        m = cluster_metrics(long, labels).first()
-        rows.append((k, float(model.summary.trainingCost), float(sil),
-                     m["calinski_harabasz"], m["davies_bouldin"]))
-    ks = [r[0] for r in rows]
+        names = [f"f{i}" for i in range(len(model.clusterCenters()[0]))]
+        wide = pred.select(F.col(id_col).alias("_id"), vector_to_array(features).alias("_v"))
+        long = to_long(wide.select("_id", *[F.col("_v")[i].alias(n) for i, n in enumerate(names)]), "_id", names)
+        m = cluster_metrics(long, pred.select(F.col(id_col).alias("id"), F.col("prediction").alias("label"))).first()
+        return (k, float(model.summary.trainingCost), float(ev.evaluate(pred)),
+                m["calinski_harabasz"], m["davies_bouldin"])
+
+    ks = list(range(2, max_k + 1))
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        rows = list(pool.map(one, ks))
     best = {
         "elbow": elbow_k(ks, [r[1] for r in rows]),
         "silhouette": ks[int(np.argmax([r[2] for r in rows]))],
@@ -176,7 +183,9 @@ def find_optimal_k(vectors: DataFrame, max_k: int = 10, seed: int = 42,
     top = max(counts.values())
     best["consensus"] = min(k for k, c in counts.items() if c == top)
     table = vectors.sparkSession.createDataFrame(
-        rows, "k int, inertia double, silhouette double, calinski_harabasz double, davies_bouldin double")
+        [(*r, *[r[0] == b for b in best.values()]) for r in rows],
+        "k int, inertia double, silhouette double, calinski_harabasz double, davies_bouldin double, "
+        + ", ".join(f"best_{m} boolean" for m in best))
     return table, best
 
 

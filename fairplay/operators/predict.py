@@ -113,10 +113,10 @@ def time_split(df: DataFrame, date_col: str, key_cols: Sequence[str], test: floa
                validation: float = 0.1) -> DataFrame:
     """train = first int(n x (1 - test - val)) rows by date, then val, test = the rest.
 
-    The global position comes from block counts + offsets (no single-partition sort).
+    The global position comes from range counts + offsets (no single-partition sort).
     """
     idx = ordered_index(df, [], [date_col, *key_cols], name="_pos")
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    n = idx.agg(F.count(F.lit(1)).alias("_n"))
     from fairplay.operators.queries import attach_scalar
 
     x = attach_scalar(idx, n)

@@ -284,8 +284,9 @@ def k04_hierarchical(spark, sf_dir):
 
 @job("k05_optimal_k")
 def k05_optimal_k(spark, sf_dir):
+    """K5: k = 2..15 with 10 starts each, and the best k by each method."""
     vec = _vectors(spark, sf_dir)
-    table, _ = CL.find_optimal_k(vec, max_k=6)
+    table, _ = CL.find_optimal_k(vec, max_k=15, starts=10)
     return table
 
 

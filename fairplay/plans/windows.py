@@ -1,9 +1,9 @@
 """Window patterns that stay parallel when a window key is coarse or skewed.
 
 ``ordered_index`` numbers rows 1..n inside each group in a given order
-without one task per group: rows are cut into ordered blocks, block sizes
-are counted (a small aggregate), a running sum over the blocks gives each
-block's offset, and rows are numbered inside their block only.
+without one task per group: rows are dealt by ranges, range sizes are counted
+(a small aggregate), a running sum over the ranges gives each one's offset, and
+rows are numbered inside their range only.
 
 ``average_rank`` gives pandas-style average ranks (ties share the mean of
 their positions) from a (group, value, count) aggregate, again without a
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairplay.plans.joins import bounded_broadcast
+from fairplay.session import cut_lineage
 
 
 def _cols(names: Sequence[str | Column]) -> list[Column]:
@@ -25,29 +26,25 @@ def _cols(names: Sequence[str | Column]) -> list[Column]:
 
 
 def ordered_index(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
-                  block_col: str | None = None, block_width: int | None = None,
                   name: str = "idx") -> DataFrame:
     """Add ``name`` = 1-based position of each row inside ``group_cols`` by ``order_cols``.
 
-    ``order_cols`` must make the order total. Rows are blocked by the first
-    order column, refined by ``floor(block_col / block_width)`` when given, so
-    a hot group or a hot first key is still split over many tasks.
+    ``order_cols`` must make the order total. Rows are dealt by ranges of (group, order),
+    as many as the session has shuffle partitions, so a hot group or a hot first key is
+    split; the ranges are fixed by a reliable checkpoint and counted, and the offsets are
+    one row per range and group in it.
     """
-    block_keys: list[Column] = [F.col(order_cols[0]).alias("_b0")]
-    if block_col is not None and block_width:
-        block_keys.append(F.floor(F.col(block_col) / F.lit(block_width)).alias("_b1"))
-    keyed = df.select("*", *block_keys)
-    bnames = [c for c in ("_b0", "_b1") if c in keyed.columns]
-    sizes = keyed.groupBy(*group_cols, *bnames).agg(F.count(F.lit(1)).alias("_n"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *group_cols, *order_cols).withColumn("_b", F.spark_partition_id())
+    keyed = cut_lineage(ranged)
+    sizes = keyed.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
     wg = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy())
-    wg = wg.orderBy(*bnames).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*group_cols, *bnames,
-                           F.coalesce(F.sum("_n").over(wg), F.lit(0)).alias("_off"))
-    within = Window.partitionBy(*group_cols, *bnames).orderBy(*order_cols)
+    wg = wg.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*group_cols, "_b", F.coalesce(F.sum("_n").over(wg), F.lit(0)).alias("_off"))
+    within = Window.partitionBy(*group_cols, "_b").orderBy(*order_cols)
     numbered = keyed.withColumn("_rn", F.row_number().over(within))
-    joined = numbered.join(bounded_broadcast(offsets), [*group_cols, *bnames])
-    return joined.withColumn(name, (F.col("_off") + F.col("_rn")).cast("long")).drop(
-        *bnames, "_rn", "_off")
+    joined = numbered.join(bounded_broadcast(offsets), [*group_cols, "_b"])
+    return joined.withColumn(name, (F.col("_off") + F.col("_rn")).cast("long")).drop("_b", "_rn", "_off")
 
 
 def average_rank_table(df: DataFrame, group_cols: Sequence[str], value_col: str,

@@ -187,9 +187,8 @@ def model_versions_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("o_orderdate").cast("timestamp").alias("created"),
                     F.col("o_orderkey"))
     # Version = position by (created, order key) inside (model, target):
-    # numbered block-wise so the 9 (model, target) groups do not each become
+    # numbered by ranges so the 9 (model, target) groups do not each become
     # one task.
-    numbered = ordered_index(base, ["model", "target"], ["created", "o_orderkey"],
-                             block_col="o_orderkey", block_width=1 << 16, name="version")
+    numbered = ordered_index(base, ["model", "target"], ["created", "o_orderkey"], name="version")
     return numbered.select("model", "target", F.col("version").cast("int").alias("version"),
                            "stage", "run_id", "created", F.col("created").alias("updated"))
