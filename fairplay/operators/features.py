@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from fairplay.functions.numeric import fixed, literal_map, per, safe_div
 from fairplay.plans.joins import bounded_broadcast
-from fairplay.plans.windows import average_rank_table
+from fairplay.plans.windows import average_rank_table, trailing_blocks
 
 # Fixed values (must equal the reference's for equal results).
 POSITION_NUMBER = {"GK": 0.0, "DF": 1.0, "MF": 2.0, "FW": 3.0,
@@ -186,18 +186,19 @@ def rolling_features(df: DataFrame, windows: Sequence[int] = ROLLING_WINDOWS,
                      order: Sequence[str] = ("season_start_year", "team", "league")) -> DataFrame:
     """Trailing mean (min 1 row) and least-squares slope (min 2 rows) per player.
 
-    All windows share one partitioning and ordering: one shuffle, one sort.
+    All windows share one partitioning and ordering; players are cut into blocks of
+    positions with the rows before them, so a hot player is not one task.
     """
-    base = Window.partitionBy(player).orderBy(*order)
-    out = df.withColumn("_pos", F.row_number().over(base).cast("double"))
+    out, base = trailing_blocks(df, [player], order, max(windows) - 1)
+    out = out.withColumn("_x", F.col("_pos").cast("double"))
     cols = {}
     for w in windows:
         frame = base.rowsBetween(-(w - 1), 0)
         n = F.count(F.lit(1)).over(frame)
         for c in columns:
             cols[f"{c}_rolling_{w}"] = F.avg(c).over(frame)
-            cols[f"{c}_trend_{w}"] = F.when(n >= 2, F.regr_slope(F.col(c), F.col("_pos")).over(frame))
-    return out.withColumns(cols).drop("_pos")
+            cols[f"{c}_trend_{w}"] = F.when(n >= 2, F.regr_slope(F.col(c), F.col("_x")).over(frame))
+    return out.withColumns(cols).where("_halo = 0").drop("_pos", "_x", "_block", "_halo")
 
 
 # ---------------------------------------------------------------- F20
@@ -396,12 +397,12 @@ def create_all_features(df: DataFrame, target: str = "fouls", k: int = 50,
 def lookback_features(pm: DataFrame, n: int = 10) -> DataFrame:
     """per (player, match) trailing form over the previous n games (current
     row excluded), opponent and own team-season form, calendar fields, targets."""
-    w = (Window.partitionBy("player_id").orderBy("match_date", "match_id")
-         .rowsBetween(-n, -1))
-    out = pm.withColumns({
+    blocked, base = trailing_blocks(pm, ["player_id"], ["match_date", "match_id"], n)
+    w = base.rowsBetween(-n, -1)
+    out = blocked.withColumns({
         f"form_{c}_{n}": F.avg(c).over(w) for c in ("fouls", "yellow_cards", "red_cards",
                                                      "fouls_drawn", "minutes_played")
-    }).withColumn(f"games_in_form_{n}", F.count(F.lit(1)).over(w))
+    }).withColumn(f"games_in_form_{n}", F.count(F.lit(1)).over(w)).where("_halo = 0").drop("_pos", "_block", "_halo")
     team_form = pm.groupBy("team_id", "season_start_year").agg(
         F.avg("fouls").alias("team_fouls_avg"),
         F.avg(F.col("yellow_cards") + F.col("red_cards")).alias("team_cards_avg"))

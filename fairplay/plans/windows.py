@@ -43,10 +43,30 @@ def ordered_index(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
     offsets = sizes.select(*group_cols, "_b", F.coalesce(F.sum("_n").over(wg), F.lit(0)).alias("_off"))
     within = Window.partitionBy(*group_cols, "_b").orderBy(*order_cols)
     numbered = keyed.withColumn("_rn", F.row_number().over(within))
-    joined = numbered.join(bounded_broadcast(offsets), [*group_cols, "_b"])
+    named = offsets.select(*[F.col(c).alias(f"_g_{c}") for c in group_cols], F.col("_b").alias("_g_b"), "_off")
+    same = F.col("_b") == F.col("_g_b")
+    for c in group_cols:  # a null group is a group
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    joined = numbered.join(bounded_broadcast(named), same).drop(*[f"_g_{c}" for c in group_cols], "_g_b")
     return joined.withColumn(name, (F.col("_off") + F.col("_rn")).cast("long")).drop("_b", "_rn", "_off")
 
 
+def trailing_blocks(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], back: int,
+                    width: int = 4096):
+    """For windows that look back at most ``back`` rows in a group: (rows, window).
+
+    Each group is cut into blocks of ``width`` positions; the last ``back`` rows of a block are
+    also given to the next (``_halo`` 1), so a window over the returned spec sees the same rows as
+    one over the whole group, and a hot group is many tasks. Keep rows with ``_halo`` 0
+    afterwards and drop ``_pos``, ``_block`` and ``_halo``.
+    """
+    x = ordered_index(df, group_cols, order_cols, name="_pos")
+    into_next = F.pmod(F.col("_pos") - 1, F.lit(width)) >= width - back
+    x = x.withColumn("_halo", F.explode(F.when(into_next, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    x = x.withColumn("_block", F.floor((F.col("_pos") - 1) / width) + F.col("_halo"))
+    return x, Window.partitionBy(*group_cols, "_block").orderBy("_pos")
+
+
 def average_rank_table(df: DataFrame, group_cols: Sequence[str], value_col: str,
                        ascending: bool = True, name: str = "rank") -> DataFrame:
     """(group, value) -> average rank of that value among the rows of its group.

@@ -21,7 +21,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairplay.plans.joins import bounded_broadcast
 
 # Fixed values (must equal the reference's for equal results).
 ENDPOINT_LIMITS = {  # endpoint -> (requests, seconds)

@@ -90,3 +90,20 @@ def test_deep_json_is_too_deep_and_does_not_stop_the_job(spark):
     got = {r["id"]: r for r in df.select("id", SC.json_limits("doc").alias("l"), SC.json_sanitize("doc").alias("s")).collect()}
     assert got[1]["l"]["valid_json"] and "too_deep" in got[1]["l"]["violations"] and got[1]["s"] is None
     assert got[2]["s"] == '{"a": [1]}' and got[3]["l"]["violations"] == ["invalid_json"]
+
+
+def test_trailing_blocks_see_what_whole_groups_see(spark):
+    from pyspark.sql import Window
+
+    from fairplay.plans.windows import trailing_blocks
+
+    rows = [("hot" if i % 3 else None, i * 7 % 101, float(i % 13)) for i in range(101)] + [("one", 1, 2.0)]
+    df = spark.createDataFrame(rows, "g string, o int, v double")
+    whole = Window.partitionBy("g").orderBy("o").rowsBetween(-4, 0)
+    want = sorted((str(r["g"]), r["o"], r["m"], r["n"]) for r in df.select(
+        "g", "o", F.avg("v").over(whole).alias("m"), F.count("v").over(whole).alias("n")).collect())
+    x, w = trailing_blocks(df, ["g"], ["o"], 4, width=8)
+    w = w.rowsBetween(-4, 0)
+    got = sorted((str(r["g"]), r["o"], r["m"], r["n"]) for r in x.withColumn("m", F.avg("v").over(w)).withColumn(
+        "n", F.count("v").over(w)).where("_halo = 0").collect())
+    assert got == want
