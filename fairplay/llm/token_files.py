@@ -10,7 +10,7 @@ the rest of the ids.
 The tokenizer drops ASCII white space before it splits (checked in tests against the
 library on whole texts), so a text's ids are those of its white-space separated
 words in a row. Words are encoded by the library once each and remembered by a
-worker, at most ``CACHE`` of them before it starts anew; trailing sentence marks
+worker, up to a bound at which it starts anew; trailing sentence marks
 after a letter are pre-tokens of their own and are encoded apart.
 
 Cases: null and empty texts hold the end id alone; repeated rows are written each,
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from fairplay.session import ensure_checkpoint_dir
 
-CACHE, LONGEST = 400_000, 64
+KNOWN_WORDS, KNOWN_UNITS, LONGEST = 200_000, 1_000_000, 64  # remembered by a worker; longer ones are not
 MARKS = ".,;:!?"
 _LOADED: dict[int, Words] = {}
 
@@ -68,7 +68,7 @@ class Words:
     def learn(self, new: set[bytes]) -> dict[bytes, bytes]:
         parts = {w: self.split(w.decode()) for w in new}
         units = self.units
-        if len(units) > CACHE:
+        if len(units) > KNOWN_UNITS:
             units.clear()
         missing = list({u for p in parts.values() for u in p}.difference(units))
         ids = {u: np.array(e.ids, "<u4").tobytes() for u, e in zip(
@@ -78,7 +78,7 @@ class Words:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split, known = [t.encode().split() for t in texts], self.words
-        if len(known) > CACHE:
+        if len(known) > KNOWN_WORDS:
             known.clear()
         new = set(chain.from_iterable(split)).difference(known)
         if new:
