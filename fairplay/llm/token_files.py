@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from fairplay.session import ensure_checkpoint_dir
 
-KNOWN_WORDS, KNOWN_UNITS, LONGEST = 200_000, 1_000_000, 64  # remembered by a worker; longer ones are not
+KNOWN_WORDS, KNOWN_UNITS, LONGEST = 200_000, 800_000, 64  # remembered by a worker; longer ones are not
 MARKS = ".,;:!?"
 _LOADED: dict[int, Words] = {}
 
