@@ -3,8 +3,9 @@
 Vectors are cut into ``groups`` of dimensions. For a query, each group is a list of
 partial scores over all candidates, and a candidate's score is the sum of its
 entries. (1) Every task gathers the k best entries of each list among its rows and
-each list's minimum; what these entries add up to, with the minima for entries not
-seen, bounds the k-th best score from below: the cutoff. (2) The cutoff of every
+each list's minimum; what these entries add up to per row, with the minima for entries
+not seen, bounds the k-th best score from below: the cutoff. Rows are told apart by a
+number of their own, as an id may stand in several rows. (2) The cutoff of every
 query is broadcast. Taken above the minima and divided by the number of lists it is
 the uniform threshold: a candidate that reaches the cutoff has an entry at or above
 it, so candidates without such an entry are dropped. (3) Those whose entries above
@@ -18,7 +19,8 @@ pair is written but these few.
 
 Cases: vectors that are null or hold a null, NaN or infinite component take no part;
 missing components of shorter vectors count as 0; rows with the query's own id are
-no candidates; a query row that is repeated is answered each time; fewer candidates
+no candidates; an id in several rows is a candidate with each of them; a query row
+that is repeated is answered each time; fewer candidates
 than k give all of them; empty tables give an empty table.
 """
 
@@ -38,10 +40,14 @@ ROWS = 512  # candidates scored at once
 
 
 def quantized(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: float = 1024.0) -> DataFrame:
-    """(id, v): integer components floor(scale * x) of the vectors that take part."""
+    """(row, id, v): integer components floor(scale * x) of the vectors that take part.
+
+    ``row`` is unique, and stays the same once the table is written.
+    """
     x = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
     odd = F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return x.filter(F.col("x").isNotNull()).filter(~odd).select("id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v"))
+    return x.filter(F.col("x").isNotNull()).filter(~odd).select(
+        F.monotonically_increasing_id().alias("row"), "id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v"))
 
 
 def matrix(vectors: list, width: int) -> np.ndarray:
@@ -68,39 +74,39 @@ class Block:
         kind = np.float64 if reach < 2.0 ** 52 else np.int64
         return [self.q[:, c].astype(kind) @ candidates[:, c].astype(kind).T for c in self.cuts]
 
-    def pieces(self, batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """(candidate ids, own-row mask, partial scores) a few rows at a time."""
+    def pieces(self, batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """(row numbers, candidate ids, own-row mask, partial scores) a few rows at a time."""
         for pdf in batches:
             for at in range(0, len(pdf), ROWS):
                 part = pdf.iloc[at:at + ROWS]
                 ids = part["id"].to_numpy(np.int64)
-                yield ids, self.ids[:, None] == ids[None, :], self.partials(matrix(list(part["v"]), self.q.shape[1]))
+                yield part["row"].to_numpy(np.int64), ids, self.ids[:, None] == ids[None, :], self.partials(matrix(list(part["v"]), self.q.shape[1]))
 
 
 
 def gather(block: Block, k: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Phase 1 of a task: (q, g, low, ids, scores) of its rows."""
+    """Phase 1 of a task: (q, g, low, row numbers, scores) of its rows."""
     n, groups = len(block.ids), len(block.cuts)
     low = np.full((groups, n), np.inf)
     top = np.full((groups, n, k), -np.inf)
-    top_ids = np.full((groups, n, k), -1, np.int64)
-    for ids, own, partials in block.pieces(batches):
+    top_rows = np.full((groups, n, k), -1, np.int64)
+    for numbers, _, own, partials in block.pieces(batches):
         for g, s in enumerate(partials):
             low[g] = np.minimum(low[g], np.where(own, np.inf, s).min(axis=1))
             s = np.where(own, -np.inf, s)
             rows = np.flatnonzero(s.max(axis=1) > top[g, :, -1])
             if len(rows):
                 all_s = np.concatenate([top[g, rows], s[rows]], axis=1)
-                all_i = np.concatenate([top_ids[g, rows], np.broadcast_to(ids, (len(rows), len(ids)))], axis=1)
+                all_i = np.concatenate([top_rows[g, rows], np.broadcast_to(numbers, (len(rows), len(numbers)))], axis=1)
                 at = np.argsort(-all_s, axis=1, kind="stable")[:, :k]
-                top[g, rows], top_ids[g, rows] = np.take_along_axis(all_s, at, 1), np.take_along_axis(all_i, at, 1)
+                top[g, rows], top_rows[g, rows] = np.take_along_axis(all_s, at, 1), np.take_along_axis(all_i, at, 1)
     out = []
     for g in range(groups):
         for q in range(n):
             if np.isfinite(low[g, q]):
                 real = np.isfinite(top[g, q])
-                out.append((q, g, low[g, q], top_ids[g, q][real], top[g, q][real]))
-    yield pd.DataFrame(out, columns=["q", "g", "low", "ids", "scores"])
+                out.append((q, g, low[g, q], top_rows[g, q][real], top[g, q][real]))
+    yield pd.DataFrame(out, columns=["q", "g", "low", "rows", "scores"])
 
 
 def resolve(block: Block, cutoff: np.ndarray, low: np.ndarray, k: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,7 +115,7 @@ def resolve(block: Block, cutoff: np.ndarray, low: np.ndarray, k: int, batches:
     uniform = low + (cutoff - low.sum(axis=0)) / groups  # per group and query
     uniform -= 1e-6 * (1 + np.abs(uniform))  # room for rounding: scores are whole numbers
     top, top_ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
-    for ids, own, partials in block.pieces(batches):
+    for _, ids, own, partials in block.pieces(batches):
         above = np.zeros(own.shape, bool)
         bound = np.zeros(own.shape)
         for s, t in zip(partials, uniform, strict=True):
@@ -162,14 +168,14 @@ def _block(rows: DataFrame, queries: Block, k: int) -> DataFrame:
     sc = rows.sparkSession.sparkContext
     sent = sc.broadcast(queries)  # at most ``block`` queries
     lists = write_table(rows.mapInPandas(lambda b: gather(sent.value, k, b),
-                                         "q int, g int, low double, ids array<long>, scores array<double>"), "lists")
+                                         "q int, g int, low double, rows array<long>, scores array<double>"), "lists")
     lows = lists.groupBy("q", "g").agg(F.min("low").alias("low"))
-    entries = lists.select("q", "g", F.explode(F.arrays_zip("ids", "scores")).alias("e")).select(
-        "q", "g", F.col("e.ids").alias("id"), F.col("e.scores").alias("s"))
-    best = W.partitionBy("q", "g").orderBy(F.col("s").desc(), "id")
+    entries = lists.select("q", "g", F.explode(F.arrays_zip("rows", "scores")).alias("e")).select(
+        "q", "g", F.col("e.rows").alias("row"), F.col("e.scores").alias("s"))
+    best = W.partitionBy("q", "g").orderBy(F.col("s").desc(), "row")
     entries = entries.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k)
     floor = lows.groupBy("q").agg(F.sum("low").alias("floor"))
-    sums = (entries.join(lows, ["q", "g"]).groupBy("q", "id").agg(F.sum(F.col("s") - F.col("low")).alias("over"))
+    sums = (entries.join(lows, ["q", "g"]).groupBy("q", "row").agg(F.sum(F.col("s") - F.col("low")).alias("over"))
             .join(floor, "q").withColumn("least", F.col("over") + F.col("floor")))
     kth = (sums.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.col("least").desc())))
            .filter(F.col("r") == k).select("q", "least"))
