@@ -32,6 +32,12 @@ def utf8_size(col: str):
     return F.octet_length(text_or_empty(col)).cast("long")
 
 
+def carried(kind: str) -> str:
+    """Type in which a key of type ``kind`` goes through pandas: there, a null makes the longs
+    of its batch doubles, which lose digits above 2^53; as text they stay exact."""
+    return "string" if kind == "bigint" else kind
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the session's shared folder, and read from there.
 

@@ -36,6 +36,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairplay.llm.common import carried
+
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 TOKEN = re.compile(r"[a-z]+")
@@ -304,6 +306,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html_colum
             yield pd.concat([pdf[["k", "u"]].reset_index(drop=True),
                              pd.DataFrame(rows, columns=["text", "n_chars", "n_elements", "n_content"])], axis=1)
 
-    slim = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(html_column).alias("h"))
-    out = slim.mapInPandas(run, f"k {types[key]}, u {types[url]}, text string, n_chars long, n_elements long, n_content long")
-    return out.withColumnRenamed("k", key).withColumnRenamed("u", url)
+    kind = types[key]
+    slim = pages.select(F.col(key).cast(carried(kind)).alias("k"), F.col(url).alias("u"), F.col(html_column).alias("h"))
+    out = slim.mapInPandas(run, f"k {carried(kind)}, u {types[url]}, text string, n_chars long, n_elements long, n_content long")
+    return out.withColumn("k", F.col("k").cast(kind)).withColumnRenamed("k", key).withColumnRenamed("u", url)

@@ -34,6 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairplay.llm.common import carried
+
 CACHE, LONGEST = 150_000, 64
 ROWS = 256  # rows of a result frame: bounds what a worker holds
 SPACE = "▁"
@@ -251,8 +253,9 @@ def _apply(df: DataFrame, key: str, text: str, model_path: str, columns: str,
                 rows = [each(codec, "" if t is None else t) for t in part["t"]]
                 yield pd.DataFrame({"k": part["k"].reset_index(drop=True)} | {n: [r[i] for r in rows] for i, n in enumerate(names)})
 
-    slim = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return slim.mapInPandas(run, f"k {dict(df.dtypes)[key]}, {columns}").withColumnRenamed("k", key)
+    kind = dict(df.dtypes)[key]
+    slim = df.select(F.col(key).cast(carried(kind)).alias("k"), F.col(text).alias("t"))
+    return slim.mapInPandas(run, f"k {carried(kind)}, {columns}").select(F.col("k").cast(kind).alias(key), *names)
 
 
 def encode(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

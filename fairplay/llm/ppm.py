@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairplay.llm.common import write_table
+from fairplay.llm.common import carried, write_table
 
 ORDER = 5
 PAD = b"\n" * ORDER
@@ -297,9 +297,9 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", fold: int = 2,
             yield block.rows(at)
 
     name = F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")
-    docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"), (F.crc32(name) % folds != fold).alias("train"))
+    docs = df.select(F.col(key).cast(carried(kind)).alias("k"), F.col(text).alias("t"), (F.crc32(name) % folds != fold).alias("train"))
     blocks = write_table(docs.mapInPandas(
-        cut, f"block long, bucket int, keys array<{kind}>, train array<boolean>, docs binary, strings binary, n binary, "
+        cut, f"block long, bucket int, keys array<{carried(kind)}>, train array<boolean>, docs binary, strings binary, n binary, "
         "words binary, word_n binary"), "ppm-blocks")
     asked = blocks.filter("bucket >= 0").select("block", "bucket", "strings", "n", "words", "word_n")
     sums = asked.mapInPandas(combine, COUNTS)
@@ -372,6 +372,6 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", fold: int = 2,
                              "n_tokens": n_tokens, "n_known": known, "base_score": base, "score": total})
 
     return (blocks.filter("bucket < 0").select("block", "keys", "train", "docs").groupBy("block").cogroup(answers.groupBy("block"))
-            .applyInPandas(add_up, f"row {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-            .select(F.col("row").alias(key), "held_out", "n_tokens", "n_known",
+            .applyInPandas(add_up, f"row {carried(kind)}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+            .select(F.col("row").cast(kind).alias(key), "held_out", "n_tokens", "n_known",
                     F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score"))

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairplay.llm.common import carried
 from fairplay.operators.components import components
 from fairplay.session import cut_lineage
 
@@ -65,8 +66,9 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words_p
             b["fp"] = [fingerprint(t, words_per_shingle) for t in b["t"]]
             yield b.drop(columns="t")
 
-    slim = df.select(F.col(key).alias("k"), *more, F.col(text).alias("t"))
-    return slim.mapInPandas(run, ", ".join([f"k {types[key]}", *(f"{c} {types[c]}" for c in more), "fp long"])).withColumnRenamed("k", key)
+    slim = df.select(F.col(key).cast(carried(types[key])).alias("k"), *more, F.col(text).alias("t"))
+    out = slim.mapInPandas(run, ", ".join([f"k {carried(types[key])}", *(f"{c} {types[c]}" for c in more), "fp long"]))
+    return out.select(F.col("k").cast(types[key]).alias(key), *more, "fp")
 
 
 def links(fps: DataFrame, max_bits: int = 2, segments: int = 8, pair_limit: int = 64) -> DataFrame:

@@ -50,7 +50,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairplay.llm.common import write_table
+from fairplay.llm.common import carried, write_table
 
 LENGTH = 400
 PLACES = 192  # an anchor is within the first PLACES bytes of its window
@@ -469,9 +469,11 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> Da
             yield pd.concat([pdf[["k"]].reset_index(drop=True), pd.DataFrame(
                 out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])], axis=1)
 
-    slim = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    kind = dict(df.dtypes)[key]
+    slim = df.select(F.col(key).cast(carried(kind)).alias("k"), F.col(text).alias("t"))
     return tagged(slim, "t", **how).mapInPandas(
-        run, f"k {dict(df.dtypes)[key]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("k", key)
+        run, f"k {carried(kind)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").select(
+        F.col("k").cast(kind).alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def clean(df: DataFrame, text: str = "text", **how) -> DataFrame:

@@ -17,7 +17,8 @@ Queries are taken in blocks of at most ``block`` rows, which bounds what is broa
 (a block, its cutoffs and minima); every block meets all rows, task by task, and no
 pair is written but these few.
 
-Cases: vectors that are null or hold a null, NaN or infinite component take no part;
+Cases: rows without an id, and vectors that are null or hold a null, NaN or infinite
+component, take no part, neither as queries nor as candidates;
 missing components of shorter vectors count as 0; rows with the query's own id are
 no candidates; an id in several rows is a candidate with each of them; a query row
 that is repeated is answered each time; fewer candidates
@@ -46,7 +47,7 @@ def quantized(df: DataFrame, key: str = "vec_id", vector: str = "embedding", sca
     """
     x = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
     odd = F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return x.filter(F.col("x").isNotNull()).filter(~odd).select(
+    return x.filter(F.col("id").isNotNull() & F.col("x").isNotNull()).filter(~odd).select(
         F.monotonically_increasing_id().alias("row"), "id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v"))
 
 

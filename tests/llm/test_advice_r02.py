@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from fairplay.llm import topk
+from fairplay.llm import html_text, pieces, ppm, simhash, suffix_dedup, topk
 from tests.llm import brute
 
 
@@ -26,3 +26,28 @@ def test_top_k_with_ids_in_several_rows(spark):
         df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
         got = sorted(tuple(x) for x in topk.search(df, F.col("id") % 100 == 0).collect())
         assert got == brute.top_k(rows), times
+
+
+LARGE = 2 ** 53 + 1
+
+
+def test_top_k_leaves_out_rows_without_an_id(spark):
+    r = random.Random(6)
+    rows = [(i, [r.random() for _ in range(4)]) for i in range(30)] + [(LARGE, [2.0] * 4)]
+    df = spark.createDataFrame([*rows, (None, [3.0] * 4), (None, [1.0] * 4)], "vec_id long, embedding array<double>").coalesce(1)
+    got = sorted(tuple(x) for x in topk.search(df, (F.col("id") % 100 == 0) | F.col("id").isNull()).collect())
+    assert got == brute.top_k(rows)
+    assert got[0][1:3] == (1, LARGE)
+
+
+def test_large_ids_beside_a_null_id_stay_exact(spark):
+    import public_tokenizers
+
+    df = spark.createDataFrame([(LARGE, "some words to read"), (None, "no id at all"), (-LARGE, "other words, not these")],
+                               "doc_id long, text string").coalesce(1)
+    pages = df.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    for out in (html_text.extract(pages), ppm.score(df), pieces.round_trip(df, model), pieces.encode(df, model),
+                suffix_dedup.removed(df), simhash.near_duplicates(df), simhash.keep_one(df)):
+        assert out.dtypes[0][1] == "bigint"
+        assert sorted((x[0] for x in out.collect()), key=lambda x: x or 0) == [-LARGE, None, LARGE], out.columns
