@@ -56,9 +56,9 @@ def source_targets(sources: DataFrame, share: float = 1.5, max_epochs: float = 2
 
 
 def repetitions(df: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size",
-                share: float = 1.5, max_epochs: float = 2.0, seed: int = 1) -> DataFrame:
+                share: float = 1.5, max_epochs: float = 2.0, seed: int = 1, ties: tuple[str, ...] = ()) -> DataFrame:
     """``df`` (slim: it is written once and read three times) with ``source_size``,
-    ``target`` and ``copies``."""
+    ``target`` and ``copies``. ``ties``: columns that order rows of equal key and size."""
     rows = cut_lineage(
         df.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null"))).cast("binary")))
         .withColumn("__bucket", F.substring("__h", 1, BUCKET_DIGITS))
@@ -75,7 +75,7 @@ def repetitions(df: DataFrame, key: str = "doc_id", source: str = "source", size
            .withColumn("__state", F.when(F.col("__end") <= F.col("__rest"), 1).when(F.col("__start") >= F.col("__rest"), 0).otherwise(2)))
     joined = rows.join(cut, ["__s", "__bucket"])
     settled = joined.filter("__state < 2").withColumn("__extra", F.col("__state").cast("long"))
-    inside = W.partitionBy("__s", "__bucket").orderBy("__h", F.col(key).asc_nulls_first(), size)
+    inside = W.partitionBy("__s", "__bucket").orderBy("__h", F.col(key).asc_nulls_first(), size, *ties)
     split = (joined.filter("__state = 2")
              .withColumn("__cum", F.sum(size).over(inside.rowsBetween(W.unboundedPreceding, 0)))
              .withColumn("__extra", (F.col("__start") + F.col("__cum") - F.col(size) / 2 <= F.col("__rest")).cast("long"))
@@ -87,12 +87,15 @@ def repetitions(df: DataFrame, key: str = "doc_id", source: str = "source", size
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
     """The mixed documents: each row as often as the mix takes it, in ``docs``' columns.
 
-    ``key`` must identify a row (a repeated key is decided once for all its rows).
+    The decision is the row's own, whatever its key: rows of a repeated or null key are
+    numbered in a written copy of ``docs``, and each follows its source's target.
     """
-    from fairplay.llm.common import n_words
+    from fairplay.llm.common import n_words, write_table
 
-    slim = docs.select(F.col(key).alias("__key"), F.col(source).alias("__source"), n_words(text).alias("__size"))
-    plan = (repetitions(slim, "__key", "__source", "__size", **how)
-            .groupBy("__key").agg(F.max("copies").alias("__copies")).filter("__copies > 0"))
-    taken = docs.join(plan, docs[key].eqNullSafe(plan["__key"])).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    rows = write_table(docs.withColumn("__row", F.monotonically_increasing_id()), "mix")
+    slim = rows.select("__row", F.col(key).alias("__key"), F.col(source).alias("__source"), n_words(text).alias("__size"),
+                       F.xxhash64(text).alias("__tie"))
+    plan = (repetitions(slim, "__key", "__source", "__size", ties=("__tie",), **how)
+            .select("__row", F.col("copies").cast("int").alias("__copies")).filter("__copies > 0"))
+    taken = rows.join(plan, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return taken.select(*[taken[c] for c in docs.columns])

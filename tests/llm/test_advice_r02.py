@@ -1,10 +1,11 @@
 """Cases of the second review: ids in several rows, null and large ids."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from fairplay.llm import html_text, pieces, ppm, simhash, suffix_dedup, topk
+from fairplay.llm import html_text, mixing, pieces, ppm, simhash, suffix_dedup, topk
 from tests.llm import brute
 
 
@@ -51,3 +52,24 @@ def test_large_ids_beside_a_null_id_stay_exact(spark):
                 suffix_dedup.removed(df), simhash.near_duplicates(df), simhash.keep_one(df)):
         assert out.dtypes[0][1] == "bigint"
         assert sorted((x[0] for x in out.collect()), key=lambda x: x or 0) == [-LARGE, None, LARGE], out.columns
+
+
+def test_mix_decides_by_row_for_null_and_repeated_keys(spark):
+    r = random.Random(8)
+    rows = [(key, " ".join([f"{source}{key}{i}"] * r.randint(20, 60)), source)
+            for source, n in (("a", 60), ("b", 90)) for key in (None, 7, 8) for i in range(n if key is None else n // 3)]
+    rows += [rows[0]] * 3 + [rows[-1]] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    out = mixing.mix(df, seed=7)
+    got = [tuple(x) for x in out.collect()]
+    assert out.columns == df.columns
+    sizes, taken = Counter(), Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    for _, t, s in got:
+        taken[s] += len(t.split())
+    want = brute.targets(sizes)
+    assert all(abs(taken[s] - want[s]) <= 60 for s in sizes), (taken, want)
+    once, often = Counter(rows), Counter(got)
+    assert all(int(want[x[2]] // sizes[x[2]]) * n <= often[x] <= (int(want[x[2]] // sizes[x[2]]) + 1) * n for x, n in once.items())
+    assert Counter(got) == Counter(tuple(x) for x in mixing.mix(df.repartition(3), seed=7).collect())
