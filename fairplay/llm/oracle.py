@@ -1,5 +1,6 @@
 """DuckDB SQL of the registered queries that SQL can express: searches (1), quality
-(3), sharding (4) and mixing (7). The others work on bytes, hashes or tokenizers
+(3), sharding (4), mixing (7), importance resampling (11), exact dedup (12) and the
+manifest (13). The others work on bytes, hashes or tokenizers
 that SQL does not have; ``tests/llm`` holds them against brute force."""
 
 from __future__ import annotations
@@ -109,9 +110,92 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM v, e{quality.ROUNDS}"""
 
 
+CRC_TABLE = """crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce([0, 1, 2, 3, 4, 5, 6, 7],
+    lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, CAST(n AS BIGINT))) AS t)"""
+
+
+def crc32(text: str) -> str:
+    """SQL of a text's CRC-32; needs CRC_TABLE's ``t``."""
+    return (f"xor(list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT)), "
+            "lambda c, b: xor(c // 256, t[CAST(xor(c % 256, b) AS INTEGER) + 1]), 4294967295), 4294967295)")
+
+
+FEATURES = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+            r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+IMPORTANCE = f"""
+WITH {CRC_TABLE},
+docs AS (SELECT row_number() OVER () AS rid, doc_id, {FEATURES} AS words FROM documents),
+source AS (SELECT rid, unnest(words) AS w FROM docs),
+target AS (SELECT unnest({FEATURES}) AS w FROM benchmark),
+vocabulary AS (SELECT w, {crc32("w")} % 10000 AS bucket FROM (SELECT w FROM source UNION SELECT w FROM target), crc_table),
+s AS (SELECT bucket, count(*) AS n FROM source JOIN vocabulary USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM target JOIN vocabulary USING (w) GROUP BY bucket),
+gains AS (SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * CAST((SELECT count(*) FROM source) + 10000 AS DOUBLE)
+    / (CAST(coalesce(s.n, 0) + 1 AS DOUBLE) * CAST((SELECT count(*) FROM target) + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM (SELECT DISTINCT bucket FROM vocabulary) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+weights AS (SELECT rid, sum(gain) AS weight FROM source JOIN vocabulary USING (w) JOIN gains USING (bucket) GROUP BY rid),
+scored AS (SELECT docs.rid, doc_id, CAST(len(words) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS DOUBLE)
+      + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+  FROM docs LEFT JOIN weights ON docs.rid = weights.rid),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, rid) AS place,
+    count(*) OVER (PARTITION BY n_features >= 20) AS pool FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= pool * 10 // 100 THEN place END AS rank FROM ranked"""
+
+EXACT = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, length(coalesce(text, '')) AS size,
+             regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t ORDER BY size DESC, doc_id NULLS LAST, rid ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
+
+
+def leaf(**other: str) -> str:
+    """SQL of a row's digest; ``other``: expressions in place of columns."""
+    cells = (f"CAST({other.get(c, c)} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars", "text"))
+    return "sha256(" + " || ".join(f"coalesce(CAST(strlen({x}) AS VARCHAR) || ':' || {x}, '-')" for x in cells) + ")"
+
+
+def levels(name: str, source: str) -> str:
+    """Recursive query ``name``: all nodes over ``source`` (g, level, pos, n, h)."""
+    return f"""{name} AS (SELECT g, level, pos, n, h FROM {source}
+  UNION ALL SELECT g, level + 1, pos // 2, (n + 1) // 2, sha256(h || coalesce(next, ''))
+  FROM (SELECT *, lead(h) OVER (PARTITION BY g ORDER BY pos) AS next FROM {name} WHERE n > 1) WHERE pos % 2 = 0)"""
+
+
+def paths(name: str, source: str, nodes: str) -> str:
+    """Recursive query ``name``: the rows of ``source`` (rid, g, level, pos, n, h, proof) on their way up."""
+    return f"""{name} AS (SELECT rid, g, level, pos, n, h, proof FROM {source}
+  UNION ALL SELECT w.rid, w.g, w.level + 1, w.pos // 2, (w.n + 1) // 2,
+    sha256(CASE WHEN w.pos % 2 = 1 THEN s.h || w.h ELSE w.h || coalesce(s.h, '') END), w.proof || coalesce(s.h, '')
+  FROM {name} w LEFT JOIN {nodes} s ON s.g = w.g AND s.level = w.level AND s.pos = xor(w.pos, 1) WHERE w.n > 1)"""
+
+
+MANIFEST = f"""
+WITH RECURSIVE {CRC_TABLE},
+docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS g, {leaf()} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {leaf(n_chars="n_chars + 1")} ELSE {leaf()} END AS given
+  FROM documents, crc_table),
+leaves AS MATERIALIZED (SELECT *, 0 AS level, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS pos,
+    count(*) OVER (PARTITION BY g) AS n FROM docs),
+{levels("all_low", "(SELECT *, leaf AS h FROM leaves)")},
+low AS MATERIALIZED (SELECT * FROM all_low),
+tops AS MATERIALIZED (SELECT g AS name, '' AS g, 0 AS level, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n, h FROM low WHERE n = 1),
+{levels("all_high", "tops")},
+high AS MATERIALIZED (SELECT * FROM all_high),
+{paths("up_low", "(SELECT *, given AS h, '' AS proof FROM leaves)", "low")},
+{paths("up_high", "(SELECT u.rid, tops.g, tops.level, tops.pos, tops.n, u.h, u.proof FROM up_low u JOIN tops ON tops.name = u.g WHERE u.n = 1)", "high")}
+SELECT doc_id, leaf, tops.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, u.h AS folded_root, u.h = root.h AS verified
+FROM up_high u JOIN leaves ON leaves.rid = u.rid JOIN tops ON tops.name = leaves.g, (SELECT h FROM high WHERE n = 1) AS root
+WHERE u.n = 1"""
+
+
 SQL: dict[str, str] = {
     "op1_exact_top_k": TOP_K,
     "op3_weak_supervision_quality": quality_sql(),
     "op4_feistel_sharding": sharding_sql(4, 8),
     "op7_source_mixing": MIXING,
+    "op11_importance_resampling": IMPORTANCE,
+    "op12_exact_dedup": EXACT,
+    "op13_merkle_manifest": MANIFEST,
 }

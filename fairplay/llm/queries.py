@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairplay.llm import html_text, mixing, pieces, ppm, quality, sharding, simhash, suffix_dedup, token_files, topk
+from fairplay.llm import (
+    exact_dedup, html_text, importance, merkle, mixing, pieces, ppm, quality, sharding, simhash, suffix_dedup, token_files, topk)
 from fairplay.llm.common import n_words, read, text_or_empty, utf8_size
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +89,28 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What repeats of every document's bytes, 400 at a time, is removed."""
     return suffix_dedup.removed(read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document in the draw towards the benchmark's words."""
+    found = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, size and verdict of every document; texts are equal up to white space."""
+    found = exact_dedup.Index(read(spark, sf_dir, "documents")).classes()
+    return found.select(F.col("key").alias("doc_id"), F.col("keep_key").alias("keep_id"), F.col("n").alias("group_size"),
+                        (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and the root of its tampered version."""
+    docs = read(spark, sf_dir, "documents")
+    tampered = F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
+    found = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], changes={"n_chars": F.col("n_chars") + 1}, when=tampered)
+    return found.select("doc_id", "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root",
+                        (F.col("folded_root") == F.col("root")).alias("verified"))

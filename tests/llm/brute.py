@@ -174,3 +174,73 @@ def targets(sizes, share=1.5, most=2.0, weights=(5, 2, 1)):
         if not more:
             return {s: most * sizes[s] if s in capped else level * weight[s] for s in names}
         capped |= more
+
+
+def importance(docs, target, longest=1, buckets=10_000, seed=2024, percent=10, least=20):
+    """(doc_id, text) rows and texts -> (doc_id, n_features, weight, score, rank) in row order; equal rows may swap ranks."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+    features = lambda w: [" ".join(w[i:i + n]) for n in range(1, longest + 1) for i in range(len(w) - n + 1)]
+    at = lambda f: zlib.crc32(f.encode()) % buckets
+    lists = [features(split(t)) for _, t in docs]
+    s, t = Counter(at(f) for x in lists for f in x), Counter(at(f) for x in target for f in features(split(x)))
+    all_s, all_t = float(sum(s.values()) + buckets), float(sum(t.values()) + buckets)
+    gains = {b: math.floor(1000 * math.log((t[b] + 1) * all_s / ((s[b] + 1) * all_t))) for b in set(s) | set(t)}
+    weights = [sum(gains[at(f)] for f in x) for x in lists]
+    named = ["null" if i is None else str(i) for i, _ in docs]
+    hs = [int(hashlib.sha256(f"{seed}:{n}".encode()).hexdigest()[:8], 16) for n in named]
+    scores = [w + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))) for w, h in zip(weights, hs)]
+    pool = sorted((j for j, (_, x) in enumerate(docs) if len(split(x)) >= least),
+                  key=lambda j: (-scores[j], docs[j][0] is None, docs[j][0] or 0))
+    rank = {j: r + 1 for r, j in enumerate(pool[:percent * len(pool) // 100])}
+    return [(i, len(x), w, sc, rank.get(j)) for j, ((i, _), x, w, sc) in enumerate(zip(docs, lists, weights, scores))]
+
+
+def exact(docs):
+    """(doc_id, text) rows -> (doc_id, keep_id, group_size, kept, text_sha256) in row order."""
+    norm = [re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t in docs]
+    members = defaultdict(list)
+    for j, n in enumerate(norm):
+        members[n].append(j)
+    first = {n: min(m, key=lambda j: (-len(docs[j][1] or ""), docs[j][0] is None, docs[j][0] or 0, j)) for n, m in members.items()}
+    return [(i, docs[first[n]][0], len(members[n]), first[n] == j, hashlib.sha256(n.encode()).hexdigest())
+            for j, ((i, _), n) in enumerate(zip(docs, norm))]
+
+
+def merkle(rows, arity=2):
+    """(doc_id, source, lang, n_chars, text) rows -> the query's rows, in no order."""
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    cell = lambda x: "-" if x is None else f"{len(str(x).encode())}:{x}"
+
+    def tree(leaves):
+        levels = [leaves]
+        while len(levels[-1]) > 1:
+            levels.append([sha("".join(levels[-1][i:i + arity])) for i in range(0, len(levels[-1]), arity)])
+        return levels
+
+    def up(levels, at, node):
+        """(siblings, root) of a leaf that is ``node`` instead."""
+        around = ""
+        for nodes in levels[:-1]:
+            run = nodes[at - at % arity:at - at % arity + arity]
+            k = at % arity
+            around += "".join(run[:k] + run[k + 1:])
+            node = sha("".join(run[:k] + [node] + run[k + 1:]))
+            at //= arity
+        return around, node
+
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[2]].append((r, sha("".join(map(cell, r)))))
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    for g in names:
+        groups[g].sort(key=lambda x: (x[0][0] is not None, x[0][0] or 0, x[1]))
+    trees = {g: tree([x[1] for x in groups[g]]) for g in names}
+    top = tree([trees[g][-1][0] for g in names])
+    out = []
+    for k, g in enumerate(names):
+        for at, (r, leaf) in enumerate(groups[g]):
+            hit = r[0] is not None and r[3] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 0
+            low_proof, node = up(trees[g], at, sha("".join(map(cell, (*r[:3], r[3] + 1, r[4])))) if hit else leaf)
+            high_proof, root = up(top, k, node)
+            out.append((r[0], leaf, trees[g][-1][0], top[-1][0], sha(low_proof + high_proof), root, root == top[-1][0]))
+    return out

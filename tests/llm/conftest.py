@@ -43,13 +43,15 @@ def edge_dir(spark, tmp_path_factory):
     pages = [(i, f"u{i}", page.format(f"Title {i}", "first part of the text, long enough to be read " * 3, "second part of it " * (i % 5)), "x") for i in range(40)]
     pages += [(90, None, None, None), (91, "u", "", None), (92, "u", "<div>" * 3000 + "deep", None), (None, "u", "<p title='x>broken <p", None)]
     spark.createDataFrame(pages, "page_id long, url string, html string, text string").repartition(3).write.parquet(f"{path}/pages.parquet")
+    items = [(i, " ".join(str(t).split()[i:i + 12]) if t else t, "x") for i, (_, t, *_) in enumerate(documents()[10:40])] + [(90, None, None), (91, "", None)]
+    spark.createDataFrame(items, "item_id long, text string, bucket string").repartition(2).write.parquet(f"{path}/benchmark.parquet")
     return path
 
 
 @pytest.fixture(scope="session")
 def empty_dir(spark, edge_dir, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         spark.read.parquet(f"{edge_dir}/{t}.parquet").limit(0).write.parquet(f"{path}/{t}.parquet")
     return path
 
