@@ -1,46 +1,49 @@
 """Exact removal of repeated byte strings by a distributed merge sort of suffixes.
 
-A byte goes if a string of ``length`` bytes (400) that covers it also starts anywhere
-else. Sorting every suffix would move 400 bytes per byte of text, so only suffixes
+A byte goes if a string of ``length`` bytes that covers it also starts anywhere else.
+Sorting every suffix would move ``length`` bytes per byte of text, so only suffixes
 that can matter are sorted:
 
-* Every window of 400 bytes has an anchor: the place of the smallest hash of 8 bytes
-  among its first 192 places. Equal windows have their anchor at the same offset,
-  so each window belongs to one anchor, and windows can only be equal if the 200
-  bytes after their anchors are. Anchors whose 200 bytes occur once are dropped by
-  an exact count over the whole table. This loses no pair of equal windows.
+* Every window of ``length`` bytes has an anchor: the place of the smallest hash of 8 bytes
+  among its first ``places``. Equal windows have their anchor at the same offset,
+  so each window belongs to one anchor, and windows can only be equal if the ``key``
+  bytes after their anchors are (that many lie in each of them). Anchors whose key occurs
+  once are dropped by an exact count over the whole table. This loses no pair of equal windows.
+* For the count, a batch of anchors keeps those whose key it has twice itself, and sends one
+  anchor of each key on, packed in sorted blobs by ranges of the key's hash; where they meet,
+  a key is a row per batch at most, however many anchors have it.
 * What is left are the suffixes at repeated anchors: the bytes of an anchor's windows
   from the anchor on, then those before it in reverse. Every task sorts its own into a
   run, folds equal ones, front-codes it (length of the prefix shared with the suffix
-  before, then the rest) and deals it by splitters to ranges; splitters are 200 bytes
-  long, so they never part suffixes that must meet. A range merges its runs with a
-  loser tree that keeps, for every run's head, the length of the prefix it shares
+  before, then the rest) and deals it to ranges by the hash of the key, so that suffixes
+  that must meet do; a key with many anchors has a range of its own. A range merges its
+  runs with a loser tree that keeps, for every run's head, the length of the prefix it shares
   with the last suffix put out: a longer shared prefix wins at once, and on a tie bytes
   are compared only beyond it. Many runs are merged in turns of ``FAN_IN``.
 * In the merged order, suffixes that share d bytes are neighbours. A window that
-  begins l bytes before its anchor repeats if another suffix shares 400 - l bytes
+  begins l bytes before its anchor repeats if another suffix shares ``length`` - l bytes
   after the anchor (a run of the merged order) and l bytes before it (a run of the
   order of the reversed fronts); both runs are exact, for each l in turn.
 
-Copies: texts are known by their MD5; a text of 400 bytes or more in several rows
+Copies: texts are known by their MD5; a text of ``length`` bytes or more in several rows
 is removed whole, and is sorted once per task. A passage in more than ``class_limit``
 rows (with different surroundings) is not gathered in one range: its distinct contexts
 are counted by digest, its windows by digest of their bytes, in plain aggregates.
-Nothing is capped.
+Nothing is capped. Only texts with a repeated anchor are looked at again to be cut.
 
-Cases: null text is empty; texts under 400 bytes keep everything; repeated rows are
+Cases: null text is empty; texts under ``length`` bytes keep everything; repeated rows are
 copies; an empty table gives an empty table; texts of any length are read whole, in
 overlapping stretches; matches never cross texts; other columns do not matter, and
 ``clean`` returns them as they are. In ``clean`` a character that lost some of its
-bytes is dropped.
+bytes is dropped, and runs of fewer than ``least_words`` words (those they cut counted) stay.
 """
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -50,34 +53,59 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairplay.llm.common import carried, write_table
+from fairplay.llm.common import n_words, text_or_empty, write_table
+from fairplay.plans.joins import bounded_broadcast
 
 LENGTH = 400
-PLACES = 192  # an anchor is within the first PLACES bytes of its window
-KEY = 200  # bytes after the anchor that lie in each of its windows
 STRETCH = 1 << 20
 FAN_IN = 256
 RUN_BYTES = 48 << 20
-WIDTH = LENGTH + PLACES  # bytes of a sorted suffix: what follows the anchor, then the reversed front
+BATCH = 1 << 18  # anchors counted together before they are sent on
 LOW = np.uint64((1 << 24) - 1)
 
 
-def anchors(raw: bytes) -> Iterator[tuple[int, int, int]]:
+@dataclass(frozen=True)
+class Window:
+    """The strings that are looked for, and what follows from their length."""
+
+    length: int
+
+    def __post_init__(self):
+        if self.length < 32:
+            raise ValueError("length must be 32 bytes or more")
+
+    @property
+    def places(self) -> int:
+        """An anchor is within the first so many bytes of its window."""
+        return min(256, self.length * 12 // 25)
+
+    @property
+    def key(self) -> int:
+        """Bytes after the anchor that lie in each of its windows."""
+        return self.length - self.places
+
+    @property
+    def width(self) -> int:
+        """Bytes of a sorted suffix: what follows the anchor, then the reversed front."""
+        return self.length + self.places
+
+
+def anchors(raw: bytes, w: Window) -> Iterator[tuple[int, int, int]]:
     """(anchor, smallest and largest distance of its windows' starts before it)."""
-    for base in range(0, len(raw) - LENGTH + 1, STRETCH):
-        part = raw[base:base + STRETCH + LENGTH - 1]
-        windows = len(part) - LENGTH + 1
-        eight = np.ndarray((windows + PLACES - 1,), "<u8", part, strides=(1,)).astype(np.uint64)
+    for base in range(0, len(raw) - w.length + 1, STRETCH):
+        part = raw[base:base + STRETCH + w.length - 1]
+        windows = len(part) - w.length + 1
+        eight = np.ndarray((windows + w.places - 1,), "<u8", part, strides=(1,)).astype(np.uint64)
         eight *= np.uint64(0x9E3779B97F4A7C15)
         eight ^= eight >> np.uint64(29)
         eight *= np.uint64(0xBF58476D1CE4E5B9)
         low = (eight & ~LOW) | np.arange(len(eight), dtype=np.uint64)
         span = 1
-        while span * 2 <= PLACES:  # minimum over spans of doubling length
+        while span * 2 <= w.places:  # minimum over spans of doubling length
             low = np.minimum(low[:-span], low[span:])
             span *= 2
-        if span < PLACES:
-            low = np.minimum(low[:len(low) - (PLACES - span)], low[PLACES - span:])
+        if span < w.places:
+            low = np.minimum(low[:len(low) - (w.places - span)], low[w.places - span:])
         at = (low & LOW).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         last = np.append(first[1:], len(at)) - 1
@@ -85,50 +113,115 @@ def anchors(raw: bytes) -> Iterator[tuple[int, int, int]]:
             yield base + a, a - q, a - p
 
 
-def found_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, t, place, head) of the anchors of a task's distinct texts. ``head``: the key's
-    bytes, for one key in 256."""
-    seen: set[bytes] = set()
-    for pdf in batches:
-        keys, texts, places, heads = [], [], [], []
-        for text in pdf["t"]:
-            raw = (text or "").encode()
-            if len(raw) < LENGTH:
-                continue
-            digest = hashlib.md5(raw).digest()
-            if digest in seen:
-                continue
-            seen.add(digest)
-            t = int.from_bytes(digest[:8], "big", signed=True)
-            for a, near, far in anchors(raw):
-                k = xxhash.xxh3_64_intdigest(raw[a:a + KEY])
-                keys.append(k)
-                texts.append(t)
-                places.append(a << 16 | near << 8 | far)
-                heads.append(raw[a:a + KEY] if not k & 255 else None)
-        yield pd.DataFrame({"key": np.array(keys, np.uint64).astype(np.int64), "t": np.array(texts, np.int64),
-                            "place": np.array(places, np.int64), "head": pd.Series(heads, dtype="object")})
-
-
-def packed_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(t, h, packed): a task's distinct texts of 400 bytes or more, compressed; h: their MD5."""
-    seen: set[bytes] = set()
-    pack = zstandard.ZstdCompressor(level=1).compress
-    for pdf in batches:
-        out = []
-        for text in pdf["t"]:
-            raw = (text or "").encode()
-            digest = hashlib.md5(raw).digest()
-            if len(raw) >= LENGTH and digest not in seen:
+ANCHOR = np.dtype([("key", "<u8"), ("t", "<i8"), ("place", "<i8"), ("n", "<i8")])
+
+
+def counted(anchors_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors with counts -> (one per key, with all its counts; those of repeated keys): a key
+    is repeated if it is in several places, or was in one of the batches (a count above 1)."""
+    table = anchors_of[np.lexsort((anchors_of["place"], anchors_of["t"], anchors_of["key"]))]
+    new_key = np.concatenate([[True], table["key"][1:] != table["key"][:-1]])
+    new_place = new_key | np.concatenate([[True], (table["t"][1:] != table["t"][:-1]) | (table["place"][1:] != table["place"][:-1])])
+    first = np.flatnonzero(new_key)
+    which = np.cumsum(new_key) - 1
+    ones = table[first].copy()
+    ones["n"] = np.add.reduceat(table["n"], first)
+    several = (np.add.reduceat(new_place.astype(np.int64), first) > 1) | (np.maximum.reduceat(table["n"], first) > 1)
+    found = table[several[which] & new_place].copy()
+    found["n"] = ones["n"][which[several[which] & new_place]]
+    return ones, found
+
+
+def blobs(table: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, blob) of anchors, by the hash of the key; column by column, in order of the key."""
+    part = (table["key"] >> np.uint64(16)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    table, part = table[order], part[order]
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(table)], strict=True):
+        rows = table[a:b]
+        step = np.diff(rows["key"], prepend=np.uint64(0))
+        body = b"".join([step.tobytes(), rows["t"].tobytes(), rows["place"].tobytes(), rows["n"].tobytes()])
+        yield int(part[a]), struct.pack("<I", b - a) + zstandard.compress(body, 1)
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    n, body = struct.unpack_from("<I", blob)[0], zstandard.decompress(blob[4:])
+    table = np.empty(n, ANCHOR)
+    table["key"] = np.cumsum(np.frombuffer(body, "<u8", n), dtype=np.uint64)
+    for i, c in enumerate(("t", "place", "n"), 1):
+        table[c] = np.frombuffer(body, "<i8", n, 8 * n * i)
+    return table
+
+
+def as_rows(table: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"key": table["key"].astype(np.int64), **{c: table[c] for c in ("t", "place", "n")}})
+
+
+def found_anchors(w: Window, parts: int):
+    """Function of a task's texts: a row (part, blob) of packed anchors, one of each key and
+    batch, or an anchor (key, t, place, n) whose key its batch has in several places."""
+
+    def flushed(held: list[tuple[int, int, int]]) -> pd.DataFrame:
+        table = np.empty(len(held), ANCHOR)
+        for i, c in enumerate(("key", "t", "place")):
+            table[c] = np.fromiter((x[i] for x in held), ANCHOR[c], len(held))
+        table["n"] = 1
+        ones, several = counted(table)
+        packed = pd.DataFrame(list(blobs(ones, parts)), columns=["part", "blob"])
+        return pd.concat([packed.assign(key=0, t=0, place=0, n=0), as_rows(several).assign(part=-1, blob=None)])[
+            ["part", "blob", "key", "t", "place", "n"]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[bytes] = set()
+        held: list[tuple[int, int, int]] = []
+        for pdf in batches:
+            for text in pdf["t"]:
+                raw = (text or "").encode()
+                digest = hashlib.md5(raw).digest()
+                if len(raw) < w.length or digest in seen:
+                    continue
                 seen.add(digest)
-                out.append((int.from_bytes(digest[:8], "big", signed=True), digest, pack(raw)))
-        yield pd.DataFrame(out, columns=["t", "h", "packed"])
+                t = int.from_bytes(digest[:8], "big", signed=True)
+                for a, near, far in anchors(raw, w):
+                    held.append((xxhash.xxh3_64_intdigest(raw[a:a + w.key]), t, a << 16 | near << 8 | far))
+                    if len(held) >= BATCH:
+                        yield flushed(held)
+                        held = []
+        if held:
+            yield flushed(held)
+
+    return run
+
+
+def met(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A range of keys: the anchors of those that are in several places."""
+    return as_rows(counted(np.concatenate([unpacked(b) for b in pdf["blob"]]))[1])
+
+
+def packed_texts(w: Window):
+    """Function of a task's texts: (t, h, packed) of the distinct ones that are long enough; h: their MD5."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[bytes] = set()
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for pdf in batches:
+            out = []
+            for text in pdf["t"]:
+                raw = (text or "").encode()
+                digest = hashlib.md5(raw).digest()
+                if len(raw) >= w.length and digest not in seen:
+                    seen.add(digest)
+                    out.append((int.from_bytes(digest[:8], "big", signed=True), digest, pack(raw)))
+            yield pd.DataFrame(out, columns=["t", "h", "packed"])
+
+    return run
 
 
-def suffix(raw: bytes, a: int, near: int, far: int) -> bytes:
+def suffix(raw: bytes, a: int, near: int, far: int, w: Window) -> bytes:
     """The sorted form of an anchor's windows, with their distances at the end."""
-    after = raw[a:a - near + LENGTH].ljust(LENGTH, b"\0")
-    return after + raw[a - far:a][::-1].ljust(PLACES, b"\0") + bytes((near, far))
+    after = raw[a:a - near + w.length].ljust(w.length, b"\0")
+    return after + raw[a - far:a][::-1].ljust(w.places, b"\0") + bytes((near, far))
 
 
 def shared(rows: np.ndarray) -> np.ndarray:
@@ -143,22 +236,23 @@ def shared(rows: np.ndarray) -> np.ndarray:
 
 def front_coded(items: list[tuple[bytes, bytes]]) -> bytes:
     """A sorted run of (suffix, occurrences), compressed."""
-    table = np.frombuffer(b"".join(s for s, _ in items), np.uint8).reshape(len(items), WIDTH + 2)
+    width = len(items[0][0])
+    table = np.frombuffer(b"".join(s for s, _ in items), np.uint8).reshape(len(items), width)
     same = shared(table)
     tails = b"".join(s[n:] for (s, _), n in zip(items, same.tolist(), strict=True))
     sizes = np.array([len(o) for _, o in items], "<u4").tobytes()
     body = same.astype("<u2").tobytes() + sizes + tails + b"".join(o for _, o in items)
-    return struct.pack("<I", len(items)) + zstandard.compress(body, 3)
+    return struct.pack("<II", len(items), width) + zstandard.compress(body, 3)
 
 
 def opened(blob: bytes) -> Iterator[tuple[bytes, int, bytes]]:
     """(suffix, bytes shared with the one before, occurrences) of a front-coded run."""
-    n, body = struct.unpack_from("<I", blob)[0], zstandard.decompress(blob[4:])
+    (n, width), body = struct.unpack_from("<II", blob), zstandard.decompress(blob[8:])
     same = np.frombuffer(body, "<u2", n).tolist()
     sizes = np.frombuffer(body, "<u4", n, 2 * n).tolist()
-    at, occ, last = 6 * n, 6 * n + n * (WIDTH + 2) - sum(same), b""
+    at, occ, last = 6 * n, 6 * n + n * width - sum(same), b""
     for s, size in zip(same, sizes, strict=True):
-        end = at + WIDTH + 2 - s
+        end = at + width - s
         last = last[:s] + body[at:end]
         yield last, s, body[occ:occ + size]
         at, occ = end, occ + size
@@ -235,24 +329,24 @@ def several(occurrences: bytes) -> bool:
         occurrences[i:i + OCCURRENCE] != first for i in range(OCCURRENCE, len(occurrences), OCCURRENCE))
 
 
-def repeated(suffixes: list[bytes], after: np.ndarray, multiple: np.ndarray) -> np.ndarray:
+def repeated(suffixes: list[bytes], after: np.ndarray, multiple: np.ndarray, w: Window) -> np.ndarray:
     """(suffix, l): whether its window that begins l bytes before the anchor occurs elsewhere.
 
     ``suffixes`` are distinct and sorted, ``after`` are the bytes each shares with the one before.
     """
     n = len(suffixes)
-    table = np.frombuffer(b"".join(suffixes), np.uint8).reshape(n, WIDTH + 2)
+    table = np.frombuffer(b"".join(suffixes), np.uint8).reshape(n, w.width + 2)
     near, far = table[:, -2].astype(np.int64), table[:, -1].astype(np.int64)
-    fronts = np.ascontiguousarray(table[:, LENGTH:WIDTH])
-    order = np.argsort(fronts.view(f"S{PLACES}").ravel(), kind="stable")
+    fronts = np.ascontiguousarray(table[:, w.length:w.width])
+    order = np.argsort(fronts.view(f"S{w.places}").ravel(), kind="stable")
     before = np.empty(n, np.int64)
-    out = np.zeros((n, PLACES), bool)
+    out = np.zeros((n, w.places), bool)
     common = shared(fronts[order])
-    for distance in range(PLACES):
+    for distance in range(w.places):
         rows = np.flatnonzero((near <= distance) & (distance <= far))
         if not len(rows):
             continue
-        right = np.cumsum(after < LENGTH - distance)
+        right = np.cumsum(after < w.length - distance)
         before[order] = np.cumsum(common < distance)
         both = right[rows] * (n + 1) + before[rows]
         by = np.argsort(both, kind="stable")
@@ -285,23 +379,27 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A range: its runs merged, and the repeated bytes (h, spans) of its texts."""
-    suffixes, same, occurrences = [], [], []
-    for s, n, occ in merged(list(pdf["blob"])):
-        suffixes.append(s)
-        same.append(n)
-        occurrences.append(occ)
-    if not suffixes:
-        return covered({})
-    multiple = np.fromiter(map(several, occurrences), bool, len(occurrences))
-    hits = repeated(suffixes, np.array(same), multiple)
-    found: dict[bytes, list[tuple[int, int]]] = {}
-    for i in np.flatnonzero(hits.any(axis=1)).tolist():
-        runs = spans_of(hits[i])
-        for h, a in struct.iter_unpack("<16sI", occurrences[i]):
-            found.setdefault(h, []).extend((a - hi, a - lo + LENGTH) for lo, hi in runs)
-    return covered(found)
+def settle(w: Window):
+    """Function of a range: its runs merged, and the repeated bytes (h, spans) of its texts."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        suffixes, same, occurrences = [], [], []
+        for s, n, occ in merged(list(pdf["blob"])):
+            suffixes.append(s)
+            same.append(n)
+            occurrences.append(occ)
+        if not suffixes:
+            return covered({})
+        multiple = np.fromiter(map(several, occurrences), bool, len(occurrences))
+        hits = repeated(suffixes, np.array(same), multiple, w)
+        found: dict[bytes, list[tuple[int, int]]] = {}
+        for i in np.flatnonzero(hits.any(axis=1)).tolist():
+            runs = spans_of(hits[i])
+            for h, a in struct.iter_unpack("<16sI", occurrences[i]):
+                found.setdefault(h, []).extend((a - hi, a - lo + w.length) for lo, hi in runs)
+        return covered(found)
+
+    return run
 
 
 def joined_runs(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -310,83 +408,82 @@ def joined_runs(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": [pdf["part"].iloc[0]], "run": [pdf["run"].iloc[0]], "blob": [front_coded(items)]})
 
 
-def repeated_spans(df: DataFrame, text: str = "text", class_limit: int = 50_000, per_range: int = 30_000) -> DataFrame:
-    """(h, spans): what repeats in or between the distinct texts of ``df``; h: the text's MD5,
-    spans: (start, end) pairs as little-endian 32-bit integers, possibly in several rows per
-    text. Copies of whole texts are not looked at here. (Where only t, 8 bytes of the MD5, stands
-    for a text, two texts with one t can at most add anchors that are then checked in vain.)"""
-    spark = df.sparkSession
+def repeated_anchors(texts: DataFrame, w: Window, per_range: int, class_limit: int, per_part: int) -> DataFrame:
+    """(t, place, range, frequent) of the anchors whose key is in several places; written.
+
+    A key of more than ``per_range`` anchors has a range of its own.
+    """
+    spark = texts.sparkSession
+    size = texts.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, 2 * size // w.places // per_part)
+    schema = "key long, t long, place long, n long"
+    packed = write_table(texts.mapInPandas(found_anchors(w, parts), f"part int, blob binary, {schema}"), "anchors")
+    known = packed.filter("part < 0").select("key", "t", "place", "n")  # n: in its batch
+    kept = write_table(packed.filter("part >= 0").groupBy("part").applyInPandas(met, schema).unionByName(known), "repeated-anchors")
+    heavy = write_table(kept.filter(F.col("n") > per_range).groupBy("key").agg(F.max("n").alias("all")), "heavy-keys")
+    ranges = max(least, kept.count() // per_range)
+    own = F.when(F.col("all").isNull(), F.pmod("key", F.lit(ranges))).otherwise(F.lit(ranges) + F.shiftrightunsigned("key", 2))
+    return kept.join(bounded_broadcast(heavy), "key", "left").select(
+        "t", "place", own.alias("range"), (F.coalesce("all", F.lit(0)) > class_limit).alias("frequent"))
+
+
+def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, class_limit: int = 50_000, per_range: int = 30_000,
+                   per_part: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """(texts, spans): the distinct texts of ``df`` with repeated anchors (t, h, packed), and what
+    repeats in or between them (h, spans); h: the text's MD5, spans: (start, end) pairs as
+    little-endian 32-bit integers, possibly in several rows per text. Copies of whole texts
+    are not looked at here. (Where only t, 8 bytes of the MD5, stands for a text, two texts
+    with one t can at most add anchors that are then checked in vain.)"""
+    w = Window(length)
     texts = df.select(F.col(text).alias("t"))
-    places = write_table(texts.mapInPandas(found_anchors, "key long, t long, place long, head binary"), "anchors")
-    mark = F.xxhash64("t", "place")
-    twice = write_table(places.groupBy("key").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.count(F.lit(1)).alias("n"))
-                        .filter("lo <> hi").select("key", "n"), "repeated-keys")  # on its own, so that the join can split a hot key
-    kept = write_table(places.join(twice, "key"), "repeated-anchors")
-    total = kept.count()
-    if not total:
-        return spark.createDataFrame([], "h binary, spans binary")
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // per_range))
-    samples = (kept.filter(F.col("head").isNotNull() & (F.col("n") <= class_limit)).groupBy("head").agg(F.max("n").alias("n"))
-               .orderBy(F.xxhash64("head")).limit(64 * ranges).collect())  # bounded by the number of ranges
-    splitters = splits([(bytes(r["head"]), r["n"]) for r in samples], ranges)
-    told = spark.sparkContext.broadcast(splitters)
+    marked = repeated_anchors(texts, w, per_range, class_limit, per_part)
+    wanted = marked.groupBy("t").agg(F.collect_set(F.when(~F.col("frequent"), F.struct("place", "range"))).alias("at"),
+                                     F.collect_set(F.when(F.col("frequent"), F.col("place"))).alias("often"))
+    packed = texts.mapInPandas(packed_texts(w), "t long, h binary, packed binary")
+    chosen = write_table(packed.join(wanted, "t"), "chosen-texts")
 
     def make_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, size, items = TaskContext.get().partitionId() << 24, 0, {}
+        run, size, ranges = TaskContext.get().partitionId() << 24, 0, {}
         for pdf in batches:
-            for h, packed, at in zip(pdf["h"], pdf["packed"], pdf["at"], strict=True):
-                raw = zstandard.decompress(packed)
-                for place in at:
-                    a, near, far = int(place) >> 16, int(place) >> 8 & 255, int(place) & 255
-                    if a < far or a - near + LENGTH > len(raw):
+            for h, blob, at in zip(pdf["h"], pdf["packed"], pdf["at"], strict=True):
+                raw = zstandard.decompress(blob)
+                for x in at:
+                    place = int(x["place"])
+                    a, near, far = place >> 16, place >> 8 & 255, place & 255
+                    if a < far or a - near + w.length > len(raw):
                         continue  # another text with the same t
-                    s = suffix(raw, a, near, far)
-                    occ = items.setdefault(s, set())
-                    size += 40 if occ else WIDTH + 150
+                    s = suffix(raw, a, near, far, w)
+                    occ = ranges.setdefault(int(x["range"]), {}).setdefault(s, set())
+                    size += 40 if occ else w.width + 150
                     occ.add(struct.pack("<16sI", h, a))
                 if size > RUN_BYTES:
-                    yield dealt_run(items, told.value, run)
-                    run, size, items = run + 1, 0, {}
-        if items:
-            yield dealt_run(items, told.value, run)
-
-    packed = texts.mapInPandas(packed_texts, "t long, h binary, packed binary")
-    usual = kept.filter(F.col("n") <= class_limit).groupBy("t").agg(F.collect_set("place").alias("at"))
-    runs = packed.join(usual, "t").mapInPandas(make_runs, "part int, run long, blob binary")
-    pieces = write_table(runs, "suffix-runs")
+                    yield dealt_run(ranges, run)
+                    run, size, ranges = run + 1, 0, {}
+        if ranges:
+            yield dealt_run(ranges, run)
+
+    pieces = write_table(chosen.filter(F.size("at") > 0).select("h", "packed", "at").mapInPandas(
+        make_runs, "part long, run long, blob binary"), "suffix-runs")
     n = pieces.agg(F.count_distinct("run")).first()[0]
     while n > FAN_IN:
         n = -(-n // FAN_IN)
         pieces = pieces.groupBy("part", F.pmod(F.xxhash64("run"), F.lit(n)).alias("to")).applyInPandas(
-            joined_runs, "part int, run long, blob binary")
-    found = pieces.groupBy("part").applyInPandas(settle, "h binary, spans binary")
-    frequent = kept.filter(F.col("n") > class_limit)
-    if frequent.limit(1).count():
-        found = found.unionByName(by_digest(packed, frequent.groupBy("t").agg(F.collect_set("place").alias("at"))))
-    return found
-
-
-def splits(samples: list[tuple[bytes, int]], ranges: int) -> list[bytes]:
-    """``ranges - 1`` bounds or fewer, even by the samples' weights."""
-    samples = sorted(samples)
-    total, out, seen = sum(n for _, n in samples), [], 0
-    for head, n in samples:
-        if seen * ranges >= total * (len(out) + 1):
-            out.append(head)
-        seen += n
-    return out
+            joined_runs, "part long, run long, blob binary")
+    found = pieces.groupBy("part").applyInPandas(settle(w), "h binary, spans binary")
+    frequent = chosen.filter(F.size("often") > 0).select("h", "packed", F.col("often").alias("at"))
+    if not frequent.isEmpty():
+        found = found.unionByName(by_digest(frequent, w))
+    return chosen.select("t", "h", "packed"), found
 
 
-def dealt_run(items: dict[bytes, set[bytes]], splitters: list[bytes], run: int) -> pd.DataFrame:
-    """A sorted run, front-coded and cut at the splitters."""
-    order = sorted(items)
-    cuts = [0, *(bisect.bisect_left(order, s) for s in splitters), len(order)]
-    rows = [(p, run, front_coded([(s, b"".join(sorted(items[s]))) for s in order[a:b]]))
-            for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+def dealt_run(ranges: dict[int, dict[bytes, set[bytes]]], run: int) -> pd.DataFrame:
+    """A sorted run of each range, front-coded."""
+    rows = [(part, run, front_coded([(s, b"".join(sorted(items[s]))) for s in sorted(items)])) for part, items in ranges.items()]
     return pd.DataFrame(rows, columns=["part", "run", "blob"])
 
 
-def by_digest(packed: DataFrame, wanted: DataFrame) -> DataFrame:
+def by_digest(texts: DataFrame, w: Window) -> DataFrame:
     """The spans of passages too frequent for one range: contexts, then windows, counted by
     their digests. One row per distinct context and window; no group is gathered."""
 
@@ -397,8 +494,8 @@ def by_digest(packed: DataFrame, wanted: DataFrame) -> DataFrame:
                 raw = zstandard.decompress(blob)
                 for place in at:
                     a, near, far = int(place) >> 16, int(place) >> 8 & 255, int(place) & 255
-                    if a >= far and a - near + LENGTH <= len(raw):
-                        s = suffix(raw, a, near, far)
+                    if a >= far and a - near + w.length <= len(raw):
+                        s = suffix(raw, a, near, far, w)
                         out.append((hashlib.md5(s).digest(), h, a, s))
             yield pd.DataFrame(out, columns=["c", "h", "a", "s"])
 
@@ -407,11 +504,11 @@ def by_digest(packed: DataFrame, wanted: DataFrame) -> DataFrame:
             out = []
             for c, s in zip(pdf["c"], pdf["s"], strict=True):
                 near, far = s[-2], s[-1]
-                whole = s[LENGTH:LENGTH + far][::-1] + s[:LENGTH - near]
-                out += [(xxhash.xxh3_128_digest(whole[far - x:far - x + LENGTH]), c, x) for x in range(near, far + 1)]
+                whole = s[w.length:w.length + far][::-1] + s[:w.length - near]
+                out += [(xxhash.xxh3_128_digest(whole[far - x:far - x + w.length]), c, x) for x in range(near, far + 1)]
             yield pd.DataFrame(out, columns=["w", "c", "l"])
 
-    all_places = write_table(packed.join(wanted, "t").mapInPandas(contexts, "c binary, h binary, a int, s binary"), "contexts")
+    all_places = write_table(texts.mapInPandas(contexts, "c binary, h binary, a int, s binary"), "contexts")
     mark = F.xxhash64("h", "a")
     distinct = all_places.groupBy("c").agg(F.min("s").alias("s"), (F.min(mark) != F.max(mark)).alias("many"))
     pieces = write_table(distinct.select("c", "s").mapInPandas(windows, "w binary, c binary, l int"), "windows")
@@ -423,66 +520,73 @@ def by_digest(packed: DataFrame, wanted: DataFrame) -> DataFrame:
         for pdf in batches:
             found: dict[bytes, list[tuple[int, int]]] = {}
             for h, a, x in zip(pdf["h"], pdf["a"], pdf["l"], strict=True):
-                found.setdefault(h, []).append((a - x, a - x + LENGTH))
+                found.setdefault(h, []).append((a - x, a - x + w.length))
             yield covered(found)
 
     return all_places.select("c", "h", "a").join(own, "c").mapInPandas(spans, "h binary, spans binary")
 
 
-def tagged(df: DataFrame, text: str = "text", **how) -> DataFrame:
-    """``df`` with ``__copied`` (its text stands in several rows) and ``__spans`` (list of blobs)."""
-    digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    rows = df.withColumn("__h", digest)
-    copies = (rows.filter(F.octet_length(text) >= LENGTH).groupBy("__h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-              .select("__h", F.lit(True).alias("copied"), F.lit(None).cast("binary").alias("spans")))
-    known = (repeated_spans(df, text, **how).select(F.col("h").alias("__h"), F.lit(False).alias("copied"), "spans")
-             .unionByName(copies).groupBy("__h").agg(F.max("copied").alias("__copied"), F.collect_list("spans").alias("__spans")))
-    return rows.join(known, "__h", "left").drop("__h")
+def digest(text: str):
+    return F.unhex(F.md5(text_or_empty(text).cast("binary")))
 
 
-def remaining(raw: bytes, copied: bool | None, blobs) -> tuple[bytes, int, int]:
-    """(bytes kept, bytes removed, runs removed) of a text."""
-    if copied and len(raw) >= LENGTH:
-        return b"", len(raw), 1
-    if blobs is None or not len(blobs):
-        return raw, 0, 0
-    spans = union([tuple(x) for b in blobs for x in np.frombuffer(b, "<u4").reshape(-1, 2).tolist()])
-    kept, at = [], 0
-    for s, e in spans:
-        kept.append(raw[at:s])
-        at = e
-    kept.append(raw[at:])
-    body = b"".join(kept)
-    return body, len(raw) - len(body), len(spans)
+def copies(df: DataFrame, text: str, length: int, least_words: int) -> DataFrame:
+    """(h) of the texts that stand in several rows and go whole."""
+    long_enough = df.filter(F.octet_length(text) >= length)
+    if least_words:
+        long_enough = long_enough.filter(n_words(text) >= least_words)
+    return long_enough.groupBy(digest(text).alias("h")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
 
 
-def removed(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+def cut_texts(df: DataFrame, text: str = "text", length: int = LENGTH, least_words: int = 0, bodies: bool = False, **how) -> DataFrame:
+    """(h, gone, spans, sha and, with ``bodies``, body) of the distinct texts that lose some bytes
+    to runs of ``least_words`` words or more; texts that are copied whole may be among them."""
+    texts, found = repeated_spans(df, text, length, **how)
+    known = found.groupBy("h").agg(F.collect_list("spans").alias("spans"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for k, t, copied, blobs in zip(pdf["k"], pdf["t"], pdf["__copied"], pdf["__spans"], strict=True):
-                raw = (t or "").encode()
-                body, gone, spans = remaining(raw, copied, blobs)
-                out.append((len(raw), gone, spans, hashlib.sha256(body).hexdigest()))
-            yield pd.concat([pdf[["k"]].reset_index(drop=True), pd.DataFrame(
-                out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])], axis=1)
+            for h, blob, spans in zip(pdf["h"], pdf["packed"], pdf["spans"], strict=True):
+                body, gone, n = remaining(zstandard.decompress(blob), spans, least_words)
+                if gone:
+                    out.append((h, gone, n, hashlib.sha256(body).hexdigest(), body.decode(errors="ignore") if bodies else None))
+            yield pd.DataFrame(out, columns=["h", "gone", "n", "sha", "body"])
 
-    kind = dict(df.dtypes)[key]
-    slim = df.select(F.col(key).cast(carried(kind)).alias("k"), F.col(text).alias("t"))
-    return tagged(slim, "t", **how).mapInPandas(
-        run, f"k {carried(kind)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").select(
-        F.col("k").cast(kind).alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    once = texts.select("h", "packed").join(known, "h").mapInPandas(run, "h binary, gone long, n long, sha string, body string")
+    return once.groupBy("h").agg(*[F.min(c).alias(c) for c in ("gone", "n", "sha", *["body"] * bodies)])  # a text once, not once per task
 
 
-def clean(df: DataFrame, text: str = "text", **how) -> DataFrame:
-    """``df`` with the repeated bytes taken out of its texts; all rows and columns stay."""
+def remaining(raw: bytes, blobs_of, least_words: int = 0) -> tuple[bytes, int, int]:
+    """(bytes kept, bytes removed, runs removed) of a text."""
+    spans = union([tuple(x) for b in blobs_of for x in np.frombuffer(b, "<u4").reshape(-1, 2).tolist()])
+    kept, at, n = [], 0, 0
+    for s, e in spans:
+        if not least_words or len(raw[s:e].split()) >= least_words:
+            kept.append(raw[at:s])
+            at, n = e, n + 1
+    kept.append(raw[at:])
+    body = b"".join(kept)
+    return body, len(raw) - len(body), n
 
-    @F.pandas_udf("string")
-    def body(t: pd.Series, copied: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else remaining(x.encode(), c, s)[0].decode(errors="ignore")
-                          for x, c, s in zip(t, copied, spans, strict=True)], dtype="object")
 
-    marked = tagged(df, text, **how)
-    return marked.withColumn(text, body(text, "__copied", "__spans")).select(*df.columns)
+def removed(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, least_words: int = 0, **how) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+    raw = text_or_empty(text).cast("binary")
+    rows = df.select(F.col(key), digest(text).alias("h"), F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole"))
+    whole = copies(df, text, length, least_words).withColumn("copied", F.lit(True))
+    known = rows.join(whole, "h", "left").join(cut_texts(df, text, length, least_words, **how), "h", "left")
+    copied = F.col("copied").isNotNull()
+    return known.select(
+        F.col(key), "n_bytes", F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"),
+        F.when(copied, F.lit(1)).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(copied, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("sha", "whole")).alias("kept_sha256"))
+
+
+def clean(df: DataFrame, text: str = "text", length: int = LENGTH, least_words: int = 0, **how) -> DataFrame:
+    """``df`` with the repeated bytes taken out of its texts; all rows and columns stay."""
+    whole = copies(df, text, length, least_words).select(F.col("h").alias("__h"), F.lit(True).alias("__copied"))
+    cut = cut_texts(df, text, length, least_words, bodies=True, **how).select(F.col("h").alias("__h"), F.col("body").alias("__body"))
+    rows = df.withColumn("__h", digest(text)).join(cut.join(whole, "__h", "full_outer"), "__h", "left")
+    body = F.when(F.col("__copied"), F.lit("")).otherwise(F.coalesce("__body", text))
+    return rows.withColumn(text, body).select(*df.columns)

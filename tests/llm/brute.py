@@ -107,8 +107,8 @@ def token_rows(texts):
     return out
 
 
-def repeats(texts, length=400):
-    """(n_bytes, n_removed, n_spans, kept bytes) of every text."""
+def repeats(texts, length=400, least_words=0):
+    """(n_bytes, n_removed, n_spans, kept bytes) of every text; runs of fewer words stay."""
     raw, seen, out = [(t or "").encode() for t in texts], Counter(), []
     for b in raw:
         for p in range(len(b) - length + 1):
@@ -120,6 +120,9 @@ def repeats(texts, length=400):
                 for q in range(max(p, last), p + length):
                     gone[q] = 1
                 last = p + length
+        for m in re.finditer(b"\1+", bytes(gone)) if least_words else ():
+            if len(b[m.start():m.end()].split()) < least_words:
+                gone[m.start():m.end()] = bytes(m.end() - m.start())
         kept = bytes(x for x, g in zip(b, gone) if not g)
         out.append((len(b), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), kept))
     return out

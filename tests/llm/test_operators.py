@@ -59,12 +59,14 @@ def test_one_of_each_group_stays(spark, edge_dir):
         assert min(ids, key=lambda i: (i is None, i or 0)) in [i for i, _ in got]
 
 
-@pytest.mark.parametrize("how", [{"class_limit": 3, "per_range": 20}, {"per_range": 40}])
+@pytest.mark.parametrize("how", [{"class_limit": 3, "per_range": 2}, {"per_range": 3, "per_part": 5}, {"length": 100, "class_limit": 4, "per_range": 3},
+                                 {"length": 32}, {"length": 700, "per_range": 5}, {"length": 60, "least_words": 12}])
 def test_suffix_dedup_with_frequent_classes_and_small_ranges(spark, edge_dir, docs, how, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "FAN_IN", 2)
+    monkeypatch.setattr(suffix_dedup, "BATCH", 50)
     df = spark.read.parquet(f"{edge_dir}/documents.parquet")
     got = sorted((str(r[0]), *tuple(r)[1:4]) for r in suffix_dedup.removed(df, **how).collect())
-    want = brute.repeats([d[1] for d in docs])
+    want = brute.repeats([d[1] for d in docs], how.get("length", 400), how.get("least_words", 0))
     assert got == sorted((str(d[0]), *w[:3]) for d, w in zip(docs, want))
 
 
@@ -74,7 +76,7 @@ def test_loser_tree_merges_and_folds():
     for i in range(7):
         items = {}
         for _ in range(r.randint(0, 60)):
-            s = bytes(r.choice(b"ab") for _ in range(12)).ljust(suffix_dedup.WIDTH + 2, b"\0")
+            s = bytes(r.choice(b"ab") for _ in range(12)).ljust(594, b"\0")
             items[s] = bytes([i]) * 20
         if items:
             runs.append(suffix_dedup.front_coded(sorted(items.items())))

@@ -24,7 +24,8 @@ def test_stages(spark, edge_dir):
         if name == "SimHash near-dedup":
             assert len(rows) == len(set(brute.groups([brute.simhash(t) for _, t, _ in before])))
         if name == "suffix-array dedup":
-            want = Counter((i, k.decode(errors="ignore")) for (i, _, _), (_, _, _, k) in zip(before, brute.repeats([t for _, t, _ in before])))
+            want = Counter((i, k.decode(errors="ignore")) for (i, _, _), (_, _, _, k) in zip(before, brute.repeats(
+                [t for _, t, _ in before], corpus_pipeline.PASSAGE_BYTES, corpus_pipeline.PASSAGE_WORDS)))
             assert Counter((r["doc_id"], r["text"]) for r in rows) == want
         if name == "source mixing":
             assert max(Counter(r["doc_id"] for r in rows if r["doc_id"] is not None).values()) <= 2
