@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages over ``documents``, each written and read again.
 
 Quality rules drop what the label model rejects; near-duplicates of a document that
-stays go; byte strings that repeat between or inside the remaining documents are cut
-from their texts; sources are mixed to their target weights (a document may go, stay
+stays go; passages of over 50 words that repeat between or inside the remaining documents
+are cut from their texts; sources are mixed to their target weights (a document may go, stay
 or stand twice); the last stage encodes the texts and returns digests of their ids.
 
 All stages but the last return the columns of ``documents`` (with ``text`` changed by
@@ -25,6 +25,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
+#: A passage is a repeated run of bytes with so many words, and no shorter than so many bytes.
+PASSAGE_WORDS, PASSAGE_BYTES = 51, 225
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by fingerprints at most 2 bits apart (3-word
     shingles), the one with the smallest id."""
@@ -32,8 +36,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of 400-byte strings that stand twice or more."""
-    return suffix_dedup.clean(docs)
+    """All documents, without the passages of over 50 words that stand twice or more."""
+    return suffix_dedup.clean(docs, length=PASSAGE_BYTES, least_words=PASSAGE_WORDS)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
