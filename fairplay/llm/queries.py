@@ -87,8 +87,9 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What repeats of every document's bytes, 400 at a time, is removed."""
-    return suffix_dedup.removed(read(spark, sf_dir, "documents"))
+    """What repeats of every document's bytes, 400 at a time, is removed; ``n_passages``: its
+    repeated passages of over 50 words, which may be shorter than that (225 bytes or more)."""
+    return suffix_dedup.removed(read(spark, sf_dir, "documents"), passages=(225, 51))
 
 
 @query

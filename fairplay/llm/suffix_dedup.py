@@ -23,7 +23,8 @@ that can matter are sorted:
 * In the merged order, suffixes that share d bytes are neighbours. A window that
   begins l bytes before its anchor repeats if another suffix shares ``length`` - l bytes
   after the anchor (a run of the merged order) and l bytes before it (a run of the
-  order of the reversed fronts); both runs are exact, for each l in turn.
+  order of the reversed fronts); both runs are exact, for each l in turn. Longer strings
+  are found in the same order: equal ones begin with equal windows, so their anchors meet.
 
 Copies: texts are known by their MD5; a text of ``length`` bytes or more in several rows
 is removed whole, and is sorted once per task. A passage in more than ``class_limit``
@@ -59,25 +60,38 @@ from fairplay.plans.joins import bounded_broadcast
 LENGTH = 400
 STRETCH = 1 << 20
 FAN_IN = 256
-RUN_BYTES = 48 << 20
-BATCH = 1 << 18  # anchors counted together before they are sent on
+RUN_BYTES = 32 << 20
+BATCH = 1 << 17  # anchors counted together before they are sent on
 LOW = np.uint64((1 << 24) - 1)
 
 
 @dataclass(frozen=True)
 class Window:
-    """The strings that are looked for, and what follows from their length."""
+    """The lengths of the strings that are looked for, and what follows from the shortest."""
 
-    length: int
+    lengths: tuple[int, ...]
 
     def __post_init__(self):
-        if self.length < 32:
+        if min(self.lengths) < 32:
             raise ValueError("length must be 32 bytes or more")
 
+    @property
+    def length(self) -> int:
+        return min(self.lengths)
+
+    @property
+    def longest(self) -> int:
+        return max(self.lengths)
+
+    @property
+    def tail(self) -> int:
+        """Bytes behind a sorted suffix: the largest distance of a window, and the smallest by length."""
+        return 1 + len(self.lengths)
+
     @property
     def places(self) -> int:
         """An anchor is within the first so many bytes of its window."""
-        return min(256, self.length * 12 // 25)
+        return min(255, self.length * 12 // 25)
 
     @property
     def key(self) -> int:
@@ -87,7 +101,7 @@ class Window:
     @property
     def width(self) -> int:
         """Bytes of a sorted suffix: what follows the anchor, then the reversed front."""
-        return self.length + self.places
+        return self.longest + self.places
 
 
 def anchors(raw: bytes, w: Window) -> Iterator[tuple[int, int, int]]:
@@ -219,9 +233,10 @@ def packed_texts(w: Window):
 
 
 def suffix(raw: bytes, a: int, near: int, far: int, w: Window) -> bytes:
-    """The sorted form of an anchor's windows, with their distances at the end."""
-    after = raw[a:a - near + w.length].ljust(w.length, b"\0")
-    return after + raw[a - far:a][::-1].ljust(w.places, b"\0") + bytes((near, far))
+    """The sorted form of an anchor's windows, with their distances at the end (255: none of a length)."""
+    after = raw[a:a - near + w.longest].ljust(w.longest, b"\0")
+    fits = (max(near, a + n - len(raw)) for n in w.lengths)
+    return after + raw[a - far:a][::-1].ljust(w.places, b"\0") + bytes((far, *(min(x, 255) for x in fits)))
 
 
 def shared(rows: np.ndarray) -> np.ndarray:
@@ -329,32 +344,33 @@ def several(occurrences: bytes) -> bool:
         occurrences[i:i + OCCURRENCE] != first for i in range(OCCURRENCE, len(occurrences), OCCURRENCE))
 
 
-def repeated(suffixes: list[bytes], after: np.ndarray, multiple: np.ndarray, w: Window) -> np.ndarray:
-    """(suffix, l): whether its window that begins l bytes before the anchor occurs elsewhere.
+def repeated(suffixes: list[bytes], after: np.ndarray, multiple: np.ndarray, w: Window) -> list[np.ndarray]:
+    """By length, (suffix, l): whether its window that begins l bytes before the anchor occurs elsewhere.
 
     ``suffixes`` are distinct and sorted, ``after`` are the bytes each shares with the one before.
     """
     n = len(suffixes)
-    table = np.frombuffer(b"".join(suffixes), np.uint8).reshape(n, w.width + 2)
-    near, far = table[:, -2].astype(np.int64), table[:, -1].astype(np.int64)
-    fronts = np.ascontiguousarray(table[:, w.length:w.width])
+    table = np.frombuffer(b"".join(suffixes), np.uint8).reshape(n, w.width + w.tail)
+    far = table[:, w.width].astype(np.int64)
+    fronts = np.ascontiguousarray(table[:, w.longest:w.width])
     order = np.argsort(fronts.view(f"S{w.places}").ravel(), kind="stable")
     before = np.empty(n, np.int64)
-    out = np.zeros((n, w.places), bool)
+    out = [np.zeros((n, w.places), bool) for _ in w.lengths]
     common = shared(fronts[order])
     for distance in range(w.places):
-        rows = np.flatnonzero((near <= distance) & (distance <= far))
-        if not len(rows):
-            continue
-        right = np.cumsum(after < w.length - distance)
         before[order] = np.cumsum(common < distance)
-        both = right[rows] * (n + 1) + before[rows]
-        by = np.argsort(both, kind="stable")
-        same = both[by][1:] == both[by][:-1]
-        hit = np.zeros(len(rows), bool)
-        hit[by[1:][same]] = True
-        hit[by[:-1][same]] = True
-        out[rows, distance] = hit | multiple[rows]
+        for k, length in enumerate(w.lengths):
+            rows = np.flatnonzero((table[:, w.width + 1 + k] <= distance) & (distance <= far))
+            if not len(rows):
+                continue
+            right = np.cumsum(after < length - distance)
+            both = right[rows] * (n + 1) + before[rows]
+            by = np.argsort(both, kind="stable")
+            same = both[by][1:] == both[by][:-1]
+            hit = np.zeros(len(rows), bool)
+            hit[by[1:][same]] = True
+            hit[by[:-1][same]] = True
+            out[k][rows, distance] = hit | multiple[rows]
     return out
 
 
@@ -364,9 +380,9 @@ def spans_of(windows: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
 
 
-def covered(found: dict[bytes, list[tuple[int, int]]]) -> pd.DataFrame:
-    rows = [(h, np.array(union(s), "<u4").tobytes()) for h, s in found.items()]
-    return pd.DataFrame(rows, columns=["h", "spans"])
+def covered(found: dict[tuple[bytes, int], list[tuple[int, int]]]) -> pd.DataFrame:
+    rows = [(h, length, np.array(union(s), "<u4").tobytes()) for (h, length), s in found.items()]
+    return pd.DataFrame(rows, columns=["h", "length", "spans"])
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -380,7 +396,7 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def settle(w: Window):
-    """Function of a range: its runs merged, and the repeated bytes (h, spans) of its texts."""
+    """Function of a range: its runs merged, and the repeated bytes (h, length, spans) of its texts."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         suffixes, same, occurrences = [], [], []
@@ -391,12 +407,12 @@ def settle(w: Window):
         if not suffixes:
             return covered({})
         multiple = np.fromiter(map(several, occurrences), bool, len(occurrences))
-        hits = repeated(suffixes, np.array(same), multiple, w)
-        found: dict[bytes, list[tuple[int, int]]] = {}
-        for i in np.flatnonzero(hits.any(axis=1)).tolist():
-            runs = spans_of(hits[i])
-            for h, a in struct.iter_unpack("<16sI", occurrences[i]):
-                found.setdefault(h, []).extend((a - hi, a - lo + w.length) for lo, hi in runs)
+        found: dict[tuple[bytes, int], list[tuple[int, int]]] = {}
+        for length, hits in zip(w.lengths, repeated(suffixes, np.array(same), multiple, w), strict=True):
+            for i in np.flatnonzero(hits.any(axis=1)).tolist():
+                runs = spans_of(hits[i])
+                for h, a in struct.iter_unpack("<16sI", occurrences[i]):
+                    found.setdefault((h, length), []).extend((a - hi, a - lo + length) for lo, hi in runs)
         return covered(found)
 
     return run
@@ -428,14 +444,14 @@ def repeated_anchors(texts: DataFrame, w: Window, per_range: int, class_limit: i
         "t", "place", own.alias("range"), (F.coalesce("all", F.lit(0)) > class_limit).alias("frequent"))
 
 
-def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, class_limit: int = 50_000, per_range: int = 30_000,
+def repeated_spans(df: DataFrame, text: str = "text", lengths: tuple[int, ...] = (LENGTH,), class_limit: int = 50_000, per_range: int = 30_000,
                    per_part: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): the distinct texts of ``df`` with repeated anchors (t, h, packed), and what
-    repeats in or between them (h, spans); h: the text's MD5, spans: (start, end) pairs as
+    repeats in or between them (h, length, spans); h: the text's MD5, spans: (start, end) pairs as
     little-endian 32-bit integers, possibly in several rows per text. Copies of whole texts
     are not looked at here. (Where only t, 8 bytes of the MD5, stands for a text, two texts
     with one t can at most add anchors that are then checked in vain.)"""
-    w = Window(length)
+    w = Window(lengths)
     texts = df.select(F.col(text).alias("t"))
     marked = repeated_anchors(texts, w, per_range, class_limit, per_part)
     wanted = marked.groupBy("t").agg(F.collect_set(F.when(~F.col("frequent"), F.struct("place", "range"))).alias("at"),
@@ -470,7 +486,7 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, clas
         n = -(-n // FAN_IN)
         pieces = pieces.groupBy("part", F.pmod(F.xxhash64("run"), F.lit(n)).alias("to")).applyInPandas(
             joined_runs, "part long, run long, blob binary")
-    found = pieces.groupBy("part").applyInPandas(settle(w), "h binary, spans binary")
+    found = pieces.groupBy("part").applyInPandas(settle(w), "h binary, length int, spans binary")
     frequent = chosen.filter(F.size("often") > 0).select("h", "packed", F.col("often").alias("at"))
     if not frequent.isEmpty():
         found = found.unionByName(by_digest(frequent, w))
@@ -503,27 +519,28 @@ def by_digest(texts: DataFrame, w: Window) -> DataFrame:
         for pdf in batches:
             out = []
             for c, s in zip(pdf["c"], pdf["s"], strict=True):
-                near, far = s[-2], s[-1]
-                whole = s[w.length:w.length + far][::-1] + s[:w.length - near]
-                out += [(xxhash.xxh3_128_digest(whole[far - x:far - x + w.length]), c, x) for x in range(near, far + 1)]
-            yield pd.DataFrame(out, columns=["w", "c", "l"])
+                far = s[w.width]
+                whole = s[w.longest:w.longest + far][::-1] + s[:w.longest]
+                for near, length in zip(s[w.width + 1:], w.lengths, strict=True):
+                    out += [(xxhash.xxh3_128_digest(whole[far - x:far - x + length]), length, c, x) for x in range(near, far + 1)]
+            yield pd.DataFrame(out, columns=["w", "length", "c", "l"])
 
     all_places = write_table(texts.mapInPandas(contexts, "c binary, h binary, a int, s binary"), "contexts")
     mark = F.xxhash64("h", "a")
     distinct = all_places.groupBy("c").agg(F.min("s").alias("s"), (F.min(mark) != F.max(mark)).alias("many"))
-    pieces = write_table(distinct.select("c", "s").mapInPandas(windows, "w binary, c binary, l int"), "windows")
-    twice = pieces.groupBy("w").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("w")
-    own = pieces.join(twice, "w").select("c", "l").unionByName(
-        pieces.join(distinct.filter("many").select("c"), "c").select("c", "l")).distinct()
+    pieces = write_table(distinct.select("c", "s").mapInPandas(windows, "w binary, length int, c binary, l int"), "windows")
+    twice = pieces.groupBy("w", "length").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("w", "length")
+    own = pieces.join(twice, ["w", "length"]).select("c", "length", "l").unionByName(
+        pieces.join(distinct.filter("many").select("c"), "c").select("c", "length", "l")).distinct()
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found: dict[bytes, list[tuple[int, int]]] = {}
-            for h, a, x in zip(pdf["h"], pdf["a"], pdf["l"], strict=True):
-                found.setdefault(h, []).append((a - x, a - x + w.length))
+            found: dict[tuple[bytes, int], list[tuple[int, int]]] = {}
+            for h, a, length, x in zip(pdf["h"], pdf["a"], pdf["length"], pdf["l"], strict=True):
+                found.setdefault((h, length), []).append((a - x, a - x + length))
             yield covered(found)
 
-    return all_places.select("c", "h", "a").join(own, "c").mapInPandas(spans, "h binary, spans binary")
+    return all_places.select("c", "h", "a").join(own, "c").mapInPandas(spans, "h binary, length int, spans binary")
 
 
 def digest(text: str):
@@ -538,23 +555,28 @@ def copies(df: DataFrame, text: str, length: int, least_words: int) -> DataFrame
     return long_enough.groupBy(digest(text).alias("h")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
 
 
-def cut_texts(df: DataFrame, text: str = "text", length: int = LENGTH, least_words: int = 0, bodies: bool = False, **how) -> DataFrame:
-    """(h, gone, spans, sha and, with ``bodies``, body) of the distinct texts that lose some bytes
-    to runs of ``least_words`` words or more; texts that are copied whole may be among them."""
-    texts, found = repeated_spans(df, text, length, **how)
-    known = found.groupBy("h").agg(F.collect_list("spans").alias("spans"))
+def cut_texts(df: DataFrame, text: str, wanted: list[tuple[int, int]], bodies: bool = False, **how) -> DataFrame:
+    """(h, and for the i-th of the (length, least words) that are wanted: gone, n, sha<i>, with ``bodies``
+    body<i>) of the distinct texts that lose some bytes; texts that are copied whole may be among them."""
+    texts, found = repeated_spans(df, text, tuple(sorted({length for length, _ in wanted})), **how)
+    known = found.groupBy("h").agg(F.collect_list(F.struct("length", "spans")).alias("spans"))
+    columns = {f"{c}{i}": kind for i in range(len(wanted)) for c, kind in (("gone", "long"), ("n", "long"), ("sha", "string"), ("body", "string"))}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for h, blob, spans in zip(pdf["h"], pdf["packed"], pdf["spans"], strict=True):
-                body, gone, n = remaining(zstandard.decompress(blob), spans, least_words)
-                if gone:
-                    out.append((h, gone, n, hashlib.sha256(body).hexdigest(), body.decode(errors="ignore") if bodies else None))
-            yield pd.DataFrame(out, columns=["h", "gone", "n", "sha", "body"])
+                raw, row, any_gone = zstandard.decompress(blob), [h], 0
+                for length, least_words in wanted:
+                    body, gone, n = remaining(raw, [x["spans"] for x in spans if x["length"] == length], least_words)
+                    row += [gone, n, hashlib.sha256(body).hexdigest(), body.decode(errors="ignore") if bodies else None]
+                    any_gone += gone
+                if any_gone:
+                    out.append(row)
+            yield pd.DataFrame(out, columns=["h", *columns])
 
-    once = texts.select("h", "packed").join(known, "h").mapInPandas(run, "h binary, gone long, n long, sha string, body string")
-    return once.groupBy("h").agg(*[F.min(c).alias(c) for c in ("gone", "n", "sha", *["body"] * bodies)])  # a text once, not once per task
+    once = texts.select("h", "packed").join(known, "h").mapInPandas(run, ", ".join(["h binary", *(f"{c} {k}" for c, k in columns.items())]))
+    return once.groupBy("h").agg(*[F.min(c).alias(c) for c in columns if bodies or c[:4] != "body"])  # a text once, not once per task
 
 
 def remaining(raw: bytes, blobs_of, least_words: int = 0) -> tuple[bytes, int, int]:
@@ -570,23 +592,30 @@ def remaining(raw: bytes, blobs_of, least_words: int = 0) -> tuple[bytes, int, i
     return body, len(raw) - len(body), n
 
 
-def removed(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, least_words: int = 0, **how) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+def removed(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, least_words: int = 0,
+            passages: tuple[int, int] | None = None, **how) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row; with ``passages`` (length, least
+    words) also ``n_passages``, the runs that these would remove."""
     raw = text_or_empty(text).cast("binary")
-    rows = df.select(F.col(key), digest(text).alias("h"), F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole"))
-    whole = copies(df, text, length, least_words).withColumn("copied", F.lit(True))
-    known = rows.join(whole, "h", "left").join(cut_texts(df, text, length, least_words, **how), "h", "left")
-    copied = F.col("copied").isNotNull()
+    wanted = [(length, least_words), *[passages] * (passages is not None)]
+    known = df.select(F.col(key), digest(text).alias("h"), F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole"))
+    for i, x in enumerate(wanted):
+        known = known.join(copies(df, text, *x).withColumn(f"copied{i}", F.lit(True)), "h", "left")
+    known = known.join(cut_texts(df, text, wanted, **how), "h", "left")
+
+    def told(i: int, whole, part, none):
+        return F.when(F.col(f"copied{i}"), whole).otherwise(F.coalesce(F.col(part), none))
+
     return known.select(
-        F.col(key), "n_bytes", F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"),
-        F.when(copied, F.lit(1)).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copied, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("sha", "whole")).alias("kept_sha256"))
+        F.col(key), "n_bytes", told(0, F.col("n_bytes"), "gone0", F.lit(0)).alias("n_removed"),
+        told(0, F.lit(1), "n0", F.lit(0)).cast("long").alias("n_spans"), told(0, F.sha2(F.lit(b""), 256), "sha0", F.col("whole")).alias("kept_sha256"),
+        *[told(1, F.lit(1), "n1", F.lit(0)).cast("long").alias("n_passages")] * (passages is not None))
 
 
 def clean(df: DataFrame, text: str = "text", length: int = LENGTH, least_words: int = 0, **how) -> DataFrame:
     """``df`` with the repeated bytes taken out of its texts; all rows and columns stay."""
     whole = copies(df, text, length, least_words).select(F.col("h").alias("__h"), F.lit(True).alias("__copied"))
-    cut = cut_texts(df, text, length, least_words, bodies=True, **how).select(F.col("h").alias("__h"), F.col("body").alias("__body"))
+    cut = cut_texts(df, text, [(length, least_words)], bodies=True, **how).select(F.col("h").alias("__h"), F.col("body0").alias("__body"))
     rows = df.withColumn("__h", digest(text)).join(cut.join(whole, "__h", "full_outer"), "__h", "left")
     body = F.when(F.col("__copied"), F.lit("")).otherwise(F.coalesce("__body", text))
     return rows.withColumn(text, body).select(*df.columns)

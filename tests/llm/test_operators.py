@@ -70,6 +70,24 @@ def test_suffix_dedup_with_frequent_classes_and_small_ranges(spark, edge_dir, do
     assert got == sorted((str(d[0]), *w[:3]) for d, w in zip(docs, want))
 
 
+@pytest.mark.parametrize("how", [{"class_limit": 3, "per_range": 2}, {}])
+def test_two_lengths_in_one_order(spark, edge_dir, docs, how):
+    df = spark.read.parquet(f"{edge_dir}/documents.parquet")
+    got = sorted((str(r[0]), r[2], r[3], r[5]) for r in suffix_dedup.removed(df, length=300, passages=(90, 5), **how).collect())
+    one, two = (brute.repeats([d[1] for d in docs], *x) for x in ((300, 0), (90, 5)))
+    assert got == sorted((str(d[0]), a[1], a[2], b[2]) for d, a, b in zip(docs, one, two))
+
+
+def test_ends_of_texts_are_no_zero_bytes(spark):
+    """A text that ends where another has zero bytes does not share them."""
+    base = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(230))
+    rows = [(0, base), (1, base + "\0" * 200), (2, "x" + base + "\0" * 100 + "y" * 100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in suffix_dedup.removed(df, length=100, passages=(250, 0)).select("doc_id", "n_removed", "n_passages").collect())
+    one, two = (brute.repeats([t for _, t in rows], n) for n in (100, 250))
+    assert got == [(i, a[1], b[2]) for (i, _), a, b in zip(rows, one, two)]
+
+
 def test_loser_tree_merges_and_folds():
     r = random.Random(2)
     runs, all_items = [], {}
