@@ -9,9 +9,8 @@ the rest of the ids.
 
 The tokenizer drops ASCII white space before it splits (checked in tests against the
 library on whole texts), so a text's ids are those of its white-space separated
-words in a row. Words are encoded by the library once each and remembered by a
-worker, up to a bound at which it starts anew; trailing sentence marks
-after a letter are pre-tokens of their own and are encoded apart.
+words in a row. Words are encoded by the library, and those in use are remembered by
+a worker, up to a bound.
 
 Cases: null and empty texts hold the end id alone; repeated rows are written each,
 rows of one key in the order of their text's hash; null keys come first; an empty
@@ -21,7 +20,9 @@ whatever its length.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,8 +37,15 @@ from pyspark.sql import functions as F
 
 from fairplay.session import ensure_checkpoint_dir
 
-KNOWN_WORDS, KNOWN_UNITS, LONGEST = 200_000, 800_000, 64  # remembered by a worker; longer ones are not
-MARKS = ".,;:!?"
+KNOWN_WORDS, LONGEST = 400_000, 64  # words remembered by a worker, in two generations; longer ones are not
+TOGETHER = 4096  # new words in one call
+#: Words of these characters alone are their own NFC form, lower-case letter by letter, and are cut into runs of
+#: letters and of marks: A-Z, a-z, Latin letters up to U+017F but for U+0130, ASCII marks but for the apostrophe.
+ODD = re.compile("[^A-Za-zÀ-ÖØ-öø-įı-ſ!-&(-/:-@\\[-`{-~]")
+LETTERS = re.compile("[a-zß-öø-ſ]+")
+#: What the tokenizer file has to do before its vocabulary for that to hold.
+STEPS = (("Sequence", ["NFC", "Replace", "Lowercase"], ["\\s+"]),
+         ("Sequence", ["Split", "ByteLevel"], ["'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"]))
 _LOADED: dict[int, Words] = {}
 
 ENCODINGS = {
@@ -46,46 +54,93 @@ ENCODINGS = {
 }
 
 
+def steps(part: dict | None, names: str) -> tuple:
+    """(type, types of its steps, patterns) of a normalizer or pre-tokenizer."""
+    inner = (part or {}).get(names) or []
+    return (part or {}).get("type"), [x["type"] for x in inner], [x["pattern"]["Regex"] for x in inner if "Regex" in x.get("pattern", {})]
+
+
 class Words:
-    """Ids of texts as little-endian 32-bit bytes, word by word."""
+    """Ids of texts as little-endian 32-bit bytes, word by word.
+
+    New words are encoded by the library many at a time, with a special token between them that
+    tells their ids apart. Where the file's steps are ``STEPS`` and its tokens tell the end of a
+    run, words without odd characters skip the library's normalizer and pattern, which cost
+    more than the vocabulary itself, and need nothing between them.
+    """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        described = json.loads(vocabulary)
         self.library = Tokenizer.from_str(vocabulary)
-        self.words: dict[bytes, bytes] = {}
-        self.units: dict[str, bytes] = {}
-
-    @staticmethod
-    def split(word: str) -> tuple[str, ...]:
-        """The word, or what is before its trailing marks and the marks."""
-        head = word.rstrip(MARKS)
-        if len(head) < len(word) and head[-1:].lower().isalpha() and len(head[-1].lower()) == 1 and head[-1] < "ɐ":
-            return (head.lower() if head.isascii() else head), word[len(head):]
-        return (word.lower() if word.isascii() and word.isalpha() else word,)
-
-    def learn(self, new: set[bytes]) -> dict[bytes, bytes]:
-        parts = {w: self.split(w.decode()) for w in new}
-        units = self.units
-        if len(units) > KNOWN_UNITS:
-            units.clear()
-        missing = list({u for p in parts.values() for u in p}.difference(units))
-        ids = {u: np.array(e.ids, "<u4").tobytes() for u, e in zip(
-            missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True)}
-        units.update((u, i) for u, i in ids.items() if len(u) <= LONGEST)
-        return {w: b"".join([ids[u] if u in ids else units[u] for u in p]) for w, p in parts.items()}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split, known = [t.encode().split() for t in texts], self.words
-        if len(known) > KNOWN_WORDS:
-            known.clear()
+        added = described.get("added_tokens") or []
+        special = next((x for x in added if x["special"] and not x["lstrip"] and not x["rstrip"]), None)
+        self.between, self.cut = (special["content"], special["id"]) if special else (None, -1)
+        self.added = re.compile(b"|".join(re.escape(x["content"].encode()) for x in added) or b"$^")
+        self.plain, end = None, described["model"].get("end_of_word_suffix")
+        self.ends = np.array([bool(end) and (self.library.id_to_token(i) or "").endswith(end) for i in range(self.library.get_vocab_size())])
+        if end and (steps(described["normalizer"], "normalizers"), steps(described["pre_tokenizer"], "pretokenizers")) == STEPS:
+            self.plain = Tokenizer.from_str(vocabulary)
+            self.plain.normalizer = normalizers.Sequence([])
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def alone(self, words: list[bytes]) -> dict[bytes, bytes]:
+        found = self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found, strict=True)}
+
+    def together(self, words: list[bytes]) -> dict[bytes, bytes]:
+        text = self.between.join(w.decode() for w in words)
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.append(np.flatnonzero(ids == self.cut) * 4, ids.nbytes).tolist()
+        if len(ends) != len(words):
+            return self.alone(words)
+        raw, starts = ids.tobytes(), [0, *(e + 4 for e in ends[:-1])]
+        return {w: raw[a:b] for w, a, b in zip(words, starts, ends, strict=True)}
+
+    def usual(self, words: list[bytes]) -> dict[bytes, bytes]:
+        runs = LETTERS.sub(r" \g<0> ", b"\n".join(words).decode().lower())
+        ids = np.array(self.plain.encode_batch_fast([runs], add_special_tokens=False)[0].ids, "<u4")
+        places = np.flatnonzero(self.ends[ids])
+        last = np.cumsum([len(x.split()) for x in runs.split("\n")])
+        if not len(places) or last[-1] != len(places):
+            return self.alone(words)
+        raw, ends = ids.tobytes(), ((places[last - 1] + 1) * 4).tolist()
+        return {w: raw[a:b] for w, a, b in zip(words, [0, *ends], ends, strict=False)}
+
+    def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        if not self.between:
+            return self.alone(new)
+        out: dict[bytes, bytes] = {}
+        special, usual, odd = [], [], []
+        for w in new:
+            (special if self.added.search(w) else odd if self.plain is None or ODD.search(w.decode()) else usual).append(w)
+        out |= self.alone(special)
+        for words, how in ((usual, self.usual), (odd, self.together)):
+            for at in range(0, len(words), TOGETHER):
+                out |= how(words[at:at + TOGETHER])
+        return out
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
+        if len(self.known) > KNOWN_WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         new = set(chain.from_iterable(split)).difference(known)
         if new:
-            found = self.learn(new)
-            known.update((w, i) for w, i in found.items() if len(w) <= LONGEST)
-            if any(len(w) > LONGEST for w in new):
-                return [b"".join([known[w] if w in known else found[w] for w in words]) for words in split]
+            back = new.intersection(older)
+            known.update((w, older[w]) for w in back)
+            found = self.learn(list(new.difference(back)))
+            long = [w for w in found if len(w) > LONGEST]
+            if long:
+                rare = {w: found.pop(w) for w in long}
+                known.update(found)
+                return [b"".join([known[w] if w in known else rare[w] for w in words]) for words in split]
+            known.update(found)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
@@ -110,7 +165,7 @@ def write(df: DataFrame, vocabulary_path: str, path: str, end_id: int, key: str
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [i + end for i in words.encode([t or "" for t in part.column(1).to_pylist()])]
+                ids = [i + end for i in words.encode([t or b"" for t in part.column(1).to_pylist()])]
                 n = np.fromiter((len(i) // 4 for i in ids), np.int64, len(ids))
                 ends = np.concatenate([[0], np.cumsum(n)])
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
@@ -120,10 +175,9 @@ def write(df: DataFrame, vocabulary_path: str, path: str, end_id: int, key: str
                     names=[key, "offset", "n_tokens", "ids"])
                 offset += int(ends[-1])
 
-    tie = F.xxhash64(text)
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = (df.select(F.col(key), F.col(text)).repartitionByRange(files, F.col(key).asc_nulls_first())
-             .sortWithinPartitions(F.col(key).asc_nulls_first(), tie))
+    order = (F.col(key).asc_nulls_first(), F.xxhash64("__t"))  # a key that many rows share is several ranges
+    dealt = df.select(F.col(key), F.col(text).cast("binary").alias("__t")).repartitionByRange(files, *order).sortWithinPartitions(*order)
     encoded = dealt.mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, offset long, n_tokens long, ids array<int>")
     (encoded.withColumn("file", F.spark_partition_id()).write
      .options(**ENCODINGS[encoding], **{"parquet.block.size": str(row_group_bytes), "parquet.page.size": str(page_bytes),
@@ -131,6 +185,17 @@ def write(df: DataFrame, vocabulary_path: str, path: str, end_id: int, key: str
      .parquet(path))
 
 
+def metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(file, key, offset, n_tokens) of the stored documents; the scan reads no ids."""
+    return spark.read.parquet(path).drop("ids")
+
+
+def documents(spark: SparkSession, path: str, low, high, key: str = "doc_id") -> DataFrame:
+    """The stored rows whose key is from ``low`` to ``high``: files, row groups and, by the page
+    indexes, pages outside are not read, as keys ascend over the files and inside them."""
+    return spark.read.parquet(path).filter(F.col(key).between(low, high))
+
+
 def read_back(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     """(key, start, n_tokens, ids_crc32) of every stored document, from the files."""
     stored = spark.read.parquet(path)

@@ -198,3 +198,51 @@ def test_html_without_article_marks():
     page = html_text.Page('<body><div class="sidebar"><p>' + "related " * 90 + '</p></div><div><p>' + "main text " * 90 + "</p></div></body>")
     text = page.text([p >= 0.5 for p in html_text.marginals(page, model)])
     assert text == ("main text " * 90).strip()
+
+
+def test_words_are_encoded_as_the_library_does():
+    import itertools
+
+    import public_tokenizers
+
+    words = token_files.Words(open(public_tokenizers.path("word_bpe_49k.json")).read())
+    assert words.plain is not None
+    odd = ["a'b", "don't", "I'LL", "İx", "ıI", "×a", "x9y", "a--b", "e\u0301", "ß", "ẞ", "ŉ", "ſ", "µ", "ª", "Σας", "<|endoftext|>", "a<|endoftext|>b",
+           "<|startoftext|>x", "日本", "a\u00a0b", "a\u3000b", "...", "a,b.c", "A" * 100, "'s", "\u0301a", "\u212b", "a\x7fb", "\x00"]
+    odd += ["".join(p) for p in itertools.product("aÉ'.9<|ñ", repeat=3)]
+    odd += [x for c in range(0x21, 0x600) for x in (chr(c), f"a{chr(c)}B")]
+    texts = [*odd, *(" ".join(odd[i:i + 40]) for i in range(0, len(odd), 40))]
+    texts = [t.encode("utf-8", "ignore") for t in texts]
+    want = [np.array(e.ids, "<u4").tobytes() for e in words.library.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+    assert words.encode(texts) == want
+    words.known, words.older = {}, words.known  # the older generation is used
+    assert words.encode(texts) == want
+    words.known, words.older, words.plain, words.between = {}, {}, None, None  # another file: plain calls
+    assert words.encode(texts) == want
+
+
+def test_token_files_are_read_selectively(spark, tmp_path):
+    import public_tokenizers
+
+    df = spark.createDataFrame([(i, f"some words number {i} " * 30) for i in range(4000)], "doc_id long, text string")
+    path = str(tmp_path / "tokens")
+    token_files.write(df, public_tokenizers.path("word_bpe_49k.json"), path, 2, page_bytes=2048)
+    whole = {r["doc_id"]: r["ids"] for r in spark.read.parquet(path).collect()}
+    some = token_files.documents(spark, path, 700, 705)
+    assert {r["doc_id"]: r["ids"] for r in some.collect()} == {i: whole[i] for i in range(700, 706)}
+    scan = some._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numOutputRows").value() < 400  # of 4000: pages of other keys are skipped
+    rows = token_files.metadata(spark, path)
+    assert "ids" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"]: r["n_tokens"] for r in rows.collect()} == {i: len(x) for i, x in whole.items()}
+
+
+def test_token_files_split_a_hot_key(spark, tmp_path):
+    """A third of the rows share a key: their texts are in several files."""
+    import public_tokenizers
+
+    df = spark.createDataFrame([(7 if i % 3 == 0 else i, f"word {i}") for i in range(3000)], "doc_id long, text string")
+    path = str(tmp_path / "tokens")
+    token_files.write(df, public_tokenizers.path("word_bpe_49k.json"), path, 2)
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy("file").count().collect()]
+    assert max(sizes) < 1000
