@@ -60,7 +60,7 @@ from fairplay.plans.joins import bounded_broadcast
 LENGTH = 400
 STRETCH = 1 << 20
 FAN_IN = 256
-RUN_BYTES = 32 << 20
+RUN_BYTES = 16 << 20
 BATCH = 1 << 17  # anchors counted together before they are sent on
 LOW = np.uint64((1 << 24) - 1)
 
@@ -444,7 +444,7 @@ def repeated_anchors(texts: DataFrame, w: Window, per_range: int, class_limit: i
         "t", "place", own.alias("range"), (F.coalesce("all", F.lit(0)) > class_limit).alias("frequent"))
 
 
-def repeated_spans(df: DataFrame, text: str = "text", lengths: tuple[int, ...] = (LENGTH,), class_limit: int = 50_000, per_range: int = 30_000,
+def repeated_spans(df: DataFrame, text: str = "text", lengths: tuple[int, ...] = (LENGTH,), class_limit: int = 50_000, per_range: int = 12_000,
                    per_part: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): the distinct texts of ``df`` with repeated anchors (t, h, packed), and what
     repeats in or between them (h, length, spans); h: the text's MD5, spans: (start, end) pairs as
@@ -503,8 +503,11 @@ def by_digest(texts: DataFrame, w: Window) -> DataFrame:
     """The spans of passages too frequent for one range: contexts, then windows, counted by
     their digests. One row per distinct context and window; no group is gathered."""
 
+    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return (pdf.iloc[at:at + 256] for pdf in batches for at in range(0, len(pdf), 256))
+
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in some(batches):
             out = []
             for h, blob, at in zip(pdf["h"], pdf["packed"], pdf["at"], strict=True):
                 raw = zstandard.decompress(blob)
@@ -516,7 +519,7 @@ def by_digest(texts: DataFrame, w: Window) -> DataFrame:
             yield pd.DataFrame(out, columns=["c", "h", "a", "s"])
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in some(batches):
             out = []
             for c, s in zip(pdf["c"], pdf["s"], strict=True):
                 far = s[w.width]

@@ -26,11 +26,11 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from fairplay.session import ensure_checkpoint_dir
 
 KNOWN_WORDS, LONGEST = 400_000, 64  # words remembered by a worker, in two generations; longer ones are not
-TOGETHER = 4096  # new words in one call
+TOGETHER, SLICE = 4096, 12 << 20  # new words in one call; bytes of texts encoded together, or one text
 #: Words of these characters alone are their own NFC form, lower-case letter by letter, and are cut into runs of
 #: letters and of marks: A-Z, a-z, Latin letters up to U+017F but for U+0130, ASCII marks but for the apostrophe.
 ODD = re.compile("[^A-Za-zÀ-ÖØ-öø-įı-ſ!-&(-/:-@\\[-`{-~]")
@@ -125,23 +125,30 @@ class Words:
                 out |= how(words[at:at + TOGETHER])
         return out
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
         if len(self.known) > KNOWN_WORDS:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = set(chain.from_iterable(split)).difference(known)
-        if new:
-            back = new.intersection(older)
-            known.update((w, older[w]) for w in back)
-            found = self.learn(list(new.difference(back)))
-            long = [w for w in found if len(w) > LONGEST]
-            if long:
-                rare = {w: found.pop(w) for w in long}
-                known.update(found)
-                return [b"".join([known[w] if w in known else rare[w] for w in words]) for words in split]
-            known.update(found)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        new = [w for w in words if w not in known]
+        if not new:
+            return [known[w] for w in words]
+        known.update((w, older[w]) for w in new if w in older)
+        found = self.learn([w for w in new if w and w not in known])
+        rare = {w: found.pop(w) for w in [w for w in found if len(w) > LONGEST]}
+        known.update(found)
+        rare[b""] = b""
+        return [known[w] if w in known else rare[w] for w in words]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, place of each text's end); null is empty."""
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = split.flatten().dictionary_encode()
+        ids = pa.array(self.of(words.dictionary.cast(pa.binary()).to_pylist()), pa.large_binary()).take(words.indices)
+        places = np.frombuffer(ids.buffers()[1], "<i8", len(ids) + 1) if len(ids) else np.zeros(1, np.int64)
+        of_text = split.offsets.to_numpy() - split.offsets[0].as_py()
+        values = np.frombuffer(ids.buffers()[2], "<i4", int(places[-1]) // 4) if places[-1] else np.zeros(0, "<i4")
+        return values, places[of_text][1:] // 4
 
 
 def loaded(vocabulary: bytes) -> Words:
@@ -153,35 +160,44 @@ def loaded(vocabulary: bytes) -> Words:
     return _LOADED[name]
 
 
+def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts (column 1) have about ``SLICE`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def write(df: DataFrame, vocabulary_path: str, path: str, end_id: int, key: str = "doc_id", text: str = "text",
-          encoding: str = "dictionary", row_group_bytes: int = 16 << 20, page_bytes: int = 64 << 10) -> None:
+          encoding: str = "dictionary", row_group_bytes: int = 16 << 20, page_bytes: int = 64 << 10,
+          compression: str = "snappy") -> None:
     """Writes (file, key, offset, n_tokens, ids) in ascending key order over the files."""
     spark = df.sparkSession
     vocabulary = spark.sparkContext.broadcast(Path(vocabulary_path).read_bytes())  # of fixed size
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, offset = loaded(vocabulary.value), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [i + end for i in words.encode([t or b"" for t in part.column(1).to_pylist()])]
-                n = np.fromiter((len(i) // 4 for i in ids), np.int64, len(ids))
-                ends = np.concatenate([[0], np.cumsum(n)])
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+            for part in sliced(batch):
+                values, ends = words.encode(part.column(1))
+                values = np.insert(values, ends, end_id)
+                ends = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(offset + ends[:-1]), pa.array(n),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)],
+                    [part.column(0), pa.array(offset + ends[:-1]), pa.array(np.diff(ends)),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))],
                     names=[key, "offset", "n_tokens", "ids"])
                 offset += int(ends[-1])
 
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = (F.col(key).asc_nulls_first(), F.xxhash64("__t"))  # a key that many rows share is several ranges
-    dealt = df.select(F.col(key), F.col(text).cast("binary").alias("__t")).repartitionByRange(files, *order).sortWithinPartitions(*order)
+    dealt = df.select(F.col(key), F.col(text).alias("__t")).repartitionByRange(files, *order).sortWithinPartitions(*order)
     encoded = dealt.mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, offset long, n_tokens long, ids array<int>")
     (encoded.withColumn("file", F.spark_partition_id()).write
      .options(**ENCODINGS[encoding], **{"parquet.block.size": str(row_group_bytes), "parquet.page.size": str(page_bytes),
-                                        "compression": "zstd"})
+                                        "compression": compression})
      .parquet(path))
 
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fairplay.llm import html_text, pieces, sharding, simhash, suffix_dedup, token_files
@@ -211,14 +212,19 @@ def test_words_are_encoded_as_the_library_does():
            "<|startoftext|>x", "日本", "a\u00a0b", "a\u3000b", "...", "a,b.c", "A" * 100, "'s", "\u0301a", "\u212b", "a\x7fb", "\x00"]
     odd += ["".join(p) for p in itertools.product("aÉ'.9<|ñ", repeat=3)]
     odd += [x for c in range(0x21, 0x600) for x in (chr(c), f"a{chr(c)}B")]
-    texts = [*odd, *(" ".join(odd[i:i + 40]) for i in range(0, len(odd), 40))]
-    texts = [t.encode("utf-8", "ignore") for t in texts]
-    want = [np.array(e.ids, "<u4").tobytes() for e in words.library.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
-    assert words.encode(texts) == want
+    texts = [None, "", " \t\x0b", *odd, *(" ".join(odd[i:i + 40]) for i in range(0, len(odd), 40)), " x  y\n", None]
+    want = [e.ids for e in words.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+    def got():
+        values, ends = words.encode(pa.array(["left out", *texts], pa.string()).slice(1))
+        return [values[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)]
+
+    assert got() == want
     words.known, words.older = {}, words.known  # the older generation is used
-    assert words.encode(texts) == want
+    assert got() == want
     words.known, words.older, words.plain, words.between = {}, {}, None, None  # another file: plain calls
-    assert words.encode(texts) == want
+    assert got() == want
+    assert [len(x) for x in words.encode(pa.array([], pa.string()))] == [0, 0]
 
 
 def test_token_files_are_read_selectively(spark, tmp_path):
