@@ -456,21 +456,21 @@ def repeated_spans(df: DataFrame, text: str = "text", lengths: tuple[int, ...] =
     marked = repeated_anchors(texts, w, per_range, class_limit, per_part)
     wanted = marked.groupBy("t").agg(F.collect_set(F.when(~F.col("frequent"), F.struct("place", "range"))).alias("at"),
                                      F.collect_set(F.when(F.col("frequent"), F.col("place"))).alias("often"))
+    wanted = wanted.select("t", F.transform("at", lambda x: x["place"]).alias("at"), F.transform("at", lambda x: x["range"]).alias("to"), "often")
     packed = texts.mapInPandas(packed_texts(w), "t long, h binary, packed binary")
     chosen = write_table(packed.join(wanted, "t"), "chosen-texts")
 
     def make_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run, size, ranges = TaskContext.get().partitionId() << 24, 0, {}
         for pdf in batches:
-            for h, blob, at in zip(pdf["h"], pdf["packed"], pdf["at"], strict=True):
+            for h, blob, at, to in zip(pdf["h"], pdf["packed"], pdf["at"], pdf["to"], strict=True):
                 raw = zstandard.decompress(blob)
-                for x in at:
-                    place = int(x["place"])
+                for place, part in zip(at.tolist(), to.tolist(), strict=True):
                     a, near, far = place >> 16, place >> 8 & 255, place & 255
                     if a < far or a - near + w.length > len(raw):
                         continue  # another text with the same t
                     s = suffix(raw, a, near, far, w)
-                    occ = ranges.setdefault(int(x["range"]), {}).setdefault(s, set())
+                    occ = ranges.setdefault(part, {}).setdefault(s, set())
                     size += 40 if occ else w.width + 150
                     occ.add(struct.pack("<16sI", h, a))
                 if size > RUN_BYTES:
@@ -479,7 +479,7 @@ def repeated_spans(df: DataFrame, text: str = "text", lengths: tuple[int, ...] =
         if ranges:
             yield dealt_run(ranges, run)
 
-    pieces = write_table(chosen.filter(F.size("at") > 0).select("h", "packed", "at").mapInPandas(
+    pieces = write_table(chosen.filter(F.size("at") > 0).select("h", "packed", "at", "to").mapInPandas(
         make_runs, "part long, run long, blob binary"), "suffix-runs")
     n = pieces.agg(F.count_distinct("run")).first()[0]
     while n > FAN_IN:

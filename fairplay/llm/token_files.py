@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from fairplay.session import ensure_checkpoint_dir
 
-KNOWN_WORDS, LONGEST = 400_000, 64  # words remembered by a worker, in two generations; longer ones are not
-TOGETHER, SLICE = 4096, 12 << 20  # new words in one call; bytes of texts encoded together, or one text
+KNOWN_WORDS, LONGEST = 200_000, 64  # words remembered by a worker, in two generations; longer ones are not
+TOGETHER, SLICE = 4096, 6 << 20  # new words in one call; bytes of texts encoded together, or one text
 #: Words of these characters alone are their own NFC form, lower-case letter by letter, and are cut into runs of
 #: letters and of marks: A-Z, a-z, Latin letters up to U+017F but for U+0130, ASCII marks but for the apostrophe.
 ODD = re.compile("[^A-Za-zÀ-ÖØ-öø-įı-ſ!-&(-/:-@\\[-`{-~]")
