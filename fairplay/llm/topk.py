@@ -17,6 +17,11 @@ Queries are taken in blocks of at most ``block`` rows, which bounds what is broa
 (a block, its cutoffs and minima); every block meets all rows, task by task, and no
 pair is written but these few.
 
+Scores are exact whole numbers: doubles only where all sums stay below 2^53, 64-bit
+integers below 2^63, and Python's integers beyond. What prunes (cutoffs, thresholds,
+bounds) is in doubles, with room for their rounding in proportion to what was added up.
+A component beyond 64 bits, or a score among the best beyond them, is an error.
+
 Cases: rows without an id, and vectors that are null or hold a null, NaN or infinite
 component, take no part, neither as queries nor as candidates;
 missing components of shorter vectors count as 0; rows with the query's own id are
@@ -47,8 +52,10 @@ def quantized(df: DataFrame, key: str = "vec_id", vector: str = "embedding", sca
     """
     x = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
     odd = F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    whole = lambda c: F.when(F.abs(c * scale) < 2.0 ** 63, F.floor(c * scale)).otherwise(
+        F.raise_error(F.lit("a component is beyond 64 bits")).cast("long"))
     return x.filter(F.col("id").isNotNull() & F.col("x").isNotNull()).filter(~odd).select(
-        F.monotonically_increasing_id().alias("row"), "id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v"))
+        F.monotonically_increasing_id().alias("row"), "id", F.transform("x", whole).alias("v"))
 
 
 def matrix(vectors: list, width: int) -> np.ndarray:
@@ -70,9 +77,10 @@ class Block:
         self.cuts = [slice(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def partials(self, candidates: np.ndarray) -> list[np.ndarray]:
-        """Per group the (query, candidate) scores: as doubles where these are exact."""
-        reach = float(np.abs(self.q).max(initial=0)) * float(np.abs(candidates).max(initial=0)) * self.q.shape[1]
-        kind = np.float64 if reach < 2.0 ** 52 else np.int64
+        """Per group the (query, candidate) scores: as doubles or 64-bit integers where these are exact."""
+        size = lambda m: max(int(m.max(initial=0)), -int(m.min(initial=0)))
+        reach = size(self.q) * size(candidates) * self.q.shape[1]
+        kind = np.float64 if reach < 1 << 53 else np.int64 if reach < 1 << 63 else object
         return [self.q[:, c].astype(kind) @ candidates[:, c].astype(kind).T for c in self.cuts]
 
     def pieces(self, batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
@@ -93,6 +101,7 @@ def gather(block: Block, k: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd
     top_rows = np.full((groups, n, k), -1, np.int64)
     for numbers, _, own, partials in block.pieces(batches):
         for g, s in enumerate(partials):
+            s = s.astype(np.float64)
             low[g] = np.minimum(low[g], np.where(own, np.inf, s).min(axis=1))
             s = np.where(own, -np.inf, s)
             rows = np.flatnonzero(s.max(axis=1) > top[g, :, -1])
@@ -113,27 +122,37 @@ def gather(block: Block, k: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd
 def resolve(block: Block, cutoff: np.ndarray, low: np.ndarray, k: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Phases 2 and 3 of a task: its k best candidates per query that reach the cutoff."""
     n, groups = len(block.ids), len(block.cuts)
-    uniform = low + (cutoff - low.sum(axis=0)) / groups  # per group and query
-    uniform -= 1e-6 * (1 + np.abs(uniform))  # room for rounding: scores are whole numbers
-    top, top_ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+    room = 1 + np.abs(cutoff) + np.abs(low).sum(axis=0)  # rounding is in proportion to what was added
+    uniform = low + (cutoff - low.sum(axis=0)) / groups - 1e-9 * room  # per group and query
+    top, top_ids, real = np.zeros((n, k), np.int64), np.zeros((n, k), np.int64), np.zeros((n, k), bool)
     for _, ids, own, partials in block.pieces(batches):
         above = np.zeros(own.shape, bool)
-        bound = np.zeros(own.shape)
+        bound, added = np.zeros(own.shape), np.zeros(own.shape)
         for s, t in zip(partials, uniform, strict=True):
+            s = s.astype(np.float64)
             over = s >= t[:, None]
             above |= over
-            bound += np.where(over, s, t[:, None])
-        alive = above & ~own & (bound >= (cutoff - 1e-5 * (1 + np.abs(uniform).sum(axis=0)))[:, None])
+            most = np.where(over, s, t[:, None])
+            bound += most
+            added += np.abs(most)
+        alive = above & ~own & (bound + 1e-9 * added >= (cutoff - 1e-8 * room)[:, None])
         rows = np.flatnonzero(alive.any(axis=1))
         if not len(rows):
             continue
-        score = np.where(alive[rows], sum(s[rows] for s in partials), -np.inf)
-        all_s = np.concatenate([top[rows], score], axis=1)
-        all_i = np.concatenate([top_ids[rows], np.broadcast_to(ids, score.shape)], axis=1)
-        at = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-        top[rows], top_ids[rows] = np.take_along_axis(all_s, at, 1), np.take_along_axis(all_i, at, 1)
-    q, r = np.nonzero(np.isfinite(top))
-    yield pd.DataFrame({"q": q, "query_id": block.ids[q], "vec_id": top_ids[q, r], "score": top[q, r].astype(np.int64)})
+        all_s = np.concatenate([top[rows], whole(sum(s[rows] for s in partials), alive[rows])], axis=1)
+        all_i = np.concatenate([top_ids[rows], np.broadcast_to(ids, (len(rows), len(ids)))], axis=1)
+        all_r = np.concatenate([real[rows], alive[rows]], axis=1)
+        at = np.lexsort((all_i, ~all_s, ~all_r), axis=1)[:, :k]
+        top[rows], top_ids[rows], real[rows] = (np.take_along_axis(x, at, 1) for x in (all_s, all_i, all_r))
+    q, r = np.nonzero(real)
+    yield pd.DataFrame({"q": q, "query_id": block.ids[q], "vec_id": top_ids[q, r], "score": top[q, r]})
+
+
+def whole(scores: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Scores as 64-bit integers; those that are not used are 0."""
+    if scores.dtype == object and any(abs(x) >= 1 << 63 for x in scores[used]):
+        raise OverflowError("a score is beyond 64 bits")
+    return np.where(used, scores, 0).astype(np.int64)
 
 
 def search(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding",

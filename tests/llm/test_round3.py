@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from fairplay.llm import exact_dedup, importance, merkle
+from fairplay.llm import exact_dedup, importance, merkle, topk
 from fairplay.llm.queries import QUERIES
 from tests.llm import brute
 
@@ -139,3 +139,22 @@ def test_versions_copy_a_path_and_share_the_rest():
 def test_manifest_without_changes_verifies(spark, edge_dir):
     found = merkle.manifest(spark.read.parquet(f"{edge_dir}/documents.parquet"), ["text"], group="source", levels=2).collect()
     assert found and all(r["folded_root"] == r["root"] and r["changed"] is None for r in found)
+
+
+@pytest.mark.parametrize("reach, dims, mixed", [(3e5, 64, False), (5e5, 16, False), (5e5, 16, True), (4e5, 40, True), (3.0, 8, False)])
+def test_scores_beyond_doubles_are_exact(spark, reach, dims, mixed):
+    """Components up to 5e8, scores to 9e17 and (mixed: sums that cancel) beyond 64 bits on the way."""
+    r = random.Random(dims)
+    rows = [(i, [r.uniform(-reach, reach) * (1000 if mixed and i % 50 == 3 and d < 2 else 1) for d in range(dims)]) for i in range(300)]
+    if mixed:  # large parts that cancel against the queries
+        rows = [(i, [v[0], -v[0], *v[2:]] if i % 50 == 3 else [abs(v[0])] * 2 + v[2:]) for i, v in rows]
+    rows += [(i + 1000, rows[i][1]) for i in range(20)]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("id") % 100 == 0).collect()
+    assert sorted(map(tuple, got)) == brute.top_k(rows)
+
+
+def test_scores_beyond_64_bits_are_an_error(spark):
+    for rows in ([(0, [4e6] * 8), (1, [4e6] * 8), (2, [1.0] * 8)], [(0, [1e300]), (1, [1.0])]):
+        rows = [(i, [x * 1000 for x in v]) for i, v in rows]
+        with pytest.raises(Exception, match="beyond 64 bits"):
+            topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 0).collect()
