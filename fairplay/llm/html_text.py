@@ -1,15 +1,19 @@
 """Main text of web pages by a tree-structured graphical model.
 
 A page becomes its element tree. Every element has a hidden label, content or not,
-a unary potential from what it looks like (marks in the tag, class, id and role of
-it or of an element around it, kind of tag, length of its own text, share of link
-text), and a potential with its parent's label that depends on the kind of element. Sum-product messages go up
-from the leaves and down from the root and give each element's marginal probability
-of content; the own text of elements at one half or more is kept.
+a unary potential from what it looks like by itself (a sectioning tag, words in class, id
+and role, kind of tag, length and punctuation of its own text, share of link text, depth,
+place in the page), and a potential with its parent's label that depends on the kind of
+element. Nothing is inherited but by messages: sum-product messages go up from the leaves
+(long prose makes its container content) and down from the root (what is in an advert
+or a menu is none) and give each element's marginal probability of content; the own text
+of elements at one half or more is kept.
 
 The potentials are counts, trained on the labelled pages of the same table: pages
-that mark their article with exactly one <article> or <main> element, whose inside
-is content but for marked parts (navigation, adverts, footers, forms, comments ...).
+that mark their article with exactly one <article> or <main> element. Its inside is
+content but for navigation, header, footer, aside and form elements; class names
+take no part in the labels. They are evidence: strong on containers (adverts, comments,
+sharing bars are blocks), weak on paragraphs and other prose.
 Each task reduces its pages to counts of (feature, value, label) and (kind, parent's
 label, label), summed map-side; only these few hundred sums reach the driver.
 
@@ -19,8 +23,8 @@ and blocks (block-level elements) join in page order by one newline. A line brea
 element separates words, not blocks.
 
 Cases: null or empty html gives the empty text; unclosed, unbalanced and deeply
-nested markup is read without recursion; without labelled pages the marks alone
-decide; repeated pages are read each; an empty table gives an empty table; pages of
+nested markup is read without recursion; without labelled pages the potentials are the
+expectations in ``START``; repeated pages are read each; an empty table gives an empty table; pages of
 any length are read whole.
 """
 
@@ -53,6 +57,8 @@ CONTAINERS = frozenset("ul ol dl table body article section div main td th block
 CONTENT = frozenset("article main".split())
 CONTENT_WORDS = frozenset("article content entry post story main body text".split())
 ASIDE = frozenset("nav header footer aside form menu fieldset".split())
+FRAME = frozenset("#page html body".split())
+SECTIONS = dict.fromkeys(CONTENT, "content") | dict.fromkeys(ASIDE, "aside") | dict.fromkeys(FRAME, "frame")
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb "
     "breadcrumbs header masthead footer foot sidebar aside widget related recommended cookie cookies consent gdpr notice popup modal "
@@ -63,9 +69,17 @@ KINDS = ("p", "li", "a", "pre", "blockquote", "div", "section", "td", "ul", "ol"
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = HEADINGS | frozenset("p pre blockquote td dd figcaption".split())
 #: Part of a feature's probability that is spread evenly, so that no feature alone
-#: outweighs the others however one-sided the training pages are; marks are surer.
-SPREAD = {"mark": 0.002, "kind": 0.1, "own": 0.1, "links": 0.1}
-SMOOTH = 0.5
+#: outweighs the others however one-sided the training pages are; sections and blocks are surer.
+SPREAD = {"section": 1e-6, "block": 1e-4, "hint": 0.5, "kind": 0.2, "own": 0.2, "links": 0.1, "ends": 0.3, "depth": 0.5, "place": 0.5}
+#: Counts added to those of the pages: what is expected also where no page shows it.
+START = {("section", "aside", "0"): 200, ("section", "content", "1"): 200, ("section", "frame", "0"): 200, ("block", "aside", "0"): 200, ("block", "content", "1"): 200,
+         ("hint", "aside", "0"): 5, ("hint", "content", "1"): 5, ("own", "5", "1"): 4, ("own", "4", "1"): 2, ("kind", "p", "1"): 4,
+         ("kind", "heading", "1"): 1, ("ends", "yes", "1"): 4, ("ends", "no", "0"): 4, ("links", "4", "0"): 4, ("links", "0", "1"): 2}
+#: The features of looks depend on each other: their logarithms count by this share.
+LOOKS, WEIGHT = frozenset("kind own links ends depth place hint".split()), 0.35
+SMOOTH = 0.02
+LEAK = 0.003  # an element differs from its parent so often at least
+DIGITS = "0123456789"
 Potentials = dict[tuple, tuple[float, float]]
 
 
@@ -74,20 +88,25 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.marks = ["#page"], [-1], [""]
-        self.own, self.linked = [0], [0]  # characters of own text, of link text inside
+        self.depths, self.ends = [0], [""]  # the last character of own text
+        self.own, self.linked, self.before = [0], [0], [0]  # characters of own text, of link text inside, of all text before
         self.pieces: list[tuple[int, str] | None] = []  # (element, raw text); None: a block bound
         self._read(source)
 
     def _read(self, source: str) -> None:
-        stack, at, hidden = [0], 0, 0
+        stack, at, hidden, so_far = [0], 0, 0, 0
         find, tags = TAG.search, self.tags
         while True:
             m = find(source, at)
             text = source[at:m.start()] if m else source[at:]
             if text and not hidden:
                 self.pieces.append((stack[-1], text))
-                size = len(text.strip())
+                body = text.strip()
+                size = len(body)
                 self.own[stack[-1]] += size
+                so_far += size
+                if size:
+                    self.ends[stack[-1]] = body[-1]
                 if size and any(tags[e] == "a" for e in stack[-4:]):
                     self.linked[stack[-1]] += size
             if not m:
@@ -115,8 +134,10 @@ class Page:
                 continue
             tags.append(tag)
             self.parents.append(stack[-1])
-            inherited = self.marks[stack[-1]] == "aside" and tag not in CONTENT
-            self.marks.append("aside" if inherited else mark(tag, m[3]))
+            self.marks.append(words_of(m[3]) if m[3] else "")
+            self.depths.append(len(stack))
+            self.ends.append("")
+            self.before.append(so_far)
             self.own.append(0)
             self.linked.append(0)
             if tag in RAW:
@@ -147,21 +168,31 @@ class Page:
                 return 0
         return 0
 
-    def features(self) -> list[list[tuple]]:
+    def features(self) -> list[list[tuple[str, str]]]:
         """(feature, value) pairs of every element."""
         n = len(self.tags)
         total, linked = self.own[:], self.linked[:]
         for e in range(n - 1, 0, -1):
             total[self.parents[e]] += total[e]
             linked[self.parents[e]] += linked[e]
+        whole = max(1, total[0])
         out = []
         for e in range(n):
-            found = [("mark", self.marks[e]), ("kind", self.kind(e))]
-            if found[1][1] == "inline":  # is what its block is
-                out.append(found)
-                continue
-            share = 4 * linked[e] // total[e] if total[e] else -1
-            out.append([*found, ("own", min(5, (self.own[e].bit_length() + 1) // 2)), ("links", share)])
+            tag, kind = self.tags[e], self.kind(e)
+            found = [("kind", kind)]
+            if tag in SECTIONS:
+                found.append(("section", SECTIONS[tag]))
+            if self.marks[e] and tag not in FRAME:
+                found.append(("hint" if tag in PROSE or tag in INLINE else "block", self.marks[e]))
+            if kind != "inline":  # that is what its block is
+                if total[e]:
+                    found.append(("links", DIGITS[4 * linked[e] // total[e]]))
+                if self.own[e]:
+                    found += [("own", DIGITS[min(5, (self.own[e].bit_length() + 1) // 2)]),
+                              ("ends", "yes" if self.ends[e] in ".!?:;\"" else "no"),
+                              ("place", DIGITS[min(4, 5 * self.before[e] // whole)])]
+                found.append(("depth", DIGITS[min(9, self.depths[e])]))
+            out.append(found)
         return out
 
     def kind(self, e: int) -> str:
@@ -173,13 +204,12 @@ class Page:
         return "heading" if tag in HEADINGS else "inline" if tag in INLINE else "other"
 
     def truth(self) -> list[int] | None:
-        """Labels of a page that marks its article, else None."""
+        """Labels of a page that marks its article, else None: by elements, not by words."""
         if sum(t in CONTENT for t in self.tags) != 1:
             return None
         labels = [0] * len(self.tags)
         for e in range(1, len(self.tags)):
-            inside = self.tags[e] in CONTENT or labels[self.parents[e]]
-            labels[e] = int(bool(inside) and self.marks[e] != "aside")
+            labels[e] = int(self.tags[e] in CONTENT or bool(labels[self.parents[e]]) and self.tags[e] not in ASIDE)
         return labels
 
     def text(self, keep: list[bool]) -> str:
@@ -194,18 +224,12 @@ class Page:
         return "\n".join(b for b in blocks if b)
 
 
-def mark(tag: str, attributes: str) -> str:
-    """What tag, class, id and role say: content, aside, or nothing."""
-    if tag in CONTENT:
-        return "content"
-    if tag in ("html", "body"):
-        return ""
-    if tag in ASIDE:
-        return "aside"
-    words = {w for _, v in ATTRIBUTE.findall(attributes) for w in TOKEN.findall(v.lower())} if attributes else ()
-    if words and words & ASIDE_WORDS:
+def words_of(attributes: str) -> str:
+    """What class, id and role say: content, aside, or nothing."""
+    words = {w for _, v in ATTRIBUTE.findall(attributes) for w in TOKEN.findall(v.lower())}
+    if words & ASIDE_WORDS:
         return "" if words & LAYOUT_WORDS else "aside"
-    return "content" if words and words & CONTENT_WORDS else ""
+    return "content" if words & CONTENT_WORDS else ""
 
 
 def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,7 +242,7 @@ def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if labels is None:
                 continue
             for e, found in enumerate(page.features()):
-                seen.update((f, str(v), str(labels[e])) for f, v in found)
+                seen.update((f, v, DIGITS[labels[e]]) for f, v in found)
                 if e:
                     seen[("pair", f"{page.kind(e)} {labels[page.parents[e]]}", str(labels[e]))] += 1
     yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["feature", "value", "label", "n"])
@@ -229,21 +253,27 @@ def train(pages: DataFrame, html_column: str = "html") -> Potentials:
     rows = (pages.select(F.col(html_column).alias("html")).mapInPandas(counts, "feature string, value string, label string, n long")
             .groupBy("feature", "value", "label").agg(F.sum("n").alias("n")).collect())
     n = {(r["feature"], r["value"], r["label"]): r["n"] for r in rows}
-    # what the marks mean is known beforehand, also where no page shows it
-    for key, start in ((("mark", "aside", "0"), 20), (("mark", "content", "1"), 20), (("own", "5", "1"), 2), (("kind", "p", "1"), 2)):
-        n[key] = n.get(key, 0) + start
+    for k, start in START.items():
+        n[k] = n.get(k, 0) + start
+    return potentials(n)
+
+
+def potentials(n: dict[tuple[str, str, str], float]) -> Potentials:
+    """Logarithms of the smoothed shares in the counts (feature, value, label) -> n."""
     out: Potentials = {}
     for f, spread in SPREAD.items():
         values = {k[1] for k in n if k[0] == f}
         even = spread / (len(values) + 1)
         total = [sum(n.get((f, v, y), 0) for v in values) + SMOOTH * len(values) for y in "01"]
         for v in values:
-            out[f, v] = tuple(math.log((1 - spread) * (n.get((f, v, y), 0) + SMOOTH) / t + even) for y, t in zip("01", total, strict=True))
+            by = WEIGHT if f in LOOKS else 1.0
+            out[f, v] = tuple(by * math.log((1 - spread) * (n.get((f, v, y), 0) + SMOOTH) / t + even) for y, t in zip("01", total, strict=True))
     for k in (*KINDS, "heading", "inline", "other"):
         for parent in "01":
-            same = 50.0 if k == "inline" else 2.0
-            near = [n.get(("pair", f"{k} {parent}", y), 0) + (same if y == parent else SMOOTH) for y in "01"]
-            out["pair", f"{k} {parent}"] = tuple(math.log(0.98 * x / sum(near) + 0.01) for x in near)
+            same = 200.0 if k == "inline" else 50.0
+            other = SMOOTH if k in ("p", "heading", "inline", "pre", "blockquote") or parent == "0" else same / 2  # blocks in content may be none
+            near = [n.get(("pair", f"{k} {parent}", y), 0) + (same if y == parent else other) for y in "01"]
+            out["pair", f"{k} {parent}"] = tuple(math.log((1 - 2 * LEAK) * x / sum(near) + LEAK) for x in near)
     return out
 
 
@@ -255,7 +285,7 @@ def marginals(page: Page, model: Potentials) -> list[float]:
     for found in page.features():
         a = b = 0.0
         for f, v in found:
-            x = model.get((f, str(v)), unknown)
+            x = model.get((f, v), unknown)
             a += x[0]
             b += x[1]
         unary.append((a, b))

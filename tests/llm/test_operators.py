@@ -191,14 +191,82 @@ def test_token_files_encodings_hold_the_same_ids(spark, tmp_path):
     assert rows[0] == rows[1]
 
 
-def test_html_without_article_marks():
-    model = {("mark", "aside"): (-0.5, -8.0), ("mark", "content"): (-7.0, -2.5), ("mark", ""): (-1.0, -0.1)}
-    for k in (*html_text.KINDS, "heading", "inline", "other"):
-        model["pair", f"{k} 0"], model["pair", f"{k} 1"] = (-0.2, -1.6), (-3.0, -0.05)
-    model["own", "5"] = (-4.0, -0.5)
-    page = html_text.Page('<body><div class="sidebar"><p>' + "related " * 90 + '</p></div><div><p>' + "main text " * 90 + "</p></div></body>")
-    text = page.text([p >= 0.5 for p in html_text.marginals(page, model)])
-    assert text == ("main text " * 90).strip()
+@pytest.fixture(scope="session")
+def page_model(spark):
+    return html_text.train(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+
+
+@pytest.fixture(scope="session")
+def some_pages(spark):
+    return [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+
+
+def extracted(source, model, messages=True):
+    page = html_text.Page(source)
+    if messages:
+        return page.text([p >= 0.5 for p in html_text.marginals(page, model)])
+    return page.text([sum(model[x][1] - model[x][0] for x in found if x in model) >= 0 for found in page.features()])
+
+
+def test_marginals_equal_enumeration(page_model):
+    """All labellings of trees of up to 10 elements."""
+    import itertools
+    import math
+
+    r = random.Random(4)
+    tags = ["div", "p", "nav", "article", "a", "b", "section", "footer", "ul", "li", "h1"]
+    for size in [1, 2, 3, 4, 5, 7, 8, 9, 9, 9] * 3:
+        source, opened = "", []
+        for _ in range(size):
+            while opened and r.random() < 0.35:
+                source += f"</{opened.pop()}>"
+            opened.append(r.choice(tags))
+            source += f'<{opened[-1]} class="{r.choice(["", "ad", "content", "x"])}">' + r.choice(["", "word ", "Some words of text. " * 6])
+        page = html_text.Page(source)
+        n = len(page.tags)
+        unary = [[sum(page_model[x][y] for x in found if x in page_model) for y in (0, 1)] for found in page.features()]
+        total, yes = 0.0, [0.0] * n
+        for labels in itertools.product((0, 1), repeat=n):
+            w = -2.0 * labels[0]
+            for e, y in enumerate(labels):
+                w += unary[e][y]
+                if e:
+                    w += page_model["pair", f"{page.kind(e)} {labels[page.parents[e]]}"][y]
+            w = math.exp(w)
+            total += w
+            yes = [v + w * y for v, y in zip(yes, labels)]
+        assert html_text.marginals(page, page_model) == pytest.approx([v / total for v in yes], abs=1e-9)
+
+
+def test_text_does_not_hang_on_marks(page_model, some_pages):
+    import re
+
+    def neutral(source, also_article):
+        for a, b in [("<nav>", "<div>"), ("</nav>", "</div>"), ("<footer>", "<div>"), ("</footer>", "</div>"), (' class="ad"', "")]:
+            source = source.replace(a, b)
+        return source.replace("<article>", "<div>").replace("</article>", "</div>") if also_article else source
+
+    want = [brute.article(x) for x in some_pages]
+    assert [extracted(x, page_model) for x in some_pages] == want
+    assert [extracted(neutral(x, False), page_model) for x in some_pages] == want
+    right = sum(extracted(neutral(x, True), page_model) == w for x, w in zip(some_pages, want))
+    assert right >= 0.9 * len(want)
+    changed = sum(extracted(neutral(x, True), page_model) != extracted(neutral(x, True), page_model, False) for x in some_pages)
+    assert changed > 0.5 * len(want)  # what messages do
+    for word in ("social", "comment", "search", "legal", "related", "share"):  # on a paragraph, a word is a hint
+        marked = [re.sub(r"(<article><h1>.*?</h1>)<p>", rf'\1<p class="{word}">', x, flags=re.S) for x in some_pages[:40]]
+        assert marked[0] != some_pages[0]
+        assert [extracted(x, page_model) for x in marked] == want[:40]
+    inside = ('<div class="ad">Buy it now.</div><aside><p>Another text of some words.</p></aside><form><p>Send a letter.</p></form>'
+              '<section class="comments"><h3>Comments</h3><div class="comment"><p>Very good, thanks.</p></div></section>')
+    assert [extracted(x.replace("</article>", inside + "</article>"), page_model) for x in some_pages[:40]] == want[:40]
+
+
+def test_html_without_labelled_pages(spark):
+    """The expectations alone, and no article element."""
+    model = html_text.train(spark.createDataFrame([("<p>x",)], "html string"))
+    page = ('<body><div class="sidebar"><p>' + "related " * 90 + "</p></div><div>" + ("<p>" + "Main text, a sentence of words. " * 9 + "</p>") * 4 + "</div></body>")
+    assert extracted(page, model) == "\n".join([("Main text, a sentence of words. " * 9).strip()] * 4)
 
 
 def test_words_are_encoded_as_the_library_does():
