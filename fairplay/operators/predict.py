@@ -214,7 +214,7 @@ def regressor(kind: str, target: str, features: str = "features", label: str = "
                             featuresCol=features, labelCol=label, seed=42, cacheNodeIds=True)
     if kind == "random_forest":
         trees, depth, leaf = FOREST[target]
-        return RandomForestRegressor(numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf,
+        return RandomForestRegressor(numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, maxMemoryInMB=1024,
                                      featuresCol=features, labelCol=label, seed=42)
     if kind == "linear":
         form, alpha = LINEAR_ALPHA[target]
