@@ -10,11 +10,8 @@ trailing 3/5/10-game form of each player) to make them checkable in SQL.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -263,52 +260,3 @@ def importance(model, feature_names: Sequence[str], k: int = 20) -> list[tuple[s
     imp = model.featureImportances.toArray()
     pairs = sorted(zip(feature_names, imp), key=lambda p: (-p[1], p[0]))
     return [(f, float(v)) for f, v in pairs[:k]]
-
-
-def cv_score(est, data: DataFrame, folds: int = 5, label: str = "label",
-             order_col: str = "_order") -> tuple[float, float]:
-    """M7: contiguous (unshuffled) folds; mean and std (ddof 0) of -MSE."""
-    n = data.count()
-    idx = ordered_index(data, [], [order_col], name="_i")
-    fold = F.least(F.floor((F.col("_i") - 1) * folds / F.lit(n)), F.lit(folds - 1)).cast("int")
-    x = idx.withColumn("fold", fold)
-    cv = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(),
-                        evaluator=RegressionEvaluator(labelCol=label, metricName="mse"),
-                        foldCol="fold", collectSubModels=False, parallelism=2)
-    m = cv.fit(x)
-    import numpy as np
-
-    scores = -np.array(m.avgMetrics)  # one grid point
-    std = float(np.array(m.stdMetrics)[0]) if hasattr(m, "stdMetrics") and m.stdMetrics else 0.0
-    return float(scores[0]), std
-
-
-def expanding_folds(data: DataFrame, order_col: str, folds: int = 3) -> DataFrame:
-    """M6 folds: fold f trains on blocks 0..f and validates on block f+1."""
-    n = data.count()
-    idx = ordered_index(data, [], [order_col], name="_i")
-    return idx.withColumn("block", F.least(F.floor((F.col("_i") - 1) * (folds + 1) / F.lit(n)),
-                                           F.lit(folds)).cast("int"))
-
-
-def grid_search(make, grid: Sequence[dict], data: DataFrame, folds: int = 3,
-                label: str = "label", threads: int = 4) -> list[tuple[dict, float]]:
-    """M6: each (grid point, expanding fold) fit in a thread pool; score = mean -MSE."""
-    data = data.cache()
-    ev = RegressionEvaluator(labelCol=label, metricName="mse")
-
-    def one(args):
-        params, f = args
-        train = data.where(F.col("block") <= f)
-        val = data.where(F.col("block") == f + 1)
-        model = make(**params).fit(train)
-        return params, f, -ev.evaluate(model.transform(val))
-
-    jobs = [(p, f) for p in grid for f in range(folds)]
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        results = list(pool.map(one, jobs))
-    out = []
-    for p in grid:
-        vals = [s for q, _, s in results if q is p]
-        out.append((p, sum(vals) / len(vals)))
-    return sorted(out, key=lambda t: -t[1])

@@ -84,6 +84,7 @@ def load_all() -> dict[str, Entry]:
         jobs_rules,
         jobs_runs,
         jobs_text,
+        jobs_tuning,
     )
     return CATALOG
 
