@@ -13,7 +13,7 @@ from functools import reduce
 from operator import and_, or_
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +27,7 @@ UPDATE_COLUMNS = ["position", "appearances", "fouls", "fouls_drawn", "yellow_car
 def merge_rows(target: DataFrame, updates: DataFrame, keys: Sequence[str] = UPSERT_KEYS,
                update_cols: Sequence[str] | None = None,
                keep_cols: Sequence[str] = ()) -> DataFrame:
-    """Insert-or-update on ``keys`` (the logical MERGE).
+    """Insert-or-update on ``keys`` (the logical MERGE); a null key equals a null key.
 
     A matched row takes every ``update_cols`` value from the update, nulls
     included (as ``EXCLUDED.col`` does); ``keep_cols`` keep the stored value
@@ -35,10 +35,11 @@ def merge_rows(target: DataFrame, updates: DataFrame, keys: Sequence[str] = UPSE
     """
     cols = [c for c in target.columns if c not in keys]
     update_cols = [c for c in (update_cols or cols) if c in updates.columns]
-    t = target.select(*keys, *[F.col(c).alias(f"__t_{c}") for c in cols], F.lit(True).alias("__t"))
-    u = updates.select(*keys, *[F.col(c).alias(f"__u_{c}") for c in update_cols],
+    t = target.select(*[F.col(k).alias(f"__tk_{k}") for k in keys], *[F.col(c).alias(f"__t_{c}") for c in cols], F.lit(True).alias("__t"))
+    u = updates.select(*[F.col(k).alias(f"__uk_{k}") for k in keys], *[F.col(c).alias(f"__u_{c}") for c in update_cols],
                        F.lit(True).alias("__u"))
-    j = t.join(u, list(keys), "full_outer")
+    j = t.join(u, reduce(and_, [F.col(f"__tk_{k}").eqNullSafe(F.col(f"__uk_{k}")) for k in keys]), "full_outer")
+    found = [F.coalesce(f"__tk_{k}", f"__uk_{k}").alias(k) for k in keys]
     out = []
     for c in cols:
         told = F.col(f"__t_{c}")
@@ -49,7 +50,7 @@ def merge_rows(target: DataFrame, updates: DataFrame, keys: Sequence[str] = UPSE
         else:
             v = told
         out.append(v.alias(c))
-    return j.select(*keys, *out).select(*target.columns)
+    return j.select(*found, *out).select(*target.columns)
 
 
 def one_per_key(updates: DataFrame, keys: Sequence[str], order_by: Sequence[str] | None = None,
@@ -81,6 +82,23 @@ def stored_table(spark: SparkSession, path: str, partition_types: dict[str, T.Da
     return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
+def _touches(rows: list, columns: list[str]) -> Column:
+    """The rows' partitions: one term per value of all columns but the last, whose values are listed."""
+    *outer, last = columns
+    values: dict[tuple, list] = {}
+    for r in rows:
+        values.setdefault(tuple(r[c] for c in outer), []).append(r[last])
+
+    def term(named: tuple, listed: list) -> Column:
+        known = [v for v in listed if v is not None]
+        inner = F.col(last).isin(known) if known else F.lit(False)
+        if len(known) < len(listed):
+            inner = inner | F.col(last).isNull()
+        return reduce(and_, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(outer, named, strict=True)], inner)
+
+    return reduce(or_, [term(named, listed) for named, listed in values.items()])
+
+
 def upsert_to_path(spark: SparkSession, path: str, updates: DataFrame,
                    keys: Sequence[str] = UPSERT_KEYS,
                    partition_cols: Sequence[str] = ("league", "season"),
@@ -93,7 +111,8 @@ def upsert_to_path(spark: SparkSession, path: str, updates: DataFrame,
     their values (null in new rows); columns that only the batch has are added. Of
     several updates of a key the last by ``order_by`` counts (``last=False``: the
     first). The values of the touched partitions become a partition predicate, so only
-    these are read. The rewrite is per partition, each replaced as a whole.
+    these are read. The rewrite is per partition, each replaced as a whole when the job
+    commits: a batch that fails before leaves the stored table as it was.
     """
     batch = one_per_key(updates, keys, order_by, last)
     touched = batch.select(*partition_cols).distinct().collect()  # partitions of one batch
@@ -107,8 +126,7 @@ def upsert_to_path(spark: SparkSession, path: str, updates: DataFrame,
         for c in updates.columns:
             if c not in current.columns:
                 current = current.withColumn(c, F.lit(None).cast(updates.schema[c].dataType))
-        named = lambda row: reduce(and_, [F.col(c).eqNullSafe(F.lit(row[c])) for c in partition_cols])
-        scope = current.where(reduce(or_, map(named, touched)))
+        scope = current.where(_touches(touched, list(partition_cols)))
         # Materialise the merged partitions before overwriting the files they
         # were read from (lineage must not point at the files being replaced).
         merged = cut_lineage(merge_rows(scope, batch, keys, update_cols, keep_cols))
