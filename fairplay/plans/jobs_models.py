@@ -341,6 +341,18 @@ def a03_local_outlier_factor(spark, sf_dir):
     return AN.flag_lowest(scored, CONTAMINATION).select("id", "lof", "score", "is_anomaly")
 
 
+@job("a03_lof_values", _views(VECTOR_SQL) + """,
+nn AS (SELECT id, nid, d FROM dist QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, nid) <= 20),
+kd AS (SELECT id, max(d) AS kd FROM nn GROUP BY id),
+lrd AS (SELECT nn.id, 1.0::DOUBLE / (avg(greatest(nn.d, kd.kd)) + 1e-10::DOUBLE) AS lrd FROM nn JOIN kd ON kd.id = nn.nid GROUP BY nn.id)
+SELECT nn.id, avg(n.lrd) / any_value(o.lrd) AS lof FROM nn JOIN lrd n ON n.id = nn.nid JOIN lrd o ON o.id = nn.id GROUP BY nn.id""", doubles=["lof"])
+def a03_lof_values(spark, sf_dir):
+    """A3: the factor of every player, from exact neighbours."""
+    from fairplay.operators.neighbors import local_outlier_factor
+
+    return local_outlier_factor(_profile_points(spark, sf_dir), k=20).select("id", "lof")
+
+
 A_SQL = {"scores": f"SELECT id, -max(abs(value)) AS score, -max(abs(value)) < -{Z_CUT} AS is_anomaly FROM std GROUP BY id"}
 
 

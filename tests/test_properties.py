@@ -120,7 +120,7 @@ def test_dbscan_equals_brute_force_on_embeddings(spark):
 
 def test_knn_exact(spark):
     df = blobs(spark, n_per=30)
-    nn = NB.knn(df, 5, cell=1.0).collect()
+    nn = NB.knn(df, 5).collect()
     x = {r.id: np.array(r.x) for r in df.collect()}
     ids = sorted(x)
     for i in ids[:20]:
