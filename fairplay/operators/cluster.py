@@ -379,6 +379,35 @@ def assign_nearest(vectors: DataFrame, centres: Sequence[tuple[int, Sequence[flo
     return vectors.withColumn("prediction", best["label"])
 
 
+def centre_table(vectors: DataFrame, labels: DataFrame, features: str = "features") -> list[tuple[int, list[float]]]:
+    """The mean vector of each cluster (noise excluded), a row per cluster; in order of the label."""
+    from pyspark.ml.stat import Summarizer
+
+    rows = (vectors.join(labels.where(F.col("label") != NOISE), "id").groupBy("label")
+            .agg(Summarizer.mean(F.col(features)).alias("centre")).orderBy("label").collect())
+    return [(r["label"], r["centre"].toArray().tolist()) for r in rows]
+
+
+def assign_to_clusters(vectors: DataFrame, fitted: DataFrame, labels: DataFrame, features: str = "features") -> DataFrame:
+    """K12, density form: ``vectors`` with ``prediction``, the cluster of ``labels`` (over the ids of
+    ``fitted``) whose centre is nearest; noise where there is no cluster."""
+    centres = centre_table(fitted, labels, features)
+    return assign_nearest(vectors, centres, features) if centres else vectors.withColumn("prediction", F.lit(NOISE))
+
+
+def pca_scatter(vectors: DataFrame, labels: DataFrame, k: int = 2, features: str = "features") -> DataFrame:
+    """(kind, id, label, pc1.., ratio1..): the points, and the clusters' centres, in the plane of
+    the first components, with each component's share of the variance. The projection is linear,
+    so a centre's image is the mean of its points' images."""
+    projected, ratios = pca_projection(vectors, k, features)
+    pcs = [f"pc{j + 1}" for j in range(k)]
+    points = projected.select("id", *pcs).join(labels, "id", "left")
+    marks = points.where(F.col("label") != NOISE).groupBy("label").agg(*[F.avg(c).alias(c) for c in pcs])
+    rows = points.select(F.lit("point").alias("kind"), "id", "label", *pcs).unionByName(
+        marks.select(F.lit("centre").alias("kind"), F.lit(None).cast(dict(points.dtypes)["id"]).alias("id"), "label", *pcs))
+    return rows.withColumns({f"ratio{j + 1}": F.lit(float(r)) for j, r in enumerate(ratios)})
+
+
 def pca_projection(vectors: DataFrame, k: int = 2, features: str = "features"):
     """Standardise (mean 0), PCA with k components, sign fixed so the largest
     absolute loading of each component is positive. Returns (projected, variance ratio)."""

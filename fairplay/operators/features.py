@@ -289,13 +289,14 @@ def feature_scores(df: DataFrame, target: str, features: Sequence[str]) -> DataF
 
 def select_features(df: DataFrame, target: str, k: int = 50,
                     id_cols: Sequence[str] = ("player_id", "player_name", "team", "league",
-                                              "season")) -> tuple[DataFrame, list[str]]:
+                                              "season"), scored_on: Column | None = None) -> tuple[DataFrame, list[str]]:
     """keep the k best-scoring numeric features + target + ids.
 
-    Only the k feature names (column-count sized) reach the driver.
+    ``scored_on``: the rows that the scores are taken from (all, if not given). Only the k
+    feature names (column-count sized) reach the driver.
     """
     features = numeric_feature_columns(df, target)
-    scores = feature_scores(df, target, features)
+    scores = feature_scores(df if scored_on is None else df.where(scored_on), target, features)
     keep = [r.feature for r in scores.where(F.col("rank") <= k).orderBy("rank").collect()]
     ids = [c for c in id_cols if c in df.columns]
     return df.select(*ids, *keep, target), keep
@@ -379,7 +380,7 @@ def create_all_features(df: DataFrame, target: str = "fouls", k: int = 50,
     """F1..F22 then a repeatable 80/20 split.
 
     Returns (frame with ``split`` column, fitted encoder model, scaler state,
-    selected feature names). Encoders and scaler are fitted on the train rows.
+    selected feature names). Encoders, scaler and selection are fitted on the train rows.
     """
     feats = season_features(df).withColumn("split", split_flag(id_cols))
     train = feats.where(F.col("split") == "train")
@@ -389,7 +390,7 @@ def create_all_features(df: DataFrame, target: str = "fouls", k: int = 50,
     state = fit_scaler(feats.where(F.col("split") == "train"), cols)
     feats = scale(feats, state, cols)
     selected, keep = select_features(feats, target, k,
-                                     id_cols=("player_id", *id_cols, "split"))
+                                     id_cols=("player_id", *id_cols, "split"), scored_on=F.col("split") == "train")
     return selected, enc, state, keep
 
 

@@ -176,17 +176,92 @@ def _sanitize_value(v):
     return v
 
 
+_JSON_TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\.)*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?'
+                         r'|true|false|null|NaN|-?Infinity)(?![A-Za-z0-9_.]))')
+
+
+def _deep_value(text: str):
+    """The value of a JSON text of any depth: a walk over its tokens with a stack of open containers."""
+    stack: list[tuple] = []  # (container, key that waits for its value)
+    at, expect, key = 0, "value", None
+    end = len(text.rstrip(" \t\n\r"))
+    while True:
+        m = _JSON_TOKEN.match(text, at, end)
+        if not m:
+            raise ValueError(f"no JSON token at {at}")
+        at = m.end()
+        mark, string, scalar = m.groups()
+        if expect == "colon":
+            if mark != ":":
+                raise ValueError("no colon")
+            expect = "value"
+            continue
+        if expect in ("key", "key or end") and string:
+            key, expect = json.loads(string), "colon"
+            continue
+        if expect.startswith("value") and (string or scalar or mark in ("{", "[")):
+            if mark:
+                stack.append(({} if mark == "{" else [], key))
+                expect = "key or end" if mark == "{" else "value or end"
+                continue
+            value = json.loads(string or scalar)
+        elif mark == "," and expect == "comma" and stack:
+            expect = "key" if isinstance(stack[-1][0], dict) else "value"
+            continue
+        elif stack and expect in ("comma", "key or end", "value or end") and mark == ("}" if isinstance(stack[-1][0], dict) else "]"):
+            value, key = stack.pop()
+        else:
+            raise ValueError(f"unexpected token before {at}")
+        if not stack:
+            if at != end:
+                raise ValueError("more than one value")
+            return value
+        inside = stack[-1][0]
+        if isinstance(inside, dict):
+            inside[key] = value
+        else:
+            inside.append(value)
+        expect = "comma"
+
+
+def _deep_text(value) -> str:
+    """Sanitised JSON text of a value of any depth."""
+    out: list[str] = []
+    todo: list = [value]  # values, and texts (marked by a tuple) that stand between them
+    while todo:
+        v = todo.pop()
+        if isinstance(v, tuple):
+            out.append(v[0])
+        elif isinstance(v, dict):
+            parts: list = [("{",)]
+            for i, (k, x) in enumerate({_sanitize_py(k): x for k, x in v.items()}.items()):
+                parts += [((", " if i else "") + json.dumps(k, ensure_ascii=False) + ": ",), x]
+            todo += reversed([*parts, ("}",)])
+        elif isinstance(v, list):
+            parts = [("[",)]
+            for i, x in enumerate(v):
+                parts += [(", ",), x] if i else [x]
+            todo += reversed([*parts, ("]",)])
+        else:
+            out.append(json.dumps(_sanitize_value(v), ensure_ascii=False))
+    return "".join(out)
+
+
 @F.pandas_udf(T.StringType())
 def json_sanitize(docs: pd.Series) -> pd.Series:
-    """C8 applied to every key and string leaf; JSON that is invalid or nested
-    beyond what the parser takes -> null."""
+    """C8 applied to every key and string leaf, at any depth; invalid JSON -> null."""
     def one(d):
         if d is None:
             return None
         try:
             return json.dumps(_sanitize_value(json.loads(d)), ensure_ascii=False)
-        except (ValueError, RecursionError):
+        except ValueError:
             return None
+        except RecursionError:  # deeper than the parser goes
+            try:
+                return _deep_text(_deep_value(d))
+            except ValueError:
+                return None
     return docs.map(one)
 
 

@@ -276,6 +276,33 @@ def k03_dbscan_core(spark, sf_dir):
     return k03_dbscan(spark, sf_dir).select("id", "is_core", (F.col("label") == -1).alias("is_noise"))
 
 
+@job("k12_assign_nearest", _views({**VECTOR_SQL, "cents": "SELECT l.label, feature, avg(value) AS c FROM std JOIN labels l ON std.id = l.id WHERE l.label <> -1 GROUP BY l.label, feature",
+     "far": "SELECT std.id, cents.label, sum((value - c) * (value - c)) AS d FROM std JOIN cents USING (feature) GROUP BY std.id, cents.label"}) + """
+SELECT id, CAST(label AS INTEGER) AS prediction FROM far QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, label) = 1""")
+def k12_assign_nearest(spark, sf_dir):
+    """The nearest cluster centre of every player, for the given labelling."""
+    prof = cut_lineage(_profiles(spark, sf_dir))
+    vec = CL.assemble(CL.scale_wide(prof, FEATS).withColumnRenamed("player_id", "id"), FEATS)
+    return CL.assign_to_clusters(vec, vec, _labels_from_profiles(prof)).select("id", F.col("prediction").cast("int").alias("prediction"))
+
+
+@job("k12_density_assignment")
+def k12_density_assignment(spark, sf_dir):
+    """The players that the density clustering leaves out, and all others, by nearest density centre."""
+    vec = cut_lineage(_vectors(spark, sf_dir))
+    found = k03_dbscan(spark, sf_dir).select("id", "label")
+    return CL.assign_to_clusters(vec, vec, found).select("id", F.col("prediction").cast("long").alias("prediction")).join(
+        found.withColumnRenamed("label", "density_label"), "id")
+
+
+@job("k13_pca_scatter")
+def k13_pca_scatter(spark, sf_dir):
+    """Points, centres and variance ratio in the plane of the first two components."""
+    prof = cut_lineage(_profiles(spark, sf_dir))
+    vec = CL.assemble(CL.scale_wide(prof, FEATS).withColumnRenamed("player_id", "id"), FEATS)
+    return CL.pca_scatter(vec, _labels_from_profiles(prof))
+
+
 @job("k04_hierarchical")
 def k04_hierarchical(spark, sf_dir):
     vec = _vectors(spark, sf_dir)
