@@ -55,9 +55,12 @@ def main() -> int:
     runs = int(os.environ.get("BENCH_RUNS", "1"))
     budget = float(os.environ.get("BENCH_BUDGET", "1500"))
     names = sys.argv[1:] or HEADLINE
-    sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+    here = os.path.dirname(os.path.abspath(__file__))
+    sys.path.insert(0, here)
+    os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [here, os.environ.get("PYTHONPATH")]))  # for the workers
     times: dict[str, float] = {}
     rows: dict[str, int] = {}
+    failed: dict[str, str] = {}
     began = time.perf_counter()
 
     def report() -> None:
@@ -65,7 +68,8 @@ def main() -> int:
         print(json.dumps({
             "metric": "headline_jobs_total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
             "rows_out": rows, "sf": float(m.group(1)) if m else sf_dir, "cpus": int(cpus), "runs": runs,
-            "not_run": [n for n in names if n not in times]}), flush=True)
+            "failed": failed,
+            "not_run": [n for n in names if n not in times and n not in failed]}), flush=True)
 
     def ended(*_) -> None:
         report()
@@ -80,8 +84,12 @@ def main() -> int:
     for name in names:
         if time.perf_counter() - began > budget:
             break
-        measured(spark, catalog[name].build, small_dir(sf_dir))
-        samples = [measured(spark, catalog[name].build, sf_dir) for _ in range(runs)]
+        try:
+            measured(spark, catalog[name].build, small_dir(sf_dir))
+            samples = [measured(spark, catalog[name].build, sf_dir) for _ in range(runs)]
+        except Exception as e:  # told in the line; the other jobs still count
+            failed[name] = repr(e)[:200]
+            continue
         times[name], rows[name] = round(statistics.median(t for t, _ in samples), 3), samples[0][1]
         print(f"{name}: {times[name]} s, {rows[name]} rows", file=sys.stderr, flush=True)
     report()
