@@ -222,6 +222,12 @@ def top_players(pm: DataFrame, k: int = 5) -> DataFrame:
             fixed(F.col("fouls") / F.col("matches"), 1)).alias("fouls_per_match"))
 
 
+def match_status(today: Column, date_col: str = "match_date") -> Column:
+    """Status of a match on the day ``today``."""
+    d = F.to_date(date_col)
+    return F.when(d > today, "scheduled").when(d == today, "live").otherwise("finished")
+
+
 def matches(pm: DataFrame, today=None, team_names: DataFrame | None = None) -> DataFrame:
     """Match table (one row per match) with status relative to ``today``.
 
@@ -249,10 +255,7 @@ def matches(pm: DataFrame, today=None, team_names: DataFrame | None = None) -> D
         today_col = F.col("_today")
     else:
         today_col = F.lit(today).cast("date")
-    d = F.to_date("match_date")
-    status = (F.when(d > today_col, "scheduled").when(d == today_col, "live")
-              .otherwise("finished"))
-    out = per_match.withColumn("status", status)
+    out = per_match.withColumn("status", match_status(today_col))
     if team_names is not None:
         names = bounded_broadcast(team_names)
         out = (out.join(names.select(F.col("team_id").alias("home_team_id"),
@@ -376,14 +379,17 @@ PERIOD_DAYS = {"7d": 7, "30d": 30, "90d": 90, "1y": 365}
 
 def trailing_period(pm: DataFrame, period: str = "30d",
                     metrics: Sequence[str] = ("fouls", "yellow_cards", "red_cards"),
-                    date_col: str = "match_date") -> DataFrame:
+                    date_col: str = "match_date", anchor=None) -> DataFrame:
     """Q21: totals over [anchor - n, anchor] and [anchor - 2n, anchor - n), change %.
 
-    anchor = latest date. Two conditional aggregates in one pass.
+    anchor = latest date, or a date literal that the caller knows to be it (then ``pm``
+    needs no rows before anchor - 2n). Two conditional aggregates in one pass.
     """
     n = PERIOD_DAYS[period]
-    anchor = pm.agg(F.max(F.to_date(date_col)).alias("_anchor"))
-    x = attach_scalar(pm.select(date_col, *metrics), anchor)
+    if anchor is None:
+        x = attach_scalar(pm.select(date_col, *metrics), pm.agg(F.max(F.to_date(date_col)).alias("_anchor")))
+    else:
+        x = pm.select(date_col, *metrics, F.lit(anchor).cast("date").alias("_anchor"))
     d = F.to_date(date_col)
     cur = (d >= F.date_sub("_anchor", n)) & (d <= F.col("_anchor"))
     prev = (d >= F.date_sub("_anchor", 2 * n)) & (d < F.date_sub("_anchor", n))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from fairplay.operators import queries as Q
@@ -35,6 +37,12 @@ def _matches(spark, sf_dir):
     return Q.matches(_pm(spark, sf_dir), team_names=_team_names(spark, sf_dir))
 
 
+def _today(spark, sf_dir):
+    """The date of the latest match, from the newest orders (None: there is none)."""
+    heads = TB.match_heads(spark, sf_dir, TB.since_newest(spark, sf_dir))
+    return heads.agg(F.max(F.to_date("match_date"))).first()[0]
+
+
 SEASON_COLS = ", ".join(Q.SEASON_COLUMNS)
 
 MATCHES_SQL = """
@@ -203,7 +211,13 @@ def q12_top_players(spark, sf_dir):
 @job("q13_recent_matches", MATCHES + """
 SELECT * FROM matches ORDER BY match_date DESC, match_id DESC LIMIT 5""")
 def q13_recent_matches(spark, sf_dir):
-    return Q.recent_matches(_matches(spark, sf_dir), 5)
+    """The newest matches are chosen by their dates; lines are read and added up for these alone."""
+    k = 5
+    heads = TB.match_heads(spark, sf_dir, TB.since_newest(spark, sf_dir, k))
+    newest = heads.orderBy(F.col("match_date").desc(), F.col("match_id").desc()).limit(k).collect()  # k rows
+    today = newest[0].match_date.date() if newest else None
+    pm = TB.player_match(spark, sf_dir, match_ids=[r.match_id for r in newest])
+    return Q.recent_matches(Q.matches(pm, today, _team_names(spark, sf_dir)), k)
 
 
 @job("q14_match_stats", MATCHES + """
@@ -219,7 +233,14 @@ FROM (SELECT * FROM matches WHERE status = 'finished' AND (home_team_id = 3 OR a
      (SELECT count(*) AS total, CAST(ceil(count(*) / 10) AS BIGINT) AS total_pages FROM matches
       WHERE status = 'finished' AND (home_team_id = 3 OR away_team_id = 3)) t""")
 def q15_list_matches(spark, sf_dir):
-    return Q.list_matches(_matches(spark, sf_dir), status="finished", team_id=3, page=2)
+    """The page and its totals come from the matches' heads; lines are added up for the page alone."""
+    today = _today(spark, sf_dir)
+    heads = TB.match_heads(spark, sf_dir).withColumn("status", Q.match_status(F.lit(today).cast("date")))
+    page = Q.list_matches(heads, status="finished", team_id=3, page=2).select("match_id", "total", "total_pages", "page")
+    rows = page.collect()  # at most the ten rows of the page
+    pm = TB.player_match(spark, sf_dir, match_ids=[r.match_id for r in rows])
+    totals = F.broadcast(spark.createDataFrame(rows, page.schema))
+    return Q.matches(pm, today, _team_names(spark, sf_dir)).join(totals, "match_id")
 
 
 _TEAM_SEASON = """
@@ -296,7 +317,13 @@ SELECT *, (fouls_current - fouls_previous) / CAST(nullif(fouls_previous, 0) AS D
        '90d' AS period
 FROM s""", doubles=["fouls_change_pct", "yellow_cards_change_pct", "red_cards_change_pct"])
 def q21_trailing_period(spark, sf_dir):
-    return Q.trailing_period(_pm(spark, sf_dir), "90d")
+    """The dates of both periods reach the scan of orders; other lines are not aggregated."""
+    period = "90d"
+    today = _today(spark, sf_dir)
+    if today is None:
+        return Q.trailing_period(_pm(spark, sf_dir), period)
+    since = datetime.combine(today, datetime.min.time()) - timedelta(days=2 * Q.PERIOD_DAYS[period])
+    return Q.trailing_period(TB.player_match(spark, sf_dir, since=since), period, anchor=today)
 
 
 @job("q22_chart_series", with_views("player_match", extra={"d": """

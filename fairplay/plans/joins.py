@@ -38,6 +38,12 @@ def bounded_broadcast(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     return df
 
 
+def counted_broadcast(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
+    """``broadcast(df)`` only if its counted rows fit the limit (for filtered sides, whose
+    estimate is the size of the unfiltered table)."""
+    return F.broadcast(df) if rows * row_bytes <= broadcast_limit(df) else df
+
+
 def salt_column(n_salts: int, *seed_cols: str):
     """Deterministic salt in [0, n_salts) from row columns (repeatable on retry)."""
     return F.pmod(F.xxhash64(*[F.col(c) for c in seed_cols]), F.lit(n_salts))

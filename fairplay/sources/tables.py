@@ -18,10 +18,13 @@ behind a size check.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairplay.plans.joins import bounded_broadcast
+from fairplay.plans.joins import bounded_broadcast, counted_broadcast
 from fairplay.plans.windows import ordered_index
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -42,8 +45,14 @@ def position_of_segment(segment: Column) -> Column:
             .otherwise("DF,MF"))
 
 
-def _order_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _order_counters(spark: SparkSession, sf_dir: str, match_ids: Sequence[int] | None = None,
+                    orders: DataFrame | None = None) -> DataFrame:
+    """Counters per order; of the given ids or ``orders`` (a checked side) only, where given."""
     li = read_table(spark, sf_dir, "lineitem")
+    if match_ids is not None:
+        li = li.where(F.col("l_orderkey").isin(list(match_ids)))
+    if orders is not None:
+        li = li.join(orders.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     return li.groupBy("l_orderkey").agg(
         F.sum("l_linenumber").alias("appearances"),
         F.sum(F.round(F.col("l_discount") * 100).cast("bigint")).alias("fouls"),
@@ -76,23 +85,71 @@ def _players(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def player_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical player x match table (one row per order)."""
-    counters = _order_counters(spark, sf_dir)
+def _orders(spark: SparkSession, sf_dir: str, since: datetime | None = None) -> DataFrame:
+    """Orders of that time or later (a predicate of the scan); a few are broadcast by count."""
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    if since is None:
+        return orders
+    orders = orders.where(F.col("o_orderdate") >= F.lit(since).cast("timestamp_ntz"))
+    return counted_broadcast(orders, orders.count())
+
+
+def _sides() -> list[Column]:
+    """(home_team_id, away_team_id): the player's team plays home in even matches."""
+    other = F.pmod(F.col("team_id") + 1, F.lit(25))
+    home = F.pmod(F.col("o_orderkey"), F.lit(2)) == 0
+    return [F.when(home, F.col("team_id")).otherwise(other).alias("home_team_id"),
+            F.when(home, other).otherwise(F.col("team_id")).alias("away_team_id")]
+
+
+def match_heads(spark: SparkSession, sf_dir: str, since: datetime | None = None) -> DataFrame:
+    """(match_id, match_date, home_team_id, away_team_id) of every match of ``player_match``,
+    without its counters: of the lines only the key column is read."""
+    orders = _orders(spark, sf_dir, since)
+    lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey")
+    if since is not None:  # few orders: sent to the lines, whose keys need no shuffle of all
+        lines = lines.join(orders.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").distinct()
+    players = bounded_broadcast(_players(spark, sf_dir).select("player_id", "team_id"))
+    heads = orders.join(players, F.col("o_custkey") == F.col("player_id"))
+    heads = heads.select(F.col("o_orderkey").alias("match_id"), F.col("o_orderdate").alias("match_date"), *_sides())
+    return heads.join(lines, F.col("match_id") == F.col("l_orderkey"), "left_semi")
+
+
+def since_newest(spark: SparkSession, sf_dir: str, k: int = 1) -> datetime | None:
+    """A time from which on there are at least ``k`` matches; None: all must be read.
+
+    Starts at the newest day and widens the span fourfold until it holds k matches, so
+    only the newest days are joined. No more than three numbers reach the driver per turn.
+    """
+    dates = read_table(spark, sf_dir, "orders").agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b")).first()
+    if dates.b is None:
+        return None
+    span = timedelta(days=1)
+    while dates.b - span > dates.a:
+        if match_heads(spark, sf_dir, dates.b - span).limit(k).count() >= k:
+            return dates.b - span
+        span *= 4
+    return None
+
+
+def player_match(spark: SparkSession, sf_dir: str, match_ids: Sequence[int] | None = None,
+                 since: datetime | None = None) -> DataFrame:
+    """Canonical player x match table (one row per order); of the given matches, or of that
+    time and later, only: both reach the scans, and other lines are not aggregated."""
+    orders = _orders(spark, sf_dir, since)
+    if match_ids is not None:
+        orders = orders.where(F.col("o_orderkey").isin(list(match_ids)))
+    counters = _order_counters(spark, sf_dir, match_ids, orders if since is not None else None)
     matches = counters.join(orders, counters.l_orderkey == orders.o_orderkey)
     players = bounded_broadcast(_players(spark, sf_dir))
     pm = matches.join(players, matches.o_custkey == players.player_id)
-    other = F.pmod(F.col("team_id") + 1, F.lit(25))
-    home = F.pmod(F.col("o_orderkey"), F.lit(2)) == 0
     return pm.select(
         "player_id", "player_name",
         F.col("o_orderkey").alias("match_id"),
         F.col("o_orderdate").alias("match_date"),
         F.year("o_orderdate").alias("season_start_year"),
         "team_id", "team", "league", "position",
-        F.when(home, F.col("team_id")).otherwise(other).alias("home_team_id"),
-        F.when(home, other).otherwise(F.col("team_id")).alias("away_team_id"),
+        *_sides(),
         "appearances", "fouls", "fouls_drawn", "yellow_cards", "red_cards", "minutes_played",
     )
 
