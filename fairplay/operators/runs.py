@@ -12,8 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairplay.plans.joins import bounded_broadcast
+from fairplay.plans.windows import ordered_index, top_k_per_group
+from fairplay.session import cut_lineage
 
-METRIC_PREFIXES = ("train_", "val_", "best_")
+METRIC_PARTS = ("train", "val", "best")
+TOP_FEATURES = 10
+STORE = ("runs", "run_metrics", "run_params", "run_tags", "model_versions")
 
 
 # ---------------------------------------------------------------- T1
@@ -53,6 +57,59 @@ def log_runs(runs: DataFrame, root: str, metrics: DataFrame, params: DataFrame |
             kv.select("run_id", "key", F.col("value").cast("string").alias("value")).write.mode("append").parquet(f"{root}/{name}")
 
 
+def training_records(fits: DataFrame, scores: DataFrame, importances: DataFrame,
+                     stored_versions: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The store's rows (by table name) for many finished fits.
+
+    ``fits``: run_id, experiment, model, target, start_time, end_time, n_features,
+    n_train_samples, n_val_samples. ``scores``: run_id, part (train, val or best), key,
+    value. ``importances``: run_id, feature, importance.
+
+    Metrics are ``<part>_<key>`` (numbers only, other parts are left out) and
+    ``feature_importance_<i>`` of the ten largest (ties by name), whose names are the
+    params ``top_feature_<i>``. Every fit is a new version of its (model, target), in order
+    of (end_time, run_id) behind the stored ones. A null sample count is no param.
+    """
+    runs = fits.select("run_id", "experiment", F.concat_ws("_", "model", "target").alias("name"),
+                       F.lit("FINISHED").alias("status"), "start_time", "end_time")
+    kept = scores.where(F.col("part").isin(*METRIC_PARTS)).select(
+        "run_id", F.concat_ws("_", "part", "key").alias("key"), F.col("value").try_cast("double").alias("value"))
+    top = top_k_per_group(importances.where(F.col("importance").isNotNull()), ["run_id"],
+                          [F.col("importance").desc(), F.col("feature")], TOP_FEATURES, ["feature"], name="_i")
+    metrics = kept.where(F.col("value").isNotNull()).unionByName(top.select(
+        "run_id", F.concat(F.lit("feature_importance_"), F.col("_i")).alias("key"), F.col("importance").cast("double").alias("value")))
+
+    def pairs(**values) -> DataFrame:
+        entries = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in values.items()])
+        return fits.select("run_id", F.inline(entries)).where(F.col("value").isNotNull())
+
+    params = pairs(model_type=F.col("model"), target=F.col("target"), n_features=F.col("n_features"),
+                   n_train_samples=F.col("n_train_samples"), n_val_samples=F.col("n_val_samples"))
+    params = params.unionByName(top.select("run_id", F.concat(F.lit("top_feature_"), F.col("_i")).alias("key"), F.col("feature").alias("value")))
+    tags = pairs(model_category=F.lit("prediction"), target_variable=F.col("target"), algorithm=F.col("model"),
+                 training_date=F.date_format("end_time", "yyyy-MM-dd"))
+    new = ordered_index(fits.select("model", "target", "run_id", F.col("end_time").alias("created")),
+                        ["model", "target"], ["created", "run_id"], name="version")
+    if stored_versions is not None:
+        last = stored_versions.groupBy(F.col("model").alias("_m"), F.col("target").alias("_t")).agg(F.max("version").alias("_last"))
+        same = F.col("model").eqNullSafe(F.col("_m")) & F.col("target").eqNullSafe(F.col("_t"))
+        new = new.join(bounded_broadcast(last), same, "left").withColumn("version", F.col("version") + F.coalesce("_last", F.lit(0)))
+    versions = new.select("model", "target", F.col("version").cast("int").alias("version"), F.lit("None").alias("stage"),
+                          "run_id", "created", F.col("created").alias("updated"))
+    return dict(zip(STORE, (runs, metrics, params, tags, versions), strict=True))
+
+
+def log_training(spark: SparkSession, root: str, fits: DataFrame, scores: DataFrame, importances: DataFrame) -> None:
+    """Append the records of ``fits`` to the store under ``root``, versions behind the stored ones."""
+    from fairplay.sources.sinks import stored_table
+
+    stored = stored_table(spark, f"{root}/model_versions", {})
+    records = training_records(fits, scores, importances, stored)
+    versions = cut_lineage(records["model_versions"])  # read before the table that it counts from grows
+    log_runs(records["runs"], root, records["run_metrics"], records["run_params"], records["run_tags"])
+    versions.write.mode("append").parquet(f"{root}/model_versions")
+
+
 # ---------------------------------------------------------------- T2-T4
 def _with_metric(versions: DataFrame, metrics: DataFrame, metric: str) -> DataFrame:
     m = metrics.where(F.col("key") == metric).select("run_id", F.col("value").alias("metric_value"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fairplay.operators import runs as RU
 from fairplay.plans.catalog import job
 from fairplay.plans.oracle import with_views
+from fairplay.session import ensure_checkpoint_dir
 from fairplay.sources import tables as TB
 from fairplay.streaming import admission as AD
 from fairplay.streaming import live as LV
@@ -28,6 +31,64 @@ def _runs(spark, sf_dir):
 
 RUNS = with_views("runs", "run_metrics", "model_versions")
 
+_LOGGED = with_views("runs", "model_versions", extra={
+    "fit": """SELECT r.run_id, r.experiment, v.model, v.target, r.start_time, r.end_time
+  FROM runs r JOIN model_versions v ON r.run_id = v.run_id WHERE r.status = 'FINISHED'""",
+    "ln": """SELECT f.run_id, 'line-' || CAST(l_linenumber AS VARCHAR) AS feature, sum(l_extendedprice) AS importance
+  FROM lineitem JOIN fit f ON CAST(l_orderkey AS VARCHAR) = f.run_id GROUP BY ALL""",
+    "top": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY importance DESC, feature) AS i FROM ln) x WHERE i <= 10""",
+    "n": "SELECT run_id, count(*) AS nf FROM ln GROUP BY run_id",
+    "lines": "SELECT CAST(l_orderkey AS VARCHAR) AS run_id, count(*) AS nl FROM lineitem GROUP BY 1",
+    "ver": "SELECT *, row_number() OVER (PARTITION BY model, target ORDER BY end_time, run_id) AS version FROM fit"})
+
+
+@job("t01_log_training", _LOGGED + """
+SELECT 'runs' AS part, run_id, model || '_' || target AS key, CAST(NULL AS DOUBLE) AS number, 'FINISHED' AS text FROM fit
+UNION ALL SELECT 'run_metrics', f.run_id, 'val_rmse', o_totalprice / 100000.0, NULL FROM fit f JOIN orders ON CAST(o_orderkey AS VARCHAR) = f.run_id
+UNION ALL SELECT 'run_metrics', f.run_id, 'train_rmse', o_totalprice / 200000.0, NULL FROM fit f JOIN orders ON CAST(o_orderkey AS VARCHAR) = f.run_id
+UNION ALL SELECT 'run_metrics', run_id, 'feature_importance_' || CAST(i AS VARCHAR), importance, NULL FROM top
+UNION ALL SELECT 'run_params', run_id, 'top_feature_' || CAST(i AS VARCHAR), NULL, feature FROM top
+UNION ALL SELECT 'run_params', run_id, 'model_type', NULL, model FROM fit
+UNION ALL SELECT 'run_params', run_id, 'target', NULL, target FROM fit
+UNION ALL SELECT 'run_params', f.run_id, 'n_features', NULL, CAST(nf AS VARCHAR) FROM fit f JOIN n ON f.run_id = n.run_id
+UNION ALL SELECT 'run_params', f.run_id, 'n_train_samples', NULL, CAST(nl AS VARCHAR) FROM fit f JOIN lines ON f.run_id = lines.run_id
+UNION ALL SELECT 'run_tags', run_id, 'model_category', NULL, 'prediction' FROM fit
+UNION ALL SELECT 'run_tags', run_id, 'target_variable', NULL, target FROM fit
+UNION ALL SELECT 'run_tags', run_id, 'algorithm', NULL, model FROM fit
+UNION ALL SELECT 'run_tags', run_id, 'training_date', NULL, strftime(end_time, '%Y-%m-%d') FROM fit
+UNION ALL SELECT 'model_versions', run_id, model || '_' || target, CAST(version AS DOUBLE), 'None' FROM ver""", doubles=["number"])
+def t01_log_training(spark, sf_dir):
+    """T1 written and read back: every finished run with prefixed scores, its lines' prices as
+    importances (the ten largest), sample counts, tags and a version; in two batches by the
+    middle end time, so the second's versions go on behind the first's."""
+    lines = TB.read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("run_id"), "l_linenumber", "l_extendedprice")
+    importances = lines.groupBy("run_id", F.concat(F.lit("line-"), F.col("l_linenumber")).alias("feature")).agg(F.sum("l_extendedprice").alias("importance"))
+    counts = lines.groupBy("run_id").agg(F.count_distinct("l_linenumber").alias("n_features"), F.count(F.lit(1)).alias("n_train_samples"))
+    versions = _mv(spark, sf_dir).select("run_id", "model", "target")
+    fits = _runs(spark, sf_dir).where(F.col("status") == "FINISHED").join(versions, "run_id").join(counts, "run_id", "left")
+    fits = fits.withColumn("n_val_samples", F.lit(None).cast("long"))
+    price = TB.read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("run_id"), "o_totalprice")
+    scores = price.select("run_id", F.inline(F.array(*[
+        F.struct(F.lit(part).alias("part"), F.lit(key).alias("key"), value.cast("string").alias("value")) for part, key, value in [
+            ("val", "rmse", F.col("o_totalprice") / 100000.0), ("train", "rmse", F.col("o_totalprice") / 200000.0),
+            ("val", "note", F.lit("no number")), ("other", "rmse", F.lit(1.0))]])))
+    root = f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    middle = fits.agg(F.expr("timestamp_seconds(unix_seconds(min(end_time)) div 2 + unix_seconds(max(end_time)) div 2)")).first()[0]
+    for batch in (F.col("end_time") < F.lit(middle), F.col("end_time") >= F.lit(middle)):
+        some = fits.where(batch)
+        RU.log_training(spark, root, some, scores.join(some.select("run_id"), "run_id", "left_semi"),
+                        importances.join(some.select("run_id"), "run_id", "left_semi"))
+    t = {name: spark.read.parquet(f"{root}/{name}") for name in RU.STORE}
+    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    shape = {"runs": ("name", none, F.col("status")), "run_metrics": ("key", F.col("value"), text), "run_params": ("key", none, F.col("value")),
+             "run_tags": ("key", none, F.col("value")), "model_versions": (F.concat_ws("_", "model", "target"), F.col("version").cast("double"), F.col("stage"))}
+    out = None
+    for name, (key, number, words) in shape.items():
+        key = F.col(key) if isinstance(key, str) else key
+        part = t[name].select(F.lit(name).alias("part"), "run_id", key.alias("key"), number.alias("number"), words.alias("text"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
 
 @job("t02_best_version", RUNS + """
 SELECT model, target, version, metric_value FROM (
@@ -246,6 +307,19 @@ def r09_tumbling_counts(spark, sf_dir):
     return LV.tumbling_counts(_req(spark, sf_dir), "1 hour")
 
 
-@job("r09_session_counts")
+@job("r09_sliding_counts", REQ + """
+SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, endpoint, count(*) AS requests
+FROM (SELECT endpoint, time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * k AS w FROM requests, range(4) r(k)) x
+GROUP BY ALL""")
+def r09_sliding_counts(spark, sf_dir):
+    return LV.sliding_counts(_req(spark, sf_dir), "1 hour", "15 minutes")
+
+
+@job("r09_session_counts", REQ + """
+SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, client, count(*) AS requests
+FROM (SELECT *, sum(opens) OVER (PARTITION BY client ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS no
+      FROM (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY client ORDER BY ts, event_id) + INTERVAL 30 MINUTE
+                           THEN 0 ELSE 1 END AS opens FROM requests) a) b
+GROUP BY client, no""")
 def r09_session_counts(spark, sf_dir):
     return LV.session_counts(_req(spark, sf_dir), "30 minutes")

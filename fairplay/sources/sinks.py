@@ -136,14 +136,30 @@ def upsert_to_path(spark: SparkSession, path: str, updates: DataFrame,
     return n
 
 
+#: Spark's default text forms of times stop at milliseconds.
+TIME_FORMATS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def export_csv(df: DataFrame, path: str) -> None:
-    """CSV with header (one folder of part files)."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV with header (one folder of part files); quotes inside values are doubled
+    and times keep their microseconds."""
+    df.write.mode("overwrite").options(header=True, escape='"', **TIME_FORMATS).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """What ``export_csv`` wrote, line breaks inside values included."""
+    return spark.read.schema(schema).options(header=True, escape='"', multiLine=True, **TIME_FORMATS).csv(path)
 
 
 def export_json(df: DataFrame, path: str) -> None:
-    """JSON lines; nested struct/map/array columns are kept nested."""
-    df.write.mode("overwrite").json(path)
+    """JSON lines; nested struct/map/array columns are kept nested, times keep their
+    microseconds."""
+    df.write.mode("overwrite").options(**TIME_FORMATS).json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """What ``export_json`` wrote."""
+    return spark.read.schema(schema).options(**TIME_FORMATS).json(path)
 
 
 def save_model(model, path: str) -> None:

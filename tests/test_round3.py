@@ -1,5 +1,6 @@
 """K12, K13, F26 and C15 of this round."""
 
+import datetime
 import json
 import random
 
@@ -88,3 +89,54 @@ def test_the_token_walk_reads_what_the_parser_reads():
                 SC._deep_value(cut)
         else:
             assert SC._deep_value(cut) == want
+
+
+def test_exports_keep_quotes_breaks_and_microseconds(spark, tmp_path):
+    from fairplay.sources import sinks as SK
+
+    rows = [(1, 'a "b", c', datetime.datetime(2024, 1, 1, 0, 0, 0, 123456)), (2, "x\ny", None), (3, None, None)]
+    df = spark.createDataFrame(rows, "id int, words string, at timestamp")
+    SK.export_csv(df, str(tmp_path / "csv"))
+    assert sorted(map(tuple, SK.read_csv(spark, str(tmp_path / "csv"), df.schema).collect())) == rows
+    SK.export_json(df, str(tmp_path / "json"))
+    assert sorted(map(tuple, SK.read_json(spark, str(tmp_path / "json"), df.schema).collect())) == rows
+
+
+def test_training_records(spark):
+    from fairplay.operators import runs as RU
+
+    at = datetime.datetime(2024, 1, 2)
+    fits = spark.createDataFrame([("r2", "e", "m", "fouls", at, at, 12, 70, 30), ("r1", "e", "m", "fouls", at, at, 12, 70, None)],
+                                 "run_id string, experiment string, model string, target string, start_time timestamp, end_time timestamp, "
+                                 "n_features int, n_train_samples long, n_val_samples long")
+    scores = spark.createDataFrame([("r1", "val", "rmse", "1.5"), ("r1", "train", "note", "good"), ("r1", "test", "rmse", "2")],
+                                   "run_id string, part string, key string, value string")
+    imp = spark.createDataFrame([("r1", f"f{i:02d}", float(i // 2)) for i in range(12)], "run_id string, feature string, importance double")
+    stored = spark.createDataFrame([("m", "fouls", 4)], "model string, target string, version int")
+    out = RU.training_records(fits, scores, imp, stored)
+    metrics = {r.key: r.value for r in out["run_metrics"].collect()}
+    assert metrics["val_rmse"] == 1.5 and len(metrics) == 11 and metrics["feature_importance_10"] == 1.0
+    params = {(r.run_id, r.key): r.value for r in out["run_params"].collect()}
+    assert [params["r1", f"top_feature_{i}"] for i in (1, 2, 10)] == ["f10", "f11", "f03"]
+    assert params["r2", "n_val_samples"] == "30" and ("r1", "n_val_samples") not in params
+    assert {(r.run_id, r.version) for r in out["model_versions"].collect()} == {("r1", 5), ("r2", 6)}
+    assert {r.key: r.value for r in out["run_tags"].where("run_id = 'r1'").collect()}["training_date"] == "2024-01-02"
+
+
+def test_sessions_close_after_the_gap(spark):
+    from fairplay.streaming import live as LV
+
+    at = [datetime.datetime(2024, 1, 1, 0, m, s) for m, s in ((0, 0), (30, 0))] + [datetime.datetime(2024, 1, 1, 1, 0, 1)]
+    log = spark.createDataFrame([(t, "a") for t in at], "ts timestamp, client string")
+    assert sorted(r.requests for r in LV.session_counts(log).collect()) == [1, 2]
+
+
+def test_newest_matches_reach_the_scans(spark):
+    from fairplay.plans.catalog import load_all
+    from tests.conftest import SF_SMALL
+
+    p = load_all()["q21_trailing_period"].build(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(o_orderdate" in p
+    for name in ("q13_recent_matches", "q15_list_matches"):
+        p = load_all()[name].build(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "In(l_orderkey" in p and "In(o_orderkey" in p
