@@ -6,6 +6,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 
 from fairplay.operators import cluster as CL
+from fairplay.operators import ingest as IN
+from fairplay.sources import html_tables as HT
 
 
 def groups(spark, tasks=16):
@@ -39,3 +41,24 @@ def test_vector_metrics_equal_the_long_form(spark):
     long = CL.cluster_metrics(CL.to_long(wide, "id", ["f0", "f1", "f2"]), pred.selectExpr("id", "prediction AS label")).first()
     assert np.allclose(CL.vector_metrics(pred), [long.calinski_harabasz, long.davies_bouldin])
     assert CL.vector_metrics(pred.where("prediction = 0")) == (None, None)
+
+
+def test_chosen_tables_alone_equal_those_of_the_cells(spark):
+    rows = [(1, 0, "a", "Rk"), (1, 1, "b", "Perf_Fls"), (1, 1, "b", "Player"), (1, 2, "c", "Fls"), (2, 0, None, "x"), (2, 1, "my_misc", "y"),
+            (3, 0, "stats_misc", "x"), (3, 0, "other", "x"), (4, 0, None, None), (4, 1, None, "CrdY"), (4, 1, None, "Min"), (4, 2, None, "Min")]
+    cells = spark.createDataFrame(rows, "page_id long, table_no int, table_id string, header string")
+    for policy in ("keyword", "player_foul", "score"):
+        whole = IN.pick_table(cells, policy).select("page_id", "table_no", "table_id").distinct().collect()
+        tables = IN.pick_table(cells, policy, tables_only=True)
+        assert sorted(map(str, whole)) == sorted(map(str, tables.collect()))
+    assert "Window" not in tables._jdf.queryExecution().optimizedPlan().toString().partition("Aggregate")[2]  # cells meet the aggregate first
+
+
+def test_parser_emits_small_batches():
+    import pyarrow as pa
+
+    html = "<table id=t><tr><th>A</th><th>B</th></tr>" + "<tr><td>1</td><td>2</td></tr>" * 600 + "</table>"
+    pages = pa.RecordBatch.from_pydict({"page_id": list(range(100)), "html": [html] * 99 + [None], "league": [f"l{i}" for i in range(100)]})
+    got = list(HT._parser(["league"])(iter([pages])))
+    assert sum(b.num_rows for b in got) == 99 * 1200 and max(b.num_rows for b in got) <= HT._ROWS + 1200
+    assert all(r["league"] == f"l{r['page_id']}" for b in got for r in b.to_pylist())
