@@ -74,8 +74,8 @@ def training_records(fits: DataFrame, scores: DataFrame, importances: DataFrame,
                        F.lit("FINISHED").alias("status"), "start_time", "end_time")
     kept = scores.where(F.col("part").isin(*METRIC_PARTS)).select(
         "run_id", F.concat_ws("_", "part", "key").alias("key"), F.col("value").try_cast("double").alias("value"))
-    top = top_k_per_group(importances.where(F.col("importance").isNotNull()), ["run_id"],
-                          [F.col("importance").desc(), F.col("feature")], TOP_FEATURES, ["feature"], name="_i")
+    top = cut_lineage(top_k_per_group(importances.where(F.col("importance").isNotNull()), ["run_id"],
+                                      [F.col("importance").desc(), F.col("feature")], TOP_FEATURES, ["feature"], name="_i"))  # metrics and params read it
     metrics = kept.where(F.col("value").isNotNull()).unionByName(top.select(
         "run_id", F.concat(F.lit("feature_importance_"), F.col("_i")).alias("key"), F.col("importance").cast("double").alias("value")))
 

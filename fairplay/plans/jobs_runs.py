@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fairplay.operators import runs as RU
 from fairplay.plans.catalog import job
 from fairplay.plans.oracle import with_views
-from fairplay.session import ensure_checkpoint_dir
+from fairplay.session import cut_lineage, ensure_checkpoint_dir
 from fairplay.sources import tables as TB
 from fairplay.streaming import admission as AD
 from fairplay.streaming import live as LV
@@ -66,7 +66,7 @@ def t01_log_training(spark, sf_dir):
     counts = lines.groupBy("run_id").agg(F.count_distinct("l_linenumber").alias("n_features"), F.count(F.lit(1)).alias("n_train_samples"))
     versions = _mv(spark, sf_dir).select("run_id", "model", "target")
     fits = _runs(spark, sf_dir).where(F.col("status") == "FINISHED").join(versions, "run_id").join(counts, "run_id", "left")
-    fits = fits.withColumn("n_val_samples", F.lit(None).cast("long"))
+    fits = cut_lineage(fits.withColumn("n_val_samples", F.lit(None).cast("long")))  # every part of both batches reads it
     price = TB.read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("run_id"), "o_totalprice")
     scores = price.select("run_id", F.inline(F.array(*[
         F.struct(F.lit(part).alias("part"), F.lit(key).alias("key"), value.cast("string").alias("value")) for part, key, value in [

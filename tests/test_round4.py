@@ -7,6 +7,7 @@ from pyspark.ml.linalg import Vectors
 
 from fairplay.operators import cluster as CL
 from fairplay.operators import ingest as IN
+from fairplay.operators import runs as RU
 from fairplay.sources import html_tables as HT
 
 
@@ -62,3 +63,16 @@ def test_parser_emits_small_batches():
     got = list(HT._parser(["league"])(iter([pages])))
     assert sum(b.num_rows for b in got) == 99 * 1200 and max(b.num_rows for b in got) <= HT._ROWS + 1200
     assert all(r["league"] == f"l{r['page_id']}" for b in got for r in b.to_pylist())
+
+
+def test_records_of_training_read_the_importances_once(spark):
+    fits = spark.sql("SELECT 'r1' AS run_id, 'e' AS experiment, 'm' AS model, 't' AS target, timestamp'2024-01-01 00:00:00' AS start_time, "
+                     "timestamp'2024-01-01 01:00:00' AS end_time, 2L AS n_features, 5L AS n_train_samples, CAST(NULL AS LONG) AS n_val_samples")
+    scores = spark.createDataFrame([("r1", "val", "rmse", "0.5")], "run_id string, part string, key string, value string")
+    importances = spark.createDataFrame([("r1", f"f{i}", float(i)) for i in range(12)], "run_id string, feature string, importance double")
+    made = RU.training_records(fits, scores, importances)
+    for name in ("run_metrics", "run_params"):  # neither ranks the importances again
+        assert "Window" not in made[name]._jdf.queryExecution().optimizedPlan().toString()
+    top = {r.key: r.value for r in made["run_params"].collect()}
+    assert [top[f"top_feature_{i}"] for i in range(1, 11)] == [f"f{i}" for i in range(11, 1, -1)]
+    assert {r.key: r.value for r in made["run_metrics"].collect()}["feature_importance_1"] == 11.0
