@@ -68,3 +68,19 @@ def test_density_across_leaves_and_whole_nodes(spark, seed, eps, least, leaf):
     got = {q["id"]: q for q in NB.dbscan(frame(spark, x), eps, least, leaf).collect()}
     assert [got[i]["is_core"] for i in range(len(x))] == list(core)
     assert [got[i]["label"] for i in range(len(x))] == list(label)
+
+
+def test_many_centres_stay_rows(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from fairplay.operators import cluster as CL
+
+    r = random.Random(8)
+    x = [[r.gauss(0, 3), r.gauss(0, 3), r.gauss(0, 3)] for _ in range(300)]
+    vec = spark.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(x)], ["id", "features"])
+    labels = spark.createDataFrame([(i, i % 90 if i < 270 else -1) for i in range(300)], "id long, label long")
+    out = CL.assign_to_clusters(vec, vec, labels)
+    centres = np.array([np.mean([x[i] for i in range(270) if i % 90 == c], axis=0) for c in range(90)])
+    want = [int(((centres - v) ** 2).sum(axis=1).argmin()) for v in np.array(x)]
+    assert [q["prediction"] for q in out.orderBy("id").collect()] == want
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 20_000  # a literal per coordinate before
