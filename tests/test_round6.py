@@ -1,8 +1,11 @@
 """Features and fits that read their rows once."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from fairplay.operators import features as FE
+from fairplay.operators import predict as PR
+from fairplay.operators import tuning as TU
 
 
 def _seasons(spark, n=60):
@@ -34,3 +37,37 @@ def test_scaler_and_scores_are_narrow_aggregates(spark):
         assert abs(scores[c].f_score - r2 * 58 / (1 - r2)) < 1e-5
     assert sorted(r["rank"] for r in scores.values()) == [1, 2, 3]
     assert [r.f_score for r in FE.feature_scores(df.limit(0), "fouls", cols).collect()] == [0.0, 0.0, 0.0]
+
+
+def test_block_sums_are_few_columns(spark, monkeypatch):
+    rows = [(i % 3 if i != 5 else None, float(i), None if i == 7 else i * i % 13 * 1.0, i * 0.5 - 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "block int, a double, b double, y double").repartition(4)
+    sums, plain = [], F.sum
+    monkeypatch.setattr(TU.F, "sum", lambda c: (sums.append(c), plain(c))[1])
+    got = TU.block_sums(df, ["a", "b"], "y")
+    assert len(sums) == 1
+    for k in range(3):
+        z = np.array([r[1:] for r in rows if r[0] == k and r[2] is not None])
+        x, y = z[:, :2], z[:, 2]
+        s = got[k]
+        assert s.n == len(z) and np.allclose(s.xx, x.T @ x) and np.allclose(s.xy, x.T @ y)
+        assert np.allclose([*s.x, s.y, s.yy], [*x.sum(0), y.sum(), y @ y])
+    assert sum(s.n for s in got.values()) == 39
+    assert TU.block_sums(df.limit(0), ["a", "b"], "y") == {}
+
+
+def test_boosted_fits_keep_no_node_ids(spark):
+    rows = [(float(i % 7), float(i * i % 11), float(i % 7 + i * i % 11 % 3)) for i in range(200)]
+    df = _vectors(spark, rows)
+    for kind in ("xgboost", "gradient_boosting"):
+        est = PR.regressor(kind, "red_cards").setMaxIter(4)
+        assert not est.getCacheNodeIds()
+        kept = est.copy().setCacheNodeIds(True).fit(df)
+        trees = lambda m: m.toDebugString.split("\n", 1)[1]  # noqa: E731  the first line is the model's own id
+        assert trees(est.fit(df)) == trees(kept)
+
+
+def _vectors(spark, rows):
+    from fairplay.operators.cluster import assemble
+
+    return assemble(spark.createDataFrame(rows, "a double, b double, label double").coalesce(2), ["a", "b"])
