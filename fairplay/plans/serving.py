@@ -45,13 +45,20 @@ def feature_stages(chosen: int) -> Pipeline:
 
 
 def fit_all(train: DataFrame, kind: str = "linear", targets: Sequence[str] = PR.TARGETS, chosen: int = 10) -> dict[str, PipelineModel]:
-    """A pipeline per target, fitted on look-back rows (with ``target_<name>`` columns)."""
+    """A pipeline per target, fitted on look-back rows (with ``target_<name>`` columns).
+
+    Only the selection and the regressor depend on the target: the stages before are fitted
+    once, and their scaled features are materialised for all targets.
+    """
+    *shared, selector = feature_stages(chosen).getStages()
+    base = Pipeline(stages=shared).fit(train)
+    scaled = cut_lineage(base.transform(train).select("f_scaled", *[F.col(f"target_{t}").cast("double") for t in targets]))
     out = {}
     for t in targets:
-        data = train.withColumn("label", F.col(f"target_{t}").cast("double"))
-        state = feature_stages(chosen).fit(data)
-        model = PR.fit(kind, t, state.transform(data).select("features", "label"))
-        out[t] = PipelineModel([*state.stages, model.setPredictionCol(f"raw_{t}")])
+        data = scaled.select("f_scaled", F.col(f"target_{t}").alias("label"))
+        chooser = selector.fit(data)
+        model = PR.fit(kind, t, chooser.transform(data).select("features", "label"))
+        out[t] = PipelineModel([*base.stages, chooser, model.setPredictionCol(f"raw_{t}")])
     return out
 
 
@@ -74,16 +81,18 @@ def score(models: dict[str, PipelineModel], rows: DataFrame) -> DataFrame:
     return rows
 
 
-def latest_rows(pm: DataFrame, lookback: int = 10) -> DataFrame:
-    """The look-back row of every player's last game (two-stage, so a busy player is many tasks)."""
-    rows = FE.lookback_features(pm, lookback)
+def latest_rows(pm: DataFrame, lookback: int = 10, rows: DataFrame | None = None) -> DataFrame:
+    """The look-back row of every player's last game (two-stage, so a busy player is many tasks);
+    ``rows``: the look-back rows of ``pm``, if they are at hand."""
+    rows = FE.lookback_features(pm, lookback) if rows is None else rows
     order = [F.col("match_date").desc(), F.col("match_id").desc()]
     return top_k_per_group(rows, ["player_id"], order, 1, ["match_id"], name="_last").drop("_last")
 
 
-def fitted_player_risk(models: dict[str, PipelineModel], pm: DataFrame, clusters: DataFrame | None = None, lookback: int = 10) -> DataFrame:
+def fitted_player_risk(models: dict[str, PipelineModel], pm: DataFrame, clusters: DataFrame | None = None, lookback: int = 10,
+                       rows: DataFrame | None = None) -> DataFrame:
     """Every player's predictions by fitted models, graded (M17-M19), with the cluster."""
-    scored = score(models, latest_rows(pm, lookback))
+    scored = score(models, latest_rows(pm, lookback, rows))
     cols = {}
     for t in PR.TARGETS:
         p = F.col(f"pred_{t}")
@@ -97,13 +106,18 @@ def fitted_player_risk(models: dict[str, PipelineModel], pm: DataFrame, clusters
     return out.join(clusters.select(F.col("id").alias("player_id"), F.col("prediction").alias("cluster")), "player_id", "left")
 
 
-def train_rows(pm: DataFrame) -> DataFrame:
-    return PR.time_split(FE.lookback_features(pm, 10), "match_date", ["match_id"]).where(F.col("split") == "train").drop("_pos")
+def train_rows(pm: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    rows = FE.lookback_features(pm, 10) if rows is None else rows
+    return PR.time_split(rows, "match_date", ["match_id"]).where(F.col("split") == "train").drop("_pos")
 
 
 def fit_save_load_and_grade(spark: SparkSession, sf_dir: str, vectors: DataFrame, labels: DataFrame) -> DataFrame:
-    """The whole way: fit, save, load, score the last games, grade, join the nearest cluster."""
+    """The whole way: fit, save, load, score the last games, grade, join the nearest cluster.
+
+    The look-back rows are made once, for the training and for the last games.
+    """
     pm = cut_lineage(TB.player_match(spark, sf_dir))
+    rows = cut_lineage(FE.lookback_features(pm, 10))
     path = f"{ensure_checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
-    save_all(fit_all(cut_lineage(train_rows(pm))), path)
-    return fitted_player_risk(load_all_models(path), pm, CL.assign_to_clusters(vectors, vectors, labels))
+    save_all(fit_all(cut_lineage(train_rows(pm, rows))), path)
+    return fitted_player_risk(load_all_models(path), pm, CL.assign_to_clusters(vectors, vectors, labels), rows=rows)

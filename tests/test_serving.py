@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fairplay.operators import cluster as CL
 from fairplay.operators import features as FE
 from fairplay.operators import predict as PR
 from fairplay.plans import serving as SV
@@ -59,3 +60,30 @@ def test_one_graded_row_per_player(pm, fitted):
 def test_no_games_no_rows(pm, fitted):
     assert SV.fitted_player_risk(fitted, pm.limit(0)).count() == 0
     assert FE.lookback_features(pm.limit(0), 10).count() == 0
+
+
+def test_lookback_rows_and_shared_stages_are_made_once(spark, monkeypatch):
+    """m20_fitted_player_risk: one look-back, one fit of the stages that no target changes, one saved pipeline per target."""
+    from pyspark.ml.feature import StandardScaler, StringIndexer
+
+    calls = {"lookback": 0, "scaler": 0, "indexer": 0, "saved": 0}
+
+    def counting(name, f):
+        def g(*a, **k):
+            calls[name] += 1
+            return f(*a, **k)
+        return g
+
+    monkeypatch.setattr(SV.FE, "lookback_features", counting("lookback", SV.FE.lookback_features))
+    monkeypatch.setattr(StandardScaler, "fit", counting("scaler", StandardScaler.fit))
+    monkeypatch.setattr(StringIndexer, "fit", counting("indexer", StringIndexer.fit))
+    monkeypatch.setattr(SV, "save_model", counting("saved", SV.save_model))
+    pm = spark.range(400).selectExpr(
+        "id % 20 AS player_id", "concat('p', id % 20) AS player_name", "id AS match_id", "timestamp'2020-01-01' + make_interval(0, 0, 0, cast(id AS int)) AS match_date",
+        "2020 AS season_start_year", "id % 4 AS team_id", "concat('t', id % 4) AS team", "'l' AS league", "elt(cast(id % 3 + 1 AS int), 'GK', 'DF', 'FW') AS position",
+        "id % 4 AS home_team_id", "(id + 1) % 4 AS away_team_id", "1L AS appearances", "id * id % 7 AS fouls", "id % 5 AS fouls_drawn", "id % 3 AS yellow_cards",
+        "id % 2 AS red_cards", "60 + id % 31 AS minutes_played")
+    monkeypatch.setattr(SV.TB, "player_match", lambda *a: pm)
+    vectors = CL.assemble(spark.range(20).selectExpr("id", "cast(id AS double) AS a"), ["a"])
+    got = SV.fit_save_load_and_grade(spark, "", vectors, vectors.selectExpr("id", "cast(id % 2 AS int) AS label")).count()
+    assert calls == {"lookback": 1, "scaler": 1, "indexer": 1, "saved": 3} and got == 20
